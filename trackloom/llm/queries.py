@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from .bpe_automaton import op4_bpe_automaton
+from .decontaminate import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .sharding import op3_interleaved_shards
 from .token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_interleaved_shards": op3_interleaved_shards,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": OP1_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
