@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_automaton import op4_bpe_automaton
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .near_dedup import op8_near_dedup
 from .sharding import op3_interleaved_shards
 from .token_counts import op10_token_counts
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_interleaved_shards": op3_interleaved_shards,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
