@@ -7,10 +7,12 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .near_dedup import op8_near_dedup
 from .sharding import op3_interleaved_shards
+from .toxicity import op2_toxicity
 from .token_counts import op10_token_counts
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
     "op3_interleaved_shards": op3_interleaved_shards,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op6_exact_dedup": op6_exact_dedup,
