@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_automaton import op4_bpe_automaton
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .lm_score import op7_lm_score
 from .near_dedup import op8_near_dedup
 from .sharding import op3_interleaved_shards
 from .toxicity import op2_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_interleaved_shards": op3_interleaved_shards,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_near_dedup": op8_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
