@@ -19,76 +19,84 @@ from .common import stored, table, words
 WINDOW = 10
 
 #: Rarest terms of a phrase that are intersected before the others are asked for.
-LEADS = 3
+LEADS = 2
 
 #: The position under which the index keeps a document's number of words.
 LENGTH_AT = -1
 
+#: Rows of two or three numbers that may be sent to every executor (tens of MB); counted before it is done.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """df, to be sent to every executor if it has SENT_ROWS rows at most; else joins shuffle it as usual."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
 
 def phrases(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """A row per term of every distinct window: phrase (hash of the window's words), n_terms, offset, word, and
-    item_ids that have the window. Texts without words have no window."""
+    """A row per window and item: item_id, digest of the window's words, terms. Texts without words have none."""
     listed = bench.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     cut = listed.select(
         "item_id",
         F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))), lambda i: F.slice("w", i, window))).alias("terms"),
     )
-    return cut.select("item_id", F.sha2(F.array_join("terms", " ").cast("binary"), 256).alias("phrase"), "terms").dropDuplicates(["item_id", "phrase"])
+    return cut.select("item_id", F.sha2(F.array_join("terms", " ").cast("binary"), 256).alias("digest"), "terms").dropDuplicates(["item_id", "digest"])
 
 
-def number_terms(cut: DataFrame) -> DataFrame:
-    """word, term for every word of the windows. The numbers are hashes with the first seed that gives none twice."""
-    distinct = cut.select(F.explode("terms").alias("word")).distinct()
-    for seed in range(100):
-        numbered = stored(distinct.select("word", F.xxhash64(F.lit(seed), "word").alias("term")), "terms")
-        if numbered.groupBy("term").count().where("count > 1").isEmpty():
-            return numbered
-    raise RuntimeError("no seed numbers the terms without a collision")
+def numbered(df: DataFrame, column: str, label: str) -> DataFrame:
+    """The rows of df with a number of their own in `column`, stored, so that the numbers stay as they are."""
+    return stored(df.withColumn(column, F.monotonically_increasing_id()), label)
+
+
+def query_tables(bench: DataFrame, item_col: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(word, term), (phrase, n_terms, offset, term), (phrase, item): what is asked of the index."""
+    cut = stored(phrases(bench, item_col, "text", window), "windows")
+    terms = numbered(cut.select(F.explode("terms").alias("word")).distinct(), "term", "terms")
+    distinct = numbered(cut.dropDuplicates(["digest"]).select("digest", "terms"), "phrase", "phrases")
+    wanted = distinct.select("phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "word")).join(terms, "word").drop("word")
+    items = cut.select("digest", F.col("item_id").cast("string").alias("item")).join(distinct.select("digest", "phrase"), "digest").select("phrase", "item")
+    return terms, wanted, items
 
 
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (term, doc_id, seal, pos) of the terms given (columns word, term), stored in the shared folder.
+    """Postings (term, row, pos) of the terms given (word, term), stored in the shared folder.
 
-    seal is a hash of the text: with doc_id it names a document even where an id is repeated. A posting at
-    position LENGTH_AT keeps the number of words in `term_or_length`.
+    row numbers the documents, so rows that repeat an id stay apart. At position LENGTH_AT, a document's number
+    of words stands in place of a term, with its id in doc_id, which other postings leave null.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("seal"), words(F.col(text_col)).alias("w"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
     # The number of words goes before the words, under a term that no text can hold.
-    tokens = texts.select("doc_id", "seal", F.posexplode(F.concat(F.array(F.concat(F.lit("#"), F.size("w").cast("string"))), F.col("w"))).alias("at", "word"))
-    found = tokens.join(terms, "word", "left").where((F.col("at") == 0) | F.col("term").isNotNull())
+    tokens = texts.select("doc_id", "row", F.posexplode(F.concat(F.array(F.concat(F.lit("#"), F.size("w").cast("string"))), F.col("w"))).alias("at", "word"))
+    found = tokens.join(sent_if_small(terms), "word", "left").where((F.col("at") == 0) | F.col("term").isNotNull())
     return stored(
         found.select(
-            F.when(F.col("at") == 0, F.substring("word", 2, 20).cast("long")).otherwise(F.col("term")).alias("term_or_length"),
-            "doc_id",
-            "seal",
+            F.when(F.col("at") == 0, F.substring("word", 2, 20).cast("long")).otherwise(F.col("term")).alias("term"),
+            "row",
             (F.col("at") - 1).cast("int").alias("pos"),
+            F.when(F.col("at") == 0, F.col("doc_id")).alias("doc_id"),
         ),
         "postings",
     )
 
 
 def occurrences(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Where the phrases occur: phrase, n_terms, doc_id, seal, start.
+    """Where the phrases occur: phrase, n_terms, row, start.
 
     wanted: phrase, n_terms, offset, term. Terms are ranked in each phrase by their number of postings."""
-    postings = index.where(F.col("pos") >= 0).withColumnRenamed("term_or_length", "term")
+    postings = index.where(F.col("pos") > LENGTH_AT).select("term", "row", "pos")
     counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "term", "offset")
-    ranked = stored(wanted.join(counts, "term", "left").withColumn("rank", F.row_number().over(rarest)), "phrases")
-
+    ranked = wanted.join(counts, "term", "left").withColumn("rank", F.row_number().over(rarest))
     # A phrase one of whose terms has no posting occurs nowhere.
-    missing = ranked.where(F.col("n").isNull()).select("phrase").distinct()
-    ranked = ranked.join(missing, "phrase", "left_anti")
+    ranked = stored(ranked.withColumn("all", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("phrase"))).where(F.col("all") > 0), "ranked")
 
-    leads = ranked.where(F.col("rank") <= LEADS)
-    shifted = postings.join(leads, "term").select(
-        "phrase", "n_terms", "doc_id", "seal", (F.col("pos") - F.col("offset")).alias("start"), "rank"
-    )
-    # A bit for each list, so that a document that is repeated does not count twice.
+    leads = ranked.where(F.col("rank") <= LEADS).select("phrase", "n_terms", "offset", "term", "rank")
+    shifted = postings.join(sent_if_small(leads), "term").select("phrase", "n_terms", "row", (F.col("pos") - F.col("offset")).alias("start"), "rank")
+    # A bit for each list that a place is in.
     every = F.expr(f"shiftleft(1, least({LEADS}, n_terms)) - 1")
     met = (
         shifted.where(F.col("start") >= 0)
-        .groupBy("phrase", "n_terms", "doc_id", "seal", "start")
+        .groupBy("phrase", "n_terms", "row", "start")
         .agg(F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("lists"))
         .where(F.col("lists") == every)
         .drop("lists")
@@ -96,21 +104,12 @@ def occurrences(index: DataFrame, wanted: DataFrame) -> DataFrame:
     met = stored(met, "candidates")
 
     others = ranked.where(F.col("rank") > LEADS).select("phrase", "offset", "term")
-    asked = met.join(others, "phrase").select("phrase", "n_terms", "doc_id", "seal", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
+    asked = met.join(others, "phrase").select("phrase", "n_terms", "row", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
     # Only documents with a candidate are asked for; their postings are few beside the index.
-    near = postings.join(met.select("doc_id", "seal").distinct(), _same(postings, met), "left_semi")
-    held = asked.join(
-        near,
-        asked["doc_id"].eqNullSafe(near["doc_id"]) & (asked["seal"] == near["seal"]) & (asked["pos"] == near["pos"]) & (asked["term"] == near["term"]),
-        "left_semi",
-    )
-    whole = held.dropDuplicates(["phrase", "doc_id", "seal", "start", "pos"]).groupBy("phrase", "n_terms", "doc_id", "seal", "start").agg(F.count(F.lit(1)).alias("lists"))
+    near = postings.join(sent_if_small(met.select("row").distinct()), "row", "left_semi")
+    held = asked.join(near, ["row", "pos", "term"]).groupBy("phrase", "n_terms", "row", "start").agg(F.count(F.lit(1)).alias("lists"))
     short = met.where(F.col("n_terms") <= LEADS)
-    return whole.where(F.col("lists") == F.col("n_terms") - LEADS).drop("lists").unionByName(short)
-
-
-def _same(a: DataFrame, b: DataFrame):
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["seal"] == b["seal"])
+    return held.where(F.col("lists") == F.col("n_terms") - LEADS).drop("lists").unionByName(short)
 
 
 def contamination(
@@ -121,41 +120,25 @@ def contamination(
     Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z; null has none. A
     word inside an occurrence of a benchmark window is hit. items_sha256 digests the ids of the items that have
     an occurring window, sorted as text and joined by commas (of nothing: the empty text). Rows that repeat an
-    id and a text get equal results; an empty benchmark hits nothing. Other columns are not looked at.
+    id or a text each get a result; an empty benchmark hits nothing. Other columns are not looked at.
     """
-    cut = stored(phrases(bench, item_col, "text", window), "windows")
-    numbered = number_terms(cut)
-    wanted = (
-        cut.dropDuplicates(["phrase"])
-        .select("phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "word"))
-        .join(numbered, "word")
-        .drop("word")
-    )
-    index = build_index(docs, numbered, id_col, text_col)
+    terms, wanted, phrase_items = query_tables(bench, item_col, window)
+    index = build_index(docs, terms, id_col, text_col)
     found = stored(occurrences(index, wanted), "occurrences")
 
     covered = (
-        found.select("doc_id", "seal", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_terms") - 1)).alias("pos"))
+        found.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_terms") - 1)).alias("pos"))
         .distinct()
-        .groupBy("doc_id", "seal")
+        .groupBy("row")
         .agg(F.count(F.lit(1)).alias("n_hit"))
     )
-    items = (
-        found.select("phrase", "doc_id", "seal")
-        .distinct()
-        .join(cut.select("phrase", F.col("item_id").cast("string").alias("item")), "phrase")
-        .groupBy("doc_id", "seal")
-        .agg(F.array_sort(F.collect_set("item")).alias("items"))
-    )
-    hits = covered.join(items, _same(covered, items)).select(
-        covered["doc_id"].alias("hit_id"), covered["seal"].alias("hit_seal"), "n_hit", "items"
-    )
-    lengths = index.where(F.col("pos") == LENGTH_AT)
-    joined = lengths.join(hits, lengths["doc_id"].eqNullSafe(hits["hit_id"]) & (lengths["seal"] == hits["hit_seal"]), "left")
+    items = found.select("phrase", "row").distinct().join(phrase_items, "phrase").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = covered.join(items, "row")
+    lengths = index.where(F.col("pos") == LENGTH_AT).select("doc_id", "row", F.col("term").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select(
-        lengths["doc_id"],
-        F.col("term_or_length").alias("n_words"),
+    return lengths.join(hits, "row", "left").select(
+        "doc_id",
+        "n_words",
         n_hit.alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
@@ -168,23 +151,26 @@ def near_matches(
 ) -> DataFrame:
     """Proximity: doc_id, phrase, start of every place where the two rarest terms of a window stand within
     `within` words of each other, in either order. Exact for that question; a screen for edited passages."""
-    cut = stored(phrases(bench, item_col), "windows")
-    numbered = number_terms(cut)
-    index = build_index(docs, numbered, id_col, text_col).where(F.col("pos") >= 0).withColumnRenamed("term_or_length", "term")
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    flat = cut.dropDuplicates(["phrase"]).select("phrase", F.explode(F.array_distinct("terms")).alias("word")).join(numbered, "word").join(counts, "term")
+    terms, wanted, _ = query_tables(bench, item_col)
+    index = build_index(docs, terms, id_col, text_col)
+    ids = index.where(F.col("pos") == LENGTH_AT).select("row", "doc_id")
+    postings = index.where(F.col("pos") > LENGTH_AT).select("term", "row", "pos")
+    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     two = (
-        flat.withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy("n", "term")))
+        wanted.select("phrase", "term")
+        .distinct()
+        .join(counts, "term")
+        .withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy("n", "term")))
         .where("r <= 2")
         .groupBy("phrase")
         .agg(F.max(F.when(F.col("r") == 1, F.col("term"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("term"))).alias("b"))
     )
     # Positions are put in bins of the distance, so that the join is on equal bins and not on a range.
-    first = index.join(two, index["term"] == two["a"]).select("phrase", "doc_id", "seal", F.col("pos").alias("at"), "b")
+    first = postings.join(two, postings["term"] == two["a"]).select("phrase", "row", F.col("pos").alias("at"), "b")
     first = first.withColumn("bin", F.explode(F.array(*[F.floor(F.col("at") / within) + k for k in (-1, 0, 1)])))
-    second = index.select(F.col("term").alias("b"), "doc_id", "seal", F.col("pos").alias("other"), F.floor(F.col("pos") / within).alias("bin"))
-    met = first.join(second, ["b", "doc_id", "seal", "bin"]).where(F.abs(F.col("at") - F.col("other")) <= within)
-    return met.select("doc_id", "phrase", F.least("at", "other").alias("start")).distinct()
+    second = postings.select(F.col("term").alias("b"), "row", F.col("pos").alias("other"), F.floor(F.col("pos") / within).alias("bin"))
+    met = first.join(second, ["b", "row", "bin"]).where(F.abs(F.col("at") - F.col("other")) <= within)
+    return met.select("row", "phrase", F.least("at", "other").alias("start")).distinct().join(ids, "row").select("doc_id", "phrase", "start")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, most: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
