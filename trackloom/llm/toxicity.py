@@ -51,7 +51,14 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_features(words: list[str], block: int = 30_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_word_features in parts, as its intermediate arrays are several times the size of its results."""
+    parts = [_word_features(words[i : i + block]) for i in range(0, len(words), block)]
+    shift = np.cumsum([0] + [len(p[1]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=False)])
+
+
+def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of each word's own embedding; rows of the character runs of all words; where each word's runs begin.
 
     A very long word has as many runs as bytes. Every word has at least one run, as its two marks count."""
@@ -125,6 +132,10 @@ class Network:
     def inputs(self, features) -> np.ndarray:
         """A row per word: own embedding beside the mean of its character runs, scaled up by their root."""
         own, rows, begins = features
+        if len(own) > 30_000:
+            ends = np.append(begins, len(rows))
+            cut = [slice(i, i + 30_000) for i in range(0, len(own), 30_000)]
+            return np.concatenate([self.inputs((own[c], rows[ends[c.start] : ends[min(c.stop, len(own))]], begins[c] - ends[c.start])) for c in cut])
         grams = np.add.reduceat(self.p["gram"][rows], begins, axis=0)
         n = np.diff(begins, append=len(rows)).astype(np.float32)
         return np.concatenate([self.p["word"][own], grams / np.sqrt(n)[:, None]], 1)
@@ -250,16 +261,19 @@ def first_choice(position, spans, owner, label, features, n_texts, counts) -> np
     own, rows, begins = features
     size = np.diff(begins, append=len(rows))
     text = np.repeat(np.arange(n_texts), counts)
-    n_words = len(own)
-    seen = np.unique(text.astype(np.int64) * n_words + position)
-    seen_text, seen_word = seen // n_words, seen % n_words
-    # Texts of each label that hold a character run.
-    reps = size[seen_word]
-    at = np.repeat(begins[seen_word] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-    pair = np.unique(np.repeat(seen_text, reps) * GRAM_ROWS + rows[at])
-    pair_text, pair_row = pair // GRAM_ROWS, pair % GRAM_ROWS
-    bad = np.bincount(pair_row[label[pair_text] == 1], minlength=GRAM_ROWS)
-    good = np.bincount(pair_row[label[pair_text] == 0], minlength=GRAM_ROWS)
+    ends = np.cumsum(counts)
+    bad, good = np.zeros(GRAM_ROWS, np.int64), np.zeros(GRAM_ROWS, np.int64)
+    # Texts of each label that hold a character run, a few texts at a time.
+    for t in range(0, n_texts, 20):
+        part = slice(0 if t == 0 else ends[t - 1], ends[min(t + 20, n_texts) - 1])
+        seen = np.unique((text[part] - t) * len(own) + position[part])
+        seen_text, seen_word = seen // len(own), seen % len(own)
+        reps = size[seen_word]
+        at = np.repeat(begins[seen_word] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        pair = np.unique(np.repeat(seen_text, reps) * GRAM_ROWS + rows[at])
+        is_bad = label[t + pair // GRAM_ROWS] == 1
+        bad += np.bincount(pair[is_bad] % GRAM_ROWS, minlength=GRAM_ROWS)
+        good += np.bincount(pair[~is_bad] % GRAM_ROWS, minlength=GRAM_ROWS)
     odds = np.log((bad + 0.5) / ((label == 1).sum() + 1)) - np.log((good + 0.5) / ((label == 0).sum() + 1))
     word_value = np.maximum.reduceat(odds[rows], begins)
     value = word_value[position]
@@ -357,8 +371,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, most: in
     order = [F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("doc_id")]
     picked = usable.where("toxic = 1").orderBy(*order).limit(most).unionByName(usable.where("toxic = 0").orderBy(*order).limit(most))
     rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(picked, "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [words_of(r["text"]) for r in rows], [r["toxic"] for r in rows], share
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]), reverse=True)
+    one: dict[str, str] = {}  # equal words are one object
+    texts, marks = [], []
+    while rows:
+        r = rows.pop()
+        texts.append([one.setdefault(w, w) for w in words_of(r["text"])])
+        marks.append(r["toxic"])
+    return texts, marks, share
 
 
 def score_documents(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
