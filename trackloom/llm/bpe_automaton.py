@@ -23,6 +23,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +34,14 @@ from .common import Memo, small_batches, table
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Distinct words, and chunks between white space, whose encoding a worker remembers, in each of two generations.
-MEMO = 300_000
+MEMO = 500_000
 
 #: Entries of the transition table that are kept; emptied when full.
 ARCS = 600_000
 
+#: Lengths of the beginnings of words whose states are remembered, and how many of them.
+SHARED, STATES = (9, 6), 200_000
+
 #: Words and chunks longer than this are encoded but not remembered.
 MEMO_CHARS = 64
 
@@ -123,6 +127,7 @@ class BpeCodec:
                 lengths.setdefault(t[-3:], set()).add(len(t))
         #: Lengths of the tokens that end in these three characters, longest first.
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        self.states: dict[str, tuple[str, ...]] = {}
         self.memo, self.words = Memo(MEMO), Memo(MEMO // 2)
 
     @staticmethod
@@ -152,7 +157,14 @@ class BpeCodec:
         n = len(text)
         has, arc, known, lengths = self.automaton.born, self.automaton.arc, self.automaton.table, self.lengths
         came: list[str] = [""] * (n + 1)
-        for to in range(1, n + 1):
+        # Words share beginnings: the arcs into the prefixes of a beginning are looked up together.
+        begin = 1
+        for k in SHARED:
+            if k < n - 1 and (shared := self.states.get(text[:k])):
+                came[1 : k + 1] = shared
+                begin = k + 1
+                break
+        for to in range(begin, n + 1):
             if to == n - 1:
                 continue  # the mark of the word's end belongs to the last symbol
             for size in *lengths.get(text[to - 3 : to] if to > 2 else "", ()), 2, 1:
@@ -167,6 +179,11 @@ class BpeCodec:
                             continue
                     came[to] = label
                     break
+        for k in SHARED:
+            if begin <= k < n - 1:
+                if len(self.states) >= STATES:
+                    self.states.clear()
+                self.states[text[:k]] = tuple(came[1 : k + 1])
         labels, at = [], n
         while at:
             labels.append(came[at])
@@ -183,16 +200,19 @@ class BpeCodec:
         return out
 
     def encode_chunk(self, chunk: str) -> tuple[bytes, str]:
-        """A piece of raw text without white space. Normalising and splitting look at no character beyond it."""
+        """A piece of normalised text without white space; splitting looks at no character beyond it."""
         out = self.memo.old_value(chunk)
         if out is not None:
             return out
-        plain = chunk.isascii()
-        text = chunk.lower() if plain else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        if plain or self.newer is None or not self.newer.search(text):
-            found = self.word.findall(text)
+        # The common shapes are split without the pattern: letters, and letters before one plain mark.
+        if chunk.isalpha():
+            found = [chunk]
+        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            found = [chunk[:-1], chunk[-1]]
+        elif self.newer is None or chunk.isascii() or not self.newer.search(chunk):
+            found = self.word.findall(chunk)
         else:
-            found = [text[m.start() : m.end()] for m in self.word.finditer(self.newer.sub("\uffff", text))]
+            found = [chunk[m.start() : m.end()] for m in self.word.finditer(self.newer.sub("\uffff", chunk))]
         pairs = [self.encode_word(w) for w in found]
         out = pairs[0] if len(pairs) == 1 else (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]))
         if len(chunk) <= MEMO_CHARS:
@@ -200,6 +220,7 @@ class BpeCodec:
         return out
 
     def _plain(self, text: str, out: list[tuple[bytes, str]]) -> None:
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         known, slow = self.memo.new.get, self.encode_chunk
         out.extend([known(c) or slow(c) for c in self.space.split(text) if c])
 
@@ -245,7 +266,9 @@ def _mapped(docs: DataFrame, path: str, fields: list[T.StructField], make, id_co
         for b in batches:
             rows = [make(codec, t.as_py() or "") for t in b.column(1)]
             cols = list(zip(*rows, strict=True)) or [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], names=["doc_id", *(f.name for f in fields)])
+            types = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+            arrays = [pa.array(c, types[f.dataType.simpleString()]) for c, f in zip(cols, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", *(f.name for f in fields)])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -260,7 +283,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def make(codec: BpeCodec, text: str):
         pairs = codec.encode_pairs(text)
         ids = b"".join(p[0] for p in pairs)
-        return struct.unpack(f"<{len(ids) // 4}i", ids), " ".join(p[1] for p in pairs)
+        return np.frombuffer(ids, "<i4"), " ".join([p[1] for p in pairs])
 
     return _mapped(docs, path, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], make, id_col, text_col)
 
