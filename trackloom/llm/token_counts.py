@@ -26,7 +26,13 @@ MARK = "▁"
 #: Distinct units that a worker remembers, in each of two generations.
 MEMO = 600_000
 
-#: The same for pairs of tokens.
+#: Lengths of the beginnings of units whose entries are remembered, and how many of them.
+SHARED, STATES = (9, 6), 200_000
+
+#: Where no longer piece can end.
+ALONE = (1,)
+
+#: The most pairs of tokens that are remembered.
 PAIRS = 400_000
 
 #: Units longer than this are counted but not remembered.
@@ -50,10 +56,13 @@ class PrefixCounter:
         for p in self.score:
             ends.setdefault(p[-2:], set()).add(len(p))
         #: Lengths of the pieces that end in these two characters, longest first.
-        self.lengths = {e: sorted(n, reverse=True) for e, n in ends.items() if len(e) == 2}
+        self.lengths = {e: (*sorted(n, reverse=True), 1) for e, n in ends.items() if len(e) == 2}
+        #: Characters that stand side by side in some piece; between others no merge can reach.
+        self.meet = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.pair: dict[tuple[str, str], bool] = {}
+        self.states: dict[str, tuple] = {}
         self.runs = {0: 0, 1: 1}
-        self.totals = Memo(MEMO)
+        self.totals, self.parts = Memo(MEMO), Memo(MEMO // 2)
         self.unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def cost(self, piece: str) -> int:
@@ -93,14 +102,19 @@ class PrefixCounter:
             known = self.pair[key] = self.merge(a + b) == [a, b]
         return known
 
-    def table(self, unit: str) -> tuple[list[int], list[bool]]:
-        """For every prefix of a unit with one leading mark at most: its tokens, and whether the first token is
-        longer than one character."""
-        score, lengths = self.score, self.lengths
-        pair, slow = self.pair, self.compatible
-        count, last, joined = [0] * (len(unit) + 1), [""] * (len(unit) + 1), [False] * (len(unit) + 1)
-        for end in range(1, len(unit) + 1):
-            for n in *lengths.get(unit[end - 2 : end] if end > 1 else "", ()), 1:
+    def last_tokens(self, unit: str) -> list[str]:
+        """The last token of the encoding of every prefix of a unit with one leading mark at most."""
+        score, lengths, pair, slow = self.score, self.lengths, self.pair, self.compatible
+        last = [""] * (len(unit) + 1)
+        # Units share beginnings: the entries of a beginning are looked up together.
+        begin = 1
+        for k in SHARED:
+            if k <= len(unit) and (shared := self.states.get(unit[:k])):
+                last[: k + 1] = shared
+                begin = k + 1
+                break
+        for end in range(begin, len(unit) + 1):
+            for n in lengths.get(unit[end - 2 : end] if end > 1 else "", ALONE):
                 start = end - n
                 if start < 0:
                     continue
@@ -111,11 +125,26 @@ class PrefixCounter:
                     fits = pair.get((last[start], piece))
                     if not (slow(last[start], piece) if fits is None else fits):
                         continue
-                count[end], last[end] = count[start] + (1 if n > 1 else self.cost(piece)), piece
-                joined[end] = joined[start] if start else end > 1
+                last[end] = piece
                 break
             else:
                 raise AssertionError(f"no token ends at {end} of {unit!r}")
+        for k in SHARED:
+            if begin <= k <= len(unit):
+                if len(self.states) >= STATES:
+                    self.states.clear()
+                self.states[unit[:k]] = tuple(last[: k + 1])
+        return last
+
+    def table(self, unit: str) -> tuple[list[int], list[bool]]:
+        """For every prefix of a unit with one leading mark at most: its tokens, and whether the first token is
+        longer than one character."""
+        last = self.last_tokens(unit)
+        count, joined = [0] * len(last), [False] * len(last)
+        for end in range(1, len(last)):
+            start = end - len(last[end])
+            count[end] = count[start] + self.cost(last[end])
+            joined[end] = joined[start] if start else end > 1
         return count, joined
 
     def run_count(self, n: int) -> int:
@@ -143,11 +172,30 @@ class PrefixCounter:
         n = self.totals.old_value(unit)
         if n is None:
             lead = len(unit) - len(unit.lstrip(MARK))
-            n = self.table(unit)[0][-1] if lead < 2 else self.run_count(lead) if lead == len(unit) else self.beyond_run(unit, lead)[-1]
+            n = self.fresh_total(unit) if lead < 2 else self.run_count(lead) if lead == len(unit) else self.beyond_run(unit, lead)[-1]
             if len(unit) <= MEMO_CHARS:
                 self.totals.put(unit, n)
         return n
 
+    def fresh_total(self, unit: str) -> int:
+        """Tokens of a unit with one leading mark at most. It is cut where no piece has the two characters side by
+        side, as the parts are then encoded independently too."""
+        meet, known = self.meet, self.parts.new
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in meet]
+        total = 0
+        for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True):
+            part = unit[a:b]
+            n = known.get(part) or self.parts.old_value(part)
+            if n is None:
+                last, n, at = self.last_tokens(part), 0, len(part)
+                while at:
+                    n += self.cost(last[at])
+                    at -= len(last[at])
+                if len(part) <= MEMO_CHARS:
+                    self.parts.put(part, n)
+            total += n
+        return total
+
     def units(self, text: str) -> list[str]:
         """A mark stands for each space, and one is put before the text."""
         return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
