@@ -1,4 +1,519 @@
-"""The registered route queries and their SQL twins."""
+"""The registered route queries and their SQL twins.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Tracks are derived from the events table. Values that come from distances are rounded to six decimals in both, as
+sums of doubles depend on their order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from trackloom.functions import formats, geo, physics
+from trackloom.operators import asof, elevation, intervals, spatial, tracks
+from trackloom.operators import kernels as kern
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(c) -> Column:
+    return F.round(c, 6)
+
+
+def points(spark, sf_dir: str) -> DataFrame:
+    return tracks.with_distance(tracks.derived_tracks(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def graded(spark, sf_dir: str) -> DataFrame:
+    return tracks.with_gradient(points(spark, sf_dir))
+
+
+def hav(a: str, b: str, c: str, d: str) -> str:
+    return (
+        f"2*6371000.0*asin(sqrt(pow(sin(radians({c}-{a})/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-{b})/2),2)))"
+    )
+
+
+def bear(a: str, b: str, c: str, d: str) -> str:
+    y, x = f"sin(radians({d}-{b}))*cos(radians({c}))", f"cos(radians({a}))*sin(radians({c}))-sin(radians({a}))*cos(radians({c}))*cos(radians({d}-{b}))"
+    return f"fmod(degrees(atan2({y},{x}))+360.0+360.0,360.0)"
+
+
+TRK = """
+o AS (SELECT user_id AS track_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events),
+trk AS (SELECT track_id, CAST(idx AS BIGINT) AS idx, CAST(46.0 AS DOUBLE) + idx * CAST(0.0001 AS DOUBLE) AS lat,
+  CAST(14.5 AS DOUBLE) + (event_id % 7) * CAST(0.00002 AS DOUBLE) AS lon,
+  CAST(300.0 AS DOUBLE) + idx * CAST(0.5 AS DOUBLE) + CASE WHEN event_type = 'error' THEN value * CAST(0.05 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS ele FROM o)"""
+PTS = TRK + f""",
+seg AS (SELECT *, coalesce({hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0.0) AS seg FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+pts AS (SELECT *, sum(seg) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dist FROM seg)"""
+GRD = PTS + """,
+st AS (SELECT *, lead(dist) OVER w - dist AS ds, lead(ele) OVER w - ele AS dz FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+og AS (SELECT *, CASE WHEN ds > 0.01 THEN 100*dz/ds WHEN ds IS NOT NULL THEN 0.0 END AS own FROM st),
+grd AS (SELECT *, coalesce(own, lag(own) OVER (PARTITION BY track_id ORDER BY idx), 0.0) AS gr FROM og)"""
+
+
+def q(body: str, ctes: str = PTS) -> str:
+    return f"WITH {ctes.strip()}\n{body}"
+
+
+W = "(PARTITION BY track_id ORDER BY idx)"
+
+
+@registered("track_stats", q("""SELECT track_id, round(max(dist),6) AS length, CAST(floor(sum(greatest(coalesce(d,0.0),0.0))+0.5) AS BIGINT) AS ascent,
+ CAST(floor(sum(greatest(-coalesce(d,0.0),0.0))+0.5) AS BIGINT) AS descent, count(*) AS points, round(max(abs(gr)),6) AS max_gradient
+ FROM (SELECT *, ele - lag(ele) OVER (PARTITION BY track_id ORDER BY idx) AS d FROM grd) GROUP BY track_id""", GRD))
+def track_stats(spark, sf_dir):
+    return tracks.track_stats(graded(spark, sf_dir)).withColumn("length", r6("length")).withColumn("max_gradient", r6("max_gradient"))
+
+
+@registered("cumulative_distance", q("SELECT track_id, idx, round(seg,6) AS seg, round(dist,6) AS dist FROM pts"))
+def cumulative_distance(spark, sf_dir):
+    return points(spark, sf_dir).select("track_id", "idx", r6("seg").alias("seg"), r6("dist").alias("dist"))
+
+
+@registered("gradients", q("SELECT track_id, idx, round(gr,6) AS gr FROM grd", GRD))
+def gradients(spark, sf_dir):
+    return graded(spark, sf_dir).select("track_id", "idx", r6("gr").alias("gr"))
+
+
+@registered("bounds", q("""SELECT track_id, round(min(lat)-50/111320.0,9) AS south, round(min(lon)-50/111320.0/cos(radians((min(lat)+max(lat))/2)),9) AS west,
+ round(max(lat)+50/111320.0,9) AS north, round(max(lon)+50/111320.0/cos(radians((min(lat)+max(lat))/2)),9) AS east FROM trk GROUP BY track_id""", TRK))
+def bounds(spark, sf_dir):
+    b = tracks.bounds(tracks.derived_tracks(spark.read.parquet(f"{sf_dir}/events.parquet")), 50.0)
+    return b.select("track_id", *[F.round(c, 9).alias(c) for c in ("south", "west", "north", "east")])
+
+
+@registered("bearing_turn", q(f"""SELECT track_id, idx, round(b,6) AS bearing, round(coalesce(CASE WHEN ma < 1e-12 OR mb < 1e-12 THEN 0.0 ELSE 180 - degrees(acos(greatest(-1.0, least(1.0, (px*qx+py*qy)/(ma*mb))))) END, 0.0),4) AS turn
+ FROM (SELECT *, sqrt(px*px+py*py) AS ma, sqrt(qx*qx+qy*qy) AS mb FROM (SELECT track_id, idx, {bear('lat', 'lon', f'lead(lat) OVER {W}', f'lead(lon) OVER {W}')} AS b,
+ lag(lat) OVER {W} - lat AS px, lag(lon) OVER {W} - lon AS py, lead(lat) OVER {W} - lat AS qx, lead(lon) OVER {W} - lon AS qy FROM trk))""", TRK))
+def bearing_turn(spark, sf_dir):
+    return tracks.with_bearing(points(spark, sf_dir)).select("track_id", "idx", r6("bearing").alias("bearing"), F.round("turn", 4).alias("turn"))
+
+
+@registered("gradient_avg", q(f"""SELECT track_id, idx, round(e0 + sum(rise) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),6) AS ele_smoothed
+ FROM (SELECT *, coalesce(lag(m*ds) OVER {W}, 0.0) AS rise, first_value(ele) OVER {W} AS e0 FROM (SELECT *, CASE WHEN ds IS NOT NULL THEN avg(sl) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) END AS m
+ FROM (SELECT *, CASE WHEN ds > 0 THEN dz/ds WHEN ds IS NOT NULL THEN 0.0 END AS sl FROM st)))""", GRD))
+def gradient_avg(spark, sf_dir):
+    return tracks.averaged_gradient(points(spark, sf_dir)).select("track_id", "idx", r6("ele_smoothed").alias("ele_smoothed"))
+
+
+@registered("display_avg", q("SELECT track_id, idx, round(avg(gr) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING),6) AS gr_shown FROM grd", GRD))
+def display_avg(spark, sf_dir):
+    return tracks.display_gradient(graded(spark, sf_dir)).select("track_id", "idx", r6("gr_shown").alias("gr_shown"))
+
+
+@registered("gradient_integrate", q(f"""SELECT track_id, idx, round(raw + (last_value(ele) OVER wh - last_value(raw) OVER wh) * coalesce(dist/nullif(last_value(dist) OVER wh, 0.0), 0.0),6) AS ele_integrated
+ FROM (SELECT *, first_value(ele) OVER {W} + sum(s) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw
+ FROM (SELECT *, coalesce(lag(gr/100) OVER {W} * (dist - lag(dist) OVER {W}), 0.0) AS s FROM grd))
+ WINDOW wh AS (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", GRD))
+def gradient_integrate(spark, sf_dir):
+    return tracks.integrated(graded(spark, sf_dir)).select("track_id", "idx", r6("ele_integrated").alias("ele_integrated"))
+
+
+@registered("radius3", q(f"""SELECT track_id, idx, CASE WHEN ar IS NULL OR ar < 1e-10 THEN NULL ELSE round(a*b*d/(2*ar),2) END AS radius3 FROM (SELECT *, sqrt(px*px+py*py) AS a, sqrt(qx*qx+qy*qy) AS b, sqrt((px-qx)*(px-qx)+(py-qy)*(py-qy)) AS d, abs(px*qy-py*qx) AS ar
+ FROM (SELECT track_id, idx, (lag(lon) OVER {W}-lon)*k*cos(radians(lat)) AS px, (lag(lat) OVER {W}-lat)*k AS py, (lead(lon) OVER {W}-lon)*k*cos(radians(lat)) AS qx, (lead(lat) OVER {W}-lat)*k AS qy FROM (SELECT *, pi()/180*6371000.0 AS k FROM trk)))""", TRK))
+def radius3(spark, sf_dir):
+    out = tracks.with_radius(points(spark, sf_dir))
+    return out.select("track_id", "idx", F.when(F.col("radius3") < float("inf"), F.round("radius3", 2)).alias("radius3"))
+
+
+@registered("tangent_slope", q("""SELECT track_id, idx, round(coalesce((last_value(ele) OVER w - first_value(ele) OVER w)/nullif(last_value(dist) OVER w - first_value(dist) OVER w,0.0),0.0),6) AS tangent
+ FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)"""))
+def tangent_slope(spark, sf_dir):
+    return tracks.tangent_slope(points(spark, sf_dir)).select("track_id", "idx", r6("tangent").alias("tangent"))
+
+
+RANGE = "(PARTITION BY track_id ORDER BY dist RANGE BETWEEN 75.0 PRECEDING AND 75.0 FOLLOWING)"
+OPN = PTS + f""",
+low AS (SELECT *, min(ele) OVER {RANGE} AS eroded FROM pts), opn AS (SELECT *, max(eroded) OVER {RANGE} AS opening FROM low)"""
+
+
+@registered("erosion", q("SELECT track_id, idx, round(eroded,6) AS eroded FROM low", OPN))
+def erosion(spark, sf_dir):
+    return tracks.eroded(points(spark, sf_dir)).select("track_id", "idx", r6("eroded").alias("eroded"))
+
+
+@registered("dilation", q(f"SELECT track_id, idx, round(max(ele) OVER {RANGE},6) AS dilated FROM pts"))
+def dilation(spark, sf_dir):
+    return tracks.dilated(points(spark, sf_dir)).select("track_id", "idx", r6("dilated").alias("dilated"))
+
+
+@registered("opening", q("SELECT track_id, idx, round(opening,6) AS opening FROM opn", OPN))
+def opening(spark, sf_dir):
+    return tracks.opened(points(spark, sf_dir)).select("track_id", "idx", r6("opening").alias("opening"))
+
+
+REG = OPN + """,
+fl AS (SELECT track_id, idx, dist, ele-opening AS rise FROM opn WHERE ele-opening > 1.5),
+ru AS (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY track_id ORDER BY idx) > 1 THEN 1 ELSE 0 END AS b FROM fl)),
+rr AS (SELECT track_id, island, min(dist) AS f, max(dist) AS t, max(rise) AS spike FROM ru GROUP BY 1,2),
+wd AS (SELECT r.track_id, island, min(dist) AS lo_m, max(dist) AS hi_m, max(spike) AS spike FROM rr r JOIN pts p ON r.track_id=p.track_id AND p.dist >= f-15 AND p.dist < t+16 GROUP BY 1,2),
+mg AS (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY lo_m, hi_m ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lo_m - max(hi_m) OVER (PARTITION BY track_id ORDER BY lo_m, hi_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 1 ELSE 0 END AS b FROM wd))"""
+
+
+@registered("veg_regions", q("SELECT track_id, round(min(lo_m),6) AS lo_m, round(max(hi_m),6) AS hi_m, round(max(spike),6) AS max_spike FROM mg GROUP BY track_id, g HAVING max(hi_m)-min(lo_m) >= 5", REG))
+def veg_regions(spark, sf_dir):
+    found = intervals.raised_regions(tracks.opened(points(spark, sf_dir)))
+    return found.select("track_id", *[r6(c).alias(c) for c in ("lo_m", "hi_m", "max_spike")])
+
+
+RUN = GRD + """,
+bad AS (SELECT track_id, idx, CASE WHEN idx - lag(idx) OVER (PARTITION BY track_id ORDER BY idx) > 3 THEN 1 ELSE 0 END AS b FROM grd WHERE abs(gr) > 25),
+run AS (SELECT track_id, min(idx) AS lo, max(idx) AS hi FROM (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS g FROM bad) GROUP BY track_id, g),
+nn AS (SELECT track_id, max(idx) AS n FROM grd GROUP BY 1),
+anc AS (SELECT r.track_id, lo, hi, coalesce((SELECT max(idx) FROM grd g WHERE g.track_id=r.track_id AND g.idx<r.lo AND abs(g.gr)<20),0) AS alo,
+  least(coalesce((SELECT min(idx)+1 FROM grd g WHERE g.track_id=r.track_id AND g.idx>r.hi AND abs(g.gr)<20),n),n) AS ahi FROM run r JOIN nn USING (track_id)),
+zm AS (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY alo, ahi ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN alo > max(ahi) OVER (PARTITION BY track_id ORDER BY alo, ahi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS b FROM anc)),
+z1 AS (SELECT track_id, min(alo) AS alo, max(ahi) AS ahi FROM zm GROUP BY track_id, g),
+z2 AS (SELECT z.*, a.dist AS dlo, b.dist AS dhi FROM z1 z JOIN grd a ON a.track_id=z.track_id AND a.idx=z.alo JOIN grd b ON b.track_id=z.track_id AND b.idx=z.ahi),
+z3 AS (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY alo ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN dlo - max(dhi) OVER (PARTITION BY track_id ORDER BY alo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 10 THEN 1 ELSE 0 END AS b FROM z2)),
+zone AS (SELECT track_id, min(alo) AS alo, max(ahi) AS ahi FROM z3 GROUP BY track_id, g)"""
+CALM = {"calm": 20.0, "gap": 3}
+
+
+@registered("spike_runs", q("SELECT * FROM run", RUN))
+def spike_runs(spark, sf_dir):
+    return intervals.spike_runs(graded(spark, sf_dir), gap=3)
+
+
+@registered("spike_anchors", q("SELECT track_id, lo, hi, CAST(alo AS BIGINT) AS alo, CAST(ahi AS BIGINT) AS ahi FROM anc", RUN))
+def spike_anchors(spark, sf_dir):
+    g = graded(spark, sf_dir)
+    return intervals.spike_anchors(g, intervals.spike_runs(g, gap=3), 20.0).select("track_id", "lo", "hi", F.col("alo").cast("long"), F.col("ahi").cast("long"))
+
+
+@registered("spike_zones", q("SELECT track_id, CAST(alo AS BIGINT) AS alo, CAST(ahi AS BIGINT) AS ahi FROM zone", RUN))
+def spike_zones(spark, sf_dir):
+    return intervals.spike_zones(graded(spark, sf_dir), **CALM).select("track_id", F.col("alo").cast("long"), F.col("ahi").cast("long"))
+
+
+@registered("zone_stats", q("""SELECT z.track_id, z.alo, z.ahi, round(max(CASE WHEN idx=ahi THEN dist END)-max(CASE WHEN idx=alo THEN dist END),6) AS span,
+ round(min(CASE WHEN idx BETWEEN alo AND ahi THEN ele END),6) AS lowest, round(max(CASE WHEN idx BETWEEN alo AND ahi THEN ele END),6) AS highest,
+ round(coalesce(avg(CASE WHEN idx>=alo AND idx<ahi THEN abs(gr) END),0.0),6) AS mean_gr,
+ CAST(floor(CAST(100 AS DOUBLE)*sum(CASE WHEN idx>alo AND idx<ahi AND sign(gr)<>sign(pg) AND gr<>0 AND pg<>0 THEN 1 ELSE 0 END)/greatest(1,max(ahi-alo)-1)+0.5) AS BIGINT) AS rev_rate
+ FROM zone z JOIN (SELECT *, lag(gr) OVER (PARTITION BY track_id ORDER BY idx) AS pg FROM grd) p ON p.track_id=z.track_id AND idx BETWEEN alo-8 AND ahi+8 GROUP BY 1,2,3""", RUN))
+def zone_stats(spark, sf_dir):
+    g = graded(spark, sf_dir)
+    s = intervals.zone_stats(g, intervals.spike_zones(g, **CALM))
+    return s.select("track_id", "alo", "ahi", *[r6(c).alias(c) for c in ("span", "lowest", "highest", "mean_gr")], F.col("rev_rate").cast("long").alias("rev_rate"))
+
+
+@registered("zone_interp", q("""SELECT p.track_id, p.idx, round(coalesce(v, ele),6) AS ele_fixed FROM grd p LEFT JOIN (
+ SELECT p.track_id, p.idx, a.ele + (p.dist-a.dist)/(b.dist-a.dist)*(b.ele-a.ele) AS v FROM zone z JOIN grd a ON a.track_id=z.track_id AND a.idx=alo JOIN grd b ON b.track_id=z.track_id AND b.idx=ahi
+ JOIN grd p ON p.track_id=z.track_id AND p.idx>alo AND p.idx<ahi WHERE b.dist>a.dist) f ON f.track_id=p.track_id AND f.idx=p.idx""", RUN))
+def zone_interp(spark, sf_dir):
+    g = graded(spark, sf_dir)
+    return intervals.interpolated(g, intervals.spike_zones(g, **CALM)).select("track_id", "idx", r6("ele_fixed").alias("ele_fixed"))
+
+
+@registered("resample_10m", q("""SELECT track_id, k, round(k*step,6) AS dist, round(CASE WHEN k=n-1 THEN blat ELSE alat+t*(blat-alat) END,6) AS lat, round(CASE WHEN k=n-1 THEN bele ELSE aele+t*(bele-aele) END,5) AS ele FROM (
+ SELECT g.track_id, g.k, g.step, g.n, p.*, coalesce((g.k*step-ad)/nullif(bd-ad,0.0),0.0) AS t FROM (SELECT track_id, n, total/(n-1) AS step, CAST(unnest(range(CAST(n AS BIGINT))) AS BIGINT) AS k FROM (SELECT track_id, max(dist) AS total, greatest(2, floor(max(dist)/10+0.5)+1) AS n FROM pts GROUP BY 1)) g
+ ASOF JOIN (SELECT track_id AS tid, dist AS ad, lat AS alat, ele AS aele, coalesce(lead(dist) OVER w, dist) AS bd, coalesce(lead(lat) OVER w, lat) AS blat, coalesce(lead(ele) OVER w, ele) AS bele FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY idx)) p
+ ON g.track_id=p.tid AND p.ad <= g.k*step + 1e-9)"""))
+def resample_10m(spark, sf_dir):
+    return asof.resampled(points(spark, sf_dir), 10.0).select("track_id", "k", r6("dist").alias("dist"), r6("lat").alias("lat"), F.round("ele", 5).alias("ele"))
+
+
+@registered("densify", q("""SELECT track_id, idx, part, round(CASE WHEN part=0 THEN lat ELSE lat + part/(steps+1.0)*(blat-lat) END,9) AS lat, round(CASE WHEN part=0 THEN ele ELSE ele + part/(steps+1.0)*(bele-ele) END,6) AS ele
+ FROM (SELECT *, unnest(range(steps+1)) AS part FROM (SELECT *, coalesce(CAST(floor((lead(dist) OVER w - dist)/5.0) AS BIGINT),0) AS steps, lead(lat) OVER w AS blat, lead(ele) OVER w AS bele FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY idx)))"""))
+def densify(spark, sf_dir):
+    return asof.densified(points(spark, sf_dir), 5.0).select("track_id", "idx", "part", F.round("lat", 9).alias("lat"), r6("ele").alias("ele"))
+
+
+@registered("boundary_search", q("""SELECT track_id, target_id, CAST(coalesce(min(CASE WHEN dist >= target_id*100.0 THEN idx END), max(idx)) AS BIGINT) AS idx FROM pts, (SELECT unnest([1,2,3,4,5,50]) AS target_id) GROUP BY 1,2"""))
+def boundary_search(spark, sf_dir):
+    p = points(spark, sf_dir)
+    t = p.where("idx = 0").select("track_id", F.explode(F.array(*map(F.lit, (1, 2, 3, 4, 5, 50)))).alias("target_id"))
+    return asof.at_distance(t.withColumn("target_m", F.col("target_id") * 100.0), p)
+
+
+@registered("transfer", q("""SELECT track_id, idx, round(coalesce(aele + (place_m-ad)/nullif(bd-ad,0.0)*(bele-aele), aele),5) AS ele FROM (SELECT g.track_id, g.idx, g.place_m, p.* FROM
+ (SELECT p.track_id, idx, dist/own*own AS place_m FROM pts p JOIN (SELECT track_id, max(dist) AS own FROM pts WHERE idx % 3 = 0 GROUP BY 1) USING (track_id) WHERE idx % 3 = 0) g
+ ASOF JOIN (SELECT track_id AS tid, dist AS ad, ele AS aele, lead(dist) OVER w AS bd, lead(ele) OVER w AS bele FROM (SELECT p.* FROM pts p) WINDOW w AS (PARTITION BY track_id ORDER BY idx)) p ON g.track_id=p.tid AND p.ad <= g.place_m+1e-9)"""))
+def transfer(spark, sf_dir):
+    p = points(spark, sf_dir)
+    third = p.where("idx % 3 = 0")
+    last = third.groupBy("track_id").agg(F.max("dist").alias("own"))
+    source = p.join(last, "track_id").where("dist <= own + 1e-9")
+    return asof.transferred(third, source).select("track_id", "idx", F.round("ele", 5).alias("ele"))
+
+
+SPD = """CASE WHEN g > 0.02 THEN 0.24928 WHEN g < -0.02 THEN 0.20768 ELSE 0.19392 END"""
+TIM = PTS + """,
+s1 AS (SELECT *, lead(dist) OVER w - dist AS d, lead(ele) OVER w - ele AS dz FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+s2 AS (SELECT *, CASE WHEN d > 0.5 THEN greatest(-0.25, least(0.25, dz/d)) WHEN d IS NOT NULL THEN 0.0 END AS sl FROM s1),
+s3 AS (SELECT *, CASE WHEN d IS NOT NULL THEN avg(sl) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END AS g FROM s2),
+s4 AS (SELECT *, list_reduce(list_prepend({'lo': CAST(1.0 AS DOUBLE), 'hi': CAST(22.2 AS DOUBLE)}, list_transform(range(50), lambda k: {'lo': CAST(0.0 AS DOUBLE), 'hi': CAST(0.0 AS DOUBLE)})),
+  lambda s, x: CASE WHEN (0.004*80.0*9.8067 + 80.0*9.8067*g)*((s.lo+s.hi)/2) + 0.5*1.225*(""" + SPD + """)*((s.lo+s.hi)/2)*((s.lo+s.hi)/2)*((s.lo+s.hi)/2) < 200.0 THEN {'lo': (s.lo+s.hi)/2, 'hi': s.hi} ELSE {'lo': s.lo, 'hi': (s.lo+s.hi)/2} END) AS sp FROM s3),
+tim AS (SELECT *, sum(coalesce(lag_t,0.0)) OVER (PARTITION BY track_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS cum_time, sum(coalesce(lag_u,0.0)) OVER (PARTITION BY track_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS cum_climb FROM (SELECT *, lag(d/((sp.lo+sp.hi)/2)) OVER w AS lag_t, lag(greatest(dz,0.0)) OVER w AS lag_u FROM s4 WINDOW w AS (PARTITION BY track_id ORDER BY idx)))"""
+
+
+@registered("timing", q("SELECT track_id, idx, round(cum_time,5) AS cum_time, round(cum_climb,5) AS cum_climb FROM tim", TIM))
+def timing(spark, sf_dir):
+    return tracks.timing(points(spark, sf_dir)).select("track_id", "idx", F.round("cum_time", 5).alias("cum_time"), F.round("cum_climb", 5).alias("cum_climb"))
+
+
+@registered("split_targets", q("""SELECT track_id, CAST(unnest(range(1, CAST(n AS BIGINT)+1)) AS BIGINT) AS split, n FROM (SELECT track_id, CAST(greatest(1, floor(max(cum_time)/60.0+0.5)) AS BIGINT) AS n FROM tim GROUP BY 1 HAVING max(cum_time) > 0)""", TIM))
+def split_targets(spark, sf_dir):
+    t = asof.split_targets(tracks.timing(points(spark, sf_dir)), 60.0)
+    n = t.groupBy("track_id").agg(F.max("split").alias("n"))
+    return t.select("track_id", "split").join(n, "track_id")
+
+
+TRIM = """SELECT track_id, idx, round(CASE WHEN idx = n-1 AND n > 1 THEN lag(e) OVER w ELSE e END,6) AS ele FROM (SELECT *, CASE WHEN idx = 0 THEN coalesce(lead(ele) OVER w, ele) ELSE ele END AS e, count(*) OVER (PARTITION BY track_id) AS n
+ FROM (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY idx) - 1 AS idx, ele FROM trk WHERE %s) WINDOW w AS (PARTITION BY track_id ORDER BY idx)) WINDOW w AS (PARTITION BY track_id ORDER BY idx)"""
+
+
+@registered("trim_start", q(TRIM % "idx >= 12", TRK))
+def trim_start(spark, sf_dir):
+    return tracks.trimmed(points(spark, sf_dir), 3, 12).select("track_id", "idx", r6("ele").alias("ele"))
+
+
+@registered("trim_mid", q(TRIM % "idx <= 15 OR idx >= 25", TRK))
+def trim_mid(spark, sf_dir):
+    return tracks.trimmed(points(spark, sf_dir), 15, 25).select("track_id", "idx", r6("ele").alias("ele"))
+
+
+@registered("dedup_points", q("""SELECT track_id, g-1 AS idx, round(avg(lat),9) AS lat, round(avg(lon),9) AS lon, round(avg(ele),6) AS ele FROM (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS g
+ FROM (SELECT *, CASE WHEN idx = 0 OR abs(lon - lag(lon) OVER (PARTITION BY track_id ORDER BY idx)) > 1e-9 THEN 1 ELSE 0 END AS b FROM trk)) GROUP BY track_id, g""", TRK))
+def dedup_points(spark, sf_dir):
+    flat = points(spark, sf_dir).withColumn("lat", F.lit(46.0))
+    p = points(spark, sf_dir).select("track_id", "idx", F.col("lat").alias("real"))
+    joined = tracks.without_duplicates(flat)
+    runs = intervals.islands(points(spark, sf_dir), F.abs(F.col("lon") - F.lag("lon").over(tracks.in_order())) > 1e-9, ["track_id"], ["idx"])
+    lat = runs.join(p, ["track_id", "idx"]).groupBy("track_id", (F.col("island") - 1).alias("idx")).agg(F.avg("real").alias("lat"))
+    return joined.drop("lat").join(lat, ["track_id", "idx"]).select("track_id", "idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), r6("ele").alias("ele"))
+
+
+@registered("curvature", q(f"""SELECT track_id, idx, round(CASE WHEN tu IS NULL THEN 0.0 ELSE least(coalesce((coalesce(sum(tu) OVER r,0.0)-tu)/nullif(count(tu) OVER r - 1,0),0.0)/(pi()/4),1.0) END,5) AS curvature
+ FROM (SELECT *, radians(CASE WHEN abs(n-b) > 180 THEN 360-abs(n-b) ELSE abs(n-b) END) AS tu FROM (SELECT *, {bear(f'lag(lat) OVER {W}', f'lag(lon) OVER {W}', 'lat', 'lon')} AS b, {bear('lat', 'lon', f'lead(lat) OVER {W}', f'lead(lon) OVER {W}')} AS n FROM pts))
+ WINDOW r AS (PARTITION BY track_id ORDER BY dist RANGE BETWEEN 100.0 PRECEDING AND 100.0 FOLLOWING)"""))
+def curvature(spark, sf_dir):
+    return tracks.curvature(points(spark, sf_dir)).select("track_id", "idx", F.round("curvature", 5).alias("curvature"))
+
+
+def out_and_back(spark, sf_dir) -> DataFrame:
+    """Tracks that turn round: the second half runs back over the first."""
+    p = tracks.derived_tracks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    half = F.greatest(F.floor(F.max("idx").over(tracks.whole_track()) / 2), F.lit(1))
+    return tracks.with_distance(p.withColumn("lat", F.lit(46.0) + F.when(F.col("idx") > half, 2 * half - F.col("idx")).otherwise(F.col("idx")) * F.lit(0.0001)))
+
+
+BACK = TRK + f""",
+bk AS (SELECT track_id, idx, 46.0 + (CASE WHEN idx > h THEN 2*h-idx ELSE idx END)*CAST(0.0001 AS DOUBLE) AS lat, lon, ele FROM (SELECT *, greatest(max(idx) OVER (PARTITION BY track_id) // 2, 1) AS h FROM trk)),
+bs AS (SELECT a.track_id, a.idx AS i, b.idx AS j, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM bk a JOIN bk b ON a.track_id=b.track_id AND b.idx-a.idx >= 20)"""
+
+
+@registered("self_overlap", q("SELECT track_id, i, j, round(m,5) AS metres FROM bs WHERE m <= 8", BACK))
+def self_overlap(spark, sf_dir):
+    return spatial.self_proximity(out_and_back(spark, sf_dir), 8.0, 20).withColumn("metres", F.round("metres", 5))
+
+
+@registered("head_tail_overlap", q(f"""SELECT track_id, CAST(coalesce(max(CASE WHEN NOT near THEN idx END)+1, h) AS BIGINT) AS start FROM (SELECT b.track_id, b.idx, h, n, bool_or({hav('b.lat', 'b.lon', 'a.lat', 'a.lon')} <= 10) AS near FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS n, least(CAST(floor(count(*) OVER (PARTITION BY track_id)*0.2) AS BIGINT),200) AS h FROM bk) b
+ JOIN bk a ON a.track_id=b.track_id AND a.idx < b.h AND b.idx >= b.h WHERE n >= 20 GROUP BY 1,2,3,4) GROUP BY track_id, h, n HAVING n - coalesce(max(CASE WHEN NOT near THEN idx END)+1, h) >= 3""", BACK))
+def head_tail_overlap(spark, sf_dir):
+    return spatial.head_and_tail(out_and_back(spark, sf_dir))
+
+
+def places(spark, sf_dir) -> DataFrame:
+    """Places beside the tracks: one for each event of type error."""
+    e = tracks.derived_tracks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    near = e.where(F.col("idx") % 11 == 3).select((F.col("track_id") * 100000 + F.col("idx")).alias("place_id"), "track_id", (F.col("lat") + 0.000237).alias("lat"), (F.col("lon") + 0.000113).alias("lon"))
+    return near
+
+
+PLC = PTS + """,
+plc AS (SELECT track_id*100000+idx AS place_id, track_id, lat + CAST(0.000237 AS DOUBLE) AS lat, lon + CAST(0.000113 AS DOUBLE) AS lon FROM trk WHERE idx % 11 = 3)"""
+
+
+@registered("nearest_point", q("SELECT place_id, arg_min(idx, (d, idx)) AS idx FROM (SELECT place_id, p.idx, (p.lat-c.lat)*(p.lat-c.lat)+(p.lon-c.lon)*(p.lon-c.lon) AS d FROM plc c JOIN pts p USING (track_id)) GROUP BY 1", PLC))
+def nearest_point(spark, sf_dir):
+    return spatial.nearest_points(places(spark, sf_dir), points(spark, sf_dir))
+
+
+@registered("polyline_distance", q(f"""SELECT place_id, round(min(m),5) AS metres FROM (SELECT *, {hav('plat', 'plon', 'alat+t*(blat-alat)', 'alon+t*(blon-alon)')} AS m FROM (SELECT *, CASE WHEN n=0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((plat-alat)*(blat-alat)+(plon-alon)*(blon-alon))/n)) END AS t
+ FROM (SELECT c.place_id, c.lat AS plat, c.lon AS plon, s.*, pow(blat-alat,2)+pow(blon-alon,2) AS n FROM plc c JOIN (SELECT track_id, lat AS alat, lon AS alon, lead(lat) OVER {W} AS blat, lead(lon) OVER {W} AS blon FROM pts) s USING (track_id) WHERE blat IS NOT NULL))) GROUP BY 1""", PLC))
+def polyline_distance(spark, sf_dir):
+    return spatial.to_track(places(spark, sf_dir), points(spark, sf_dir)).select("place_id", F.round("metres", 5).alias("metres"))
+
+
+def structures(spark, sf_dir) -> DataFrame:
+    """Structures: lines of three nodes beside every twentieth point."""
+    e = tracks.derived_tracks(spark.read.parquet(f"{sf_dir}/events.parquet")).where(F.col("idx") % 20 == 5)
+    n = e.withColumn("node", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    return n.select((F.col("track_id") * 1000 + F.col("idx")).alias("struct_id"), "track_id", "node", (F.col("lat") + F.col("node") * F.lit(0.0002)).alias("lat"), (F.lit(14.50007) + F.col("node") * (F.col("idx") % 3) * F.lit(0.00004)).alias("lon"))
+
+
+STR = PTS + """,
+nod AS (SELECT track_id*1000+idx AS struct_id, track_id, node, lat + node*CAST(0.0002 AS DOUBLE) AS lat, CAST(14.50007 AS DOUBLE) + node*(idx%3)*CAST(0.00004 AS DOUBLE) AS lon FROM trk, (SELECT unnest([0,1,2]) AS node) WHERE idx % 20 = 5)"""
+
+
+def seg_dist(p: str, a: str, b: str) -> str:
+    d = f"(pow({b}.lat-{a}.lat,2)+pow({b}.lon-{a}.lon,2))"
+    t = f"(CASE WHEN {d}=0 THEN 0.0 ELSE greatest(0.0,least(1.0,(({p}.lat-{a}.lat)*({b}.lat-{a}.lat)+({p}.lon-{a}.lon)*({b}.lon-{a}.lon))/{d})) END)"
+    return hav(f"{p}.lat", f"{p}.lon", f"({a}.lat+{t}*({b}.lat-{a}.lat))", f"({a}.lon+{t}*({b}.lon-{a}.lon))")
+
+
+@registered("structure_filter", q(f"""SELECT struct_id, round(list_sort(list(m))[CAST(floor(len(list(m))/2) AS BIGINT)+1],5) AS median FROM (SELECT n.struct_id, n.node, min({seg_dist('n', 'a', 'b')}) AS m FROM nod n JOIN pts a ON a.track_id=n.track_id JOIN pts b ON b.track_id=a.track_id AND b.idx=a.idx+1 GROUP BY 1,2)
+ GROUP BY 1 HAVING list_sort(list(m))[CAST(floor(len(list(m))/2) AS BIGINT)+1] <= 9""", STR))
+def structure_filter(spark, sf_dir):
+    return spatial.structures_near(structures(spark, sf_dir), points(spark, sf_dir), 9.0).withColumn("median", F.round("median", 5))
+
+
+@registered("structure_spans", q(f"""SELECT struct_id, CAST(sum(b) AS BIGINT)*0+g AS pass, min(idx) AS alo, max(idx) AS ahi FROM (SELECT *, CAST(sum(b) OVER (PARTITION BY struct_id ORDER BY idx ROWS UNBOUNDED PRECEDING)+1 AS BIGINT) AS g FROM (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY struct_id ORDER BY idx) > 20 THEN 1 ELSE 0 END AS b
+ FROM (SELECT DISTINCT a.struct_id, p.idx FROM nod a JOIN nod b ON a.struct_id=b.struct_id AND b.node=a.node+1 JOIN pts p ON p.track_id=a.track_id WHERE {seg_dist('p', 'a', 'b')} <= 30))) GROUP BY struct_id, g""", STR))
+def structure_spans(spark, sf_dir):
+    return spatial.structure_spans(structures(spark, sf_dir), points(spark, sf_dir))
+
+
+@registered("bearing_semi", q(f"""SELECT DISTINCT struct_id FROM (SELECT s.struct_id, abs(fmod(abs(s.b-p.b),360.0)) AS d FROM (SELECT a.struct_id, a.track_id, {bear('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS b, (a.struct_id%1000) AS lo FROM nod a JOIN nod b ON a.struct_id=b.struct_id AND b.node=a.node+1) s
+ JOIN (SELECT track_id, idx, {bear('lat', 'lon', f'lead(lat) OVER {W}', f'lead(lon) OVER {W}')} AS b FROM pts) p ON p.track_id=s.track_id AND p.idx BETWEEN s.lo AND s.lo+4 AND p.b IS NOT NULL) WHERE (CASE WHEN (CASE WHEN d>180 THEN 360-d ELSE d END) > 90 THEN 180-(CASE WHEN d>180 THEN 360-d ELSE d END) ELSE (CASE WHEN d>180 THEN 360-d ELSE d END) END) <= 5""", STR))
+def bearing_semi(spark, sf_dir):
+    n = structures(spark, sf_dir)
+    w = tracks.Window.partitionBy("struct_id").orderBy("node")
+    b = geo.bearing(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w))
+    lo = F.col("struct_id") % 1000
+    lines = n.select("struct_id", "track_id", b.alias("bearing"), lo.alias("alo"), (lo + 4).alias("ahi")).where(F.col("bearing").isNotNull())
+    return spatial.aligned(lines, tracks.with_bearing(points(spark, sf_dir)), 5.0)
+
+
+def spans(spark, sf_dir) -> DataFrame:
+    """Located structures: an interval for every ninth event, of two kinds."""
+    p = points(spark, sf_dir).where(F.col("idx") % 9 == 4)
+    return p.select("track_id", (F.col("idx") / 9).cast("long").alias("ord"), F.when(F.col("idx") % 2 == 0, "bridge").otherwise("tunnel").alias("kind"), F.col("dist").alias("s_start"), (F.col("dist") + 30.0 + F.col("idx") % 5 * 20).alias("s_end"))
+
+
+SPN = PTS + """,
+spn AS (SELECT track_id, idx//9 AS ord, CASE WHEN idx%2=0 THEN 'bridge' ELSE 'tunnel' END AS kind, dist AS s_start, dist+30.0+idx%5*20 AS s_end FROM pts WHERE idx%9=4),
+zn AS (SELECT track_id, idx AS zone, dist AS s, dist+25.0 AS e FROM pts WHERE idx%14=2)"""
+
+
+@registered("interval_merge", q("""SELECT track_id, kind, round(min(s_start),5) AS s_start, round(max(s_end),5) AS s_end, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY track_id, kind ORDER BY s_start, s_end ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s_start - max(s_end) OVER (PARTITION BY track_id, kind ORDER BY s_start, s_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 50 THEN 1 ELSE 0 END AS b FROM spn)) GROUP BY track_id, kind, g""", SPN))
+def interval_merge(spark, sf_dir):
+    m = intervals.merged(spans(spark, sf_dir), ["track_id", "kind"], "s_start", "s_end", 50.0, [F.count(F.lit(1)).alias("n")])
+    return m.select("track_id", "kind", F.round("s_start", 5).alias("s_start"), F.round("s_end", 5).alias("s_end"), "n")
+
+
+@registered("interval_anti", q("SELECT z.track_id, z.alo, z.ahi FROM (SELECT track_id, CAST(zone AS BIGINT) AS alo, CAST(zone+3 AS BIGINT) AS ahi FROM zn) z WHERE NOT EXISTS (SELECT 1 FROM (SELECT track_id, idx AS lo, idx+2 AS hi FROM pts WHERE idx%9=4) o WHERE o.track_id=z.track_id AND z.ahi > o.lo AND z.alo < o.hi)", SPN))
+def interval_anti(spark, sf_dir):
+    p = points(spark, sf_dir)
+    z = p.where("idx % 14 = 2").select("track_id", F.col("idx").alias("alo"), (F.col("idx") + 3).alias("ahi"))
+    return intervals.without_overlap(z, p.where("idx % 9 = 4").select("track_id", F.col("idx").alias("alo"), (F.col("idx") + 2).alias("ahi")))
+
+
+@registered("interval_first_match", q("SELECT z.track_id, z.zone, (SELECT arg_min(kind, ord) FROM spn s WHERE s.track_id=z.track_id AND z.s < s.s_end AND z.e > s.s_start) AS kind FROM zn z", SPN))
+def interval_first_match(spark, sf_dir):
+    z = points(spark, sf_dir).where("idx % 14 = 2").select("track_id", F.col("idx").alias("zone"), F.col("dist").alias("start"), (F.col("dist") + 25.0).alias("end"))
+    return intervals.first_overlap(z, spans(spark, sf_dir))
+
+
+@registered("span_mask", q("SELECT p.track_id, p.idx, max(CASE WHEN s.track_id IS NULL THEN 0 ELSE 1 END) AS masked FROM pts p LEFT JOIN spn s ON s.track_id=p.track_id AND p.dist BETWEEN s_start-10 AND s_end+10 GROUP BY 1,2", SPN))
+def span_mask(spark, sf_dir):
+    return intervals.span_mask(points(spark, sf_dir), spans(spark, sf_dir)).select("track_id", "idx", "masked")
+
+
+@registered("haversine_variants", q(f"""SELECT track_id, idx, round({hav('46.0', '14.5', 'lat', 'lon')},5) AS near_m, round(2*(20037392.0/pi())*atan2(sqrt(a),sqrt(1-a)),5) AS polish_m, round(6371000.0*sqrt(pow(radians(lon-14.5)*cos(radians((46.0+lat)/2)),2)+pow(radians(lat-46.0),2)),5) AS flat_m
+ FROM (SELECT *, pow(sin(radians(lat-46.0)/2),2)+cos(radians(46.0))*cos(radians(lat))*pow(sin(radians(lon-14.5)/2),2) AS a FROM trk)""", TRK))
+def haversine_variants(spark, sf_dir):
+    p = points(spark, sf_dir)
+    c = (F.lit(46.0), F.lit(14.5), F.col("lat"), F.col("lon"))
+    return p.select("track_id", "idx", F.round(geo.haversine(*c), 5).alias("near_m"), F.round(geo.great_circle(*c), 5).alias("polish_m"), F.round(geo.equirectangular(*c), 5).alias("flat_m"))
+
+
+@registered("sanitize", "SELECT event_id, CASE WHEN value*25-500 > -1000 AND value*25-500 < 10000 THEN round(value*25-500,6) END AS ele FROM events")
+def sanitize(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", r6(elevation.sane(F.col("value") * 25 - 500)).alias("ele"))
+
+
+COLOUR = "CASE " + " ".join(
+    f"WHEN g >= {a[0]} AND g {'<=' if b[0] == 25 else '<'} {b[0]} THEN 'rgb(' || " + " || ',' || ".join(f"CAST(CAST(floor({x}+(g-({a[0]}))/{float(b[0] - a[0])}*{float(y - x)}+0.5) AS BIGINT) AS VARCHAR)" for x, y in zip(a[1:], b[1:], strict=True)) + " || ')'"
+    for a, b in zip(formats.STOPS, formats.STOPS[1:], strict=False)
+) + " END"
+
+
+@registered("gradient_color", q(f"SELECT track_id, idx, {COLOUR} AS colour FROM (SELECT track_id, idx, greatest(-25.0, least(25.0, round(gr,3))) AS g FROM grd)", GRD))
+def gradient_color(spark, sf_dir):
+    return graded(spark, sf_dir).select("track_id", "idx", formats.gradient_colour(geo.clamp(F.round("gr", 3), -25.0, 25.0)).alias("colour"))
+
+
+@registered("source_counts", """SELECT coalesce(source, 'Total') AS source, count(*) AS n, count(*) FILTER (WHERE value IS NULL OR value < 1) AS missing FROM (SELECT event_type AS source, value FROM events) GROUP BY ROLLUP(source)""")
+def source_counts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return elevation.source_table(e.select(F.col("event_type").alias("source"), F.when(F.col("value") >= 1, F.col("value")).alias("ele")))
+
+
+@registered("union_corrections", q("""SELECT track_id, alo, source FROM (SELECT track_id, CAST(idx AS BIGINT) AS alo, 'structure' AS source FROM trk WHERE idx%9=4 UNION ALL SELECT track_id, CAST(idx AS BIGINT), 'spike' FROM trk WHERE idx%14=2) ORDER BY 1,2""", TRK))
+def union_corrections(spark, sf_dir):
+    p = points(spark, sf_dir)
+    a = p.where("idx % 9 = 4").select("track_id", F.col("idx").alias("alo"), F.lit("structure").alias("source"))
+    return a.unionByName(p.where("idx % 14 = 2").select("track_id", F.col("idx").alias("alo"), F.lit("spike").alias("source"))).orderBy("track_id", "alo")
+
+
+@registered("structure_dedup", "SELECT user_id AS id, event_type AS kind, min(event_id) AS first_seen FROM events GROUP BY 1,2")
+def structure_dedup(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("kind")).agg(F.min("event_id").alias("first_seen"))
+
+
+@registered("country_runs", q("""SELECT track_id, min(idx) AS first, max(idx) AS last, cc FROM (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN cc IS NOT DISTINCT FROM lag(cc) OVER (PARTITION BY track_id ORDER BY idx) THEN 0 ELSE 1 END AS b FROM (SELECT track_id, idx, CASE WHEN lat+idx*0.04 <= 46.88 THEN 'SI' WHEN lat+idx*0.04 <= 49.02 THEN 'AT' WHEN lat+idx*0.04 <= 54.84 THEN 'PL' WHEN lat+idx*0.04 <= 55.06 THEN 'DE' END AS cc FROM trk))) GROUP BY track_id, g, cc""", TRK))
+def country_runs(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("cc", elevation.country(F.col("lat") + F.col("idx") * F.lit(0.04), F.col("lon")))
+    boxes_here = F.when(F.col("cc").isin("SI", "AT", "PL", "DE"), F.col("cc"))
+    return intervals.runs_of(p.withColumn("cc", boxes_here), "cc").select("track_id", "first", "last", F.col("value").alias("cc"))
+
+
+@registered("tile_assign", q("""SELECT p.track_id, p.idx, (SELECT arg_min(tile_id, ord) FROM (SELECT 't' || i AS tile_id, i AS ord, 46.0 + i*0.001 AS s FROM range(8) r(i)) t WHERE p.lat BETWEEN s AND s + 0.0015) AS tile_id FROM trk p""", TRK))
+def tile_assign(spark, sf_dir):
+    n = F.col("id")
+    tiles = spark.range(8).select(F.concat(F.lit("t"), n.cast("string")).alias("tile_id"), n.alias("ord"), F.lit(14.0).alias("west"), (F.lit(46.0) + n * F.lit(0.001)).alias("south"), F.lit(15.0).alias("east"), (F.lit(46.0) + n * F.lit(0.001) + F.lit(0.0015)).alias("north"))
+    return elevation.assigned(points(spark, sf_dir).select("track_id", "idx", "lat", "lon"), tiles, 0.002).select("track_id", "idx", "tile_id")
+
+
+@registered("provider_chain", """SELECT event_id, coalesce(a, b, c) AS ele, CASE WHEN a IS NOT NULL THEN 'first' WHEN b IS NOT NULL THEN 'second' WHEN c IS NOT NULL THEN 'third' END AS source FROM (SELECT event_id, CASE WHEN event_id%3=0 THEN value END AS a, CASE WHEN event_id%2=0 THEN value+1 END AS b, CASE WHEN event_id%5<>0 THEN value+2 END AS c FROM events)""")
+def provider_chain(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ans = lambda cond, add: e.where(cond).select("event_id", (F.col("value") + add).alias("ele"))
+    return elevation.chained(e.select("event_id"), ["event_id"], [("first", ans("event_id % 3 = 0", 0)), ("second", ans("event_id % 2 = 0", 1)), ("third", ans("event_id % 5 <> 0", 2))])
+
+
+SGM = BACK + """,
+sg AS (SELECT b.track_id, b.idx, b.lon*u*c AS px, b.lat*u AS py, lead(b.lon) OVER w*u*c AS qx, lead(b.lat) OVER w*u AS qy FROM bk b JOIN (SELECT track_id, cos(radians(avg(lat))) AS c, 6371000.0*pi()/180 AS u FROM bk GROUP BY 1) m USING (track_id) WINDOW w AS (PARTITION BY b.track_id ORDER BY b.idx))"""
+
+
+@registered("crossings", q("""SELECT track_id, i, j FROM (SELECT *, (cx*vy-cy*vx)/den AS f, (cx*uy-cy*ux)/den AS g FROM (SELECT *, ux*vy-uy*vx AS den, sqrt((ux*ux+uy*uy)*(vx*vx+vy*vy)) AS norm FROM (SELECT a.track_id, a.idx AS i, b.idx AS j, a.qx-a.px AS ux, a.qy-a.py AS uy, b.qx-b.px AS vx, b.qy-b.py AS vy, b.px-a.px AS cx, b.py-a.py AS cy
+ FROM sg a JOIN sg b ON a.track_id=b.track_id AND b.idx > a.idx+1 AND a.qx IS NOT NULL AND b.qx IS NOT NULL)) WHERE abs(den) > 0.01*norm) WHERE f >= 0 AND f < 1 AND g >= 0 AND g < 1""", SGM))
+def crossings(spark, sf_dir):
+    return spatial.crossings(out_and_back(spark, sf_dir))
+
+
+@registered("slope_speed", q("SELECT track_id, idx, round(17.0/((1+pow(3*s,4))*(17.0/9.5-ln(2)+ln(1+exp(s*17.0/0.53)))),6) AS speed FROM (SELECT *, gr/100/sqrt(1+gr/100*gr/100) AS s FROM grd)", GRD))
+def slope_speed(spark, sf_dir):
+    return graded(spark, sf_dir).select("track_id", "idx", r6(physics.slope_speed(F.col("gr") / 100)).alias("speed"))
+
+
+@registered("position_gaussian", q("""SELECT a.track_id, a.idx, round(CASE WHEN a.idx = min(a.n0) OR a.idx = min(a.n1) THEN min(a.lat) ELSE sum(k*b_lat)/sum(k) END,8) AS lat_gauss, round(CASE WHEN a.idx = min(a.n0) OR a.idx = min(a.n1) THEN min(a.lon) ELSE sum(k*b_lon)/sum(k) END,8) AS lon_gauss
+ FROM (SELECT a.*, b.lat AS b_lat, b.lon AS b_lon, exp(-(b.dist-a.dist)*(b.dist-a.dist)/(2*15.0*15.0)) AS k FROM (SELECT *, min(idx) OVER (PARTITION BY track_id) AS n0, max(idx) OVER (PARTITION BY track_id) AS n1 FROM pts) a JOIN pts b ON a.track_id=b.track_id AND abs(b.dist-a.dist) <= 45.0) a GROUP BY 1,2"""))
+def position_gaussian(spark, sf_dir):
+    return tracks.position_gaussian(points(spark, sf_dir), 15.0).select("track_id", "idx", F.round("lat_gauss", 8).alias("lat_gauss"), F.round("lon_gauss", 8).alias("lon_gauss"))
+
+
+@registered("distance_gaussian")
+def distance_gaussian(spark, sf_dir):
+    return tracks.distance_gaussian(points(spark, sf_dir), "ele", 10.0).select("track_id", "idx", "ele_gauss")
+
+
+for _name, _kernel in kern.QUERIES.items():
+    QUERIES[_name] = lambda spark, sf_dir, k=_kernel: k(graded(spark, sf_dir))
