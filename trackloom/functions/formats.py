@@ -93,10 +93,15 @@ def coordinate_key(lat: Column, lon: Column) -> Column:
     return F.format_string("%.5f,%.5f", lat, lon)
 
 
-def structure_name(tags: Column, kind: Column) -> Column:
+def structure_name(tags: Column) -> Column:
     """Name of a bridge or tunnel from its tags."""
     named = [F.nullif(F.trim(tags[k]), F.lit("")) for k in ("name", "name:en", "ref", "bridge:name", "tunnel:name")]
-    return F.coalesce(*named, F.initcap(F.nullif(tags["highway"], F.lit(""))), F.initcap(kind))
+    return F.coalesce(*named, capital(F.nullif(tags["highway"], F.lit(""))), F.when(tags["bridge"].isNotNull() | (tags["man_made"] == "viaduct"), "Bridge").otherwise("Tunnel"))
+
+
+def capital(v: Column) -> Column:
+    """The first letter in upper case."""
+    return F.concat(F.upper(F.substring(v, 1, 1)), F.substring(v, 2, 1 << 30))
 
 
 def safe_name(v: Column) -> Column:

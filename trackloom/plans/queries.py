@@ -517,3 +517,57 @@ def distance_gaussian(spark, sf_dir):
 
 for _name, _kernel in kern.QUERIES.items():
     QUERIES[_name] = lambda spark, sf_dir, k=_kernel: k(graded(spark, sf_dir))
+
+
+@registered("geometry_polish")
+def geometry_polish(spark, sf_dir):
+    from trackloom.operators import polish
+
+    return polish.polished(points(spark, sf_dir))
+
+
+@registered("gpx_round_trip", q("SELECT track_id, idx, round(lat,8) AS lat, round(lon,8) AS lon FROM trk", TRK))
+def gpx_round_trip(spark, sf_dir):
+    """Tracks written as GPX text and read again."""
+    from trackloom.sources import gpx
+
+    made = gpx.to_gpx(tracks.derived_tracks(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return gpx.track_points(gpx.parsed(made), "track_id").select("track_id", "idx", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+
+
+@registered("route_batches", q("SELECT track_id AS route_id, CAST(b AS INTEGER) AS batch, least(n - b*19, 20) AS size FROM (SELECT track_id, n, unnest(range(CAST(floor((n-2)/19) AS BIGINT)+1)) AS b FROM (SELECT track_id, count(*) AS n FROM trk GROUP BY 1) WHERE n >= 2)", TRK))
+def route_batches(spark, sf_dir):
+    from trackloom.sources import records
+
+    w = points(spark, sf_dir).select(F.col("track_id").alias("route_id"), F.col("idx").alias("ord"), "lat", "lon")
+    return records.route_batches(w).select("route_id", "batch", F.size("points").cast("long").alias("size"))
+
+
+@registered("split_sink", q("SELECT track_id, idx // 20 AS split, idx % 20 AS idx, round(lat,8) AS lat FROM trk", TRK))
+def split_sink(spark, sf_dir):
+    from trackloom.sources import records
+
+    p = points(spark, sf_dir)
+    cut = p.where("idx % 20 = 0").select("track_id", (F.col("idx") / 20).cast("long").alias("split"), F.col("idx").alias("start_idx"), (F.col("idx") + 19).alias("end_idx"))
+    return records.split_points(p, cut).select("track_id", "split", "idx", F.round("lat", 8).alias("lat"))
+
+
+@registered("time_formats", "SELECT event_id, CAST(CAST(floor(s/60) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST(CAST(floor(s-60*floor(s/60)+0.5) AS BIGINT) AS VARCHAR),2,'0') AS short FROM (SELECT event_id, CAST(event_id % 5000 AS DOUBLE) AS s FROM events)")
+def time_formats(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", formats.time_short((F.col("event_id") % 5000).cast("double")).alias("short"))
+
+
+@registered("chart_steps", "SELECT event_id, CASE WHEN n < 1.5 THEN p WHEN n < 3 THEN 2*p WHEN n < 7 THEN 5*p ELSE 10*p END AS step FROM (SELECT event_id, p, r/p AS n FROM (SELECT event_id, r, pow(10.0, floor(log10(r))) AS p FROM (SELECT event_id, CAST(event_id % 977 + 1 AS DOUBLE) AS r FROM events)))")
+def chart_steps(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", formats.nice_step((F.col("event_id") % 977 + 1).cast("double")).alias("step"))
+
+
+@registered("neighbour_fallback", """SELECT event_id AS idx, CASE WHEN event_id % 3 <> 0 THEN value WHEN event_id % 2 = 0 THEN value + 1 WHEN event_id % 5 = 0 THEN value + 2 END AS ele FROM events""")
+def neighbour_fallback(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(1).cast("long").alias("track_id"), F.col("event_id").alias("idx"), "value")
+    p = e.select("track_id", "idx", F.lit("SI").alias("cc"), F.when(F.col("idx") % 3 != 0, F.col("value")).alias("ele"))
+    a = e.where("idx % 2 = 0").select("track_id", "idx", F.lit("AT").alias("cc"), (F.col("value") + 1).alias("ele")).unionByName(e.where("idx % 5 = 0").select("track_id", "idx", F.lit("HR").alias("cc"), (F.col("value") + 2).alias("ele")))
+    n = spark.range(2).select(F.lit("SI").alias("cc"), F.col("id").alias("priority"), F.when(F.col("id") == 0, "AT").otherwise("HR").alias("other"))
+    return elevation.with_neighbours(p, a, n).select("idx", "ele")
