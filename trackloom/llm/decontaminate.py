@@ -62,11 +62,12 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     """Postings (term, row, pos) of the terms given (word, term), stored in the shared folder.
 
     row numbers the documents, so rows that repeat an id stay apart. At position LENGTH_AT, a document's number
-    of words stands in place of a term, with its id in doc_id, which other postings leave null.
+    of words stands in place of a term, with its id and a hash of its text in doc_id and seal, which
+    other postings leave null.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("seal"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
     # The number of words goes before the words, under a term that no text can hold.
-    tokens = texts.select("doc_id", "row", F.posexplode(F.concat(F.array(F.concat(F.lit("#"), F.size("w").cast("string"))), F.col("w"))).alias("at", "word"))
+    tokens = texts.select("doc_id", "seal", "row", F.posexplode(F.concat(F.array(F.concat(F.lit("#"), F.size("w").cast("string"))), F.col("w"))).alias("at", "word"))
     found = tokens.join(sent_if_small(terms), "word", "left").where((F.col("at") == 0) | F.col("term").isNotNull())
     return stored(
         found.select(
@@ -74,6 +75,7 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
             "row",
             (F.col("at") - 1).cast("int").alias("pos"),
             F.when(F.col("at") == 0, F.col("doc_id")).alias("doc_id"),
+            F.when(F.col("at") == 0, F.col("seal")).alias("seal"),
         ),
         "postings",
     )
@@ -115,7 +117,7 @@ def occurrences(index: DataFrame, wanted: DataFrame) -> DataFrame:
 def contamination(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW
 ) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and a hash of the text, seal.
 
     Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z; null has none. A
     word inside an occurrence of a benchmark window is hit. items_sha256 digests the ids of the items that have
@@ -134,7 +136,7 @@ def contamination(
     )
     items = found.select("phrase", "row").distinct().join(phrase_items, "phrase").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = covered.join(items, "row")
-    lengths = index.where(F.col("pos") == LENGTH_AT).select("doc_id", "row", F.col("term").alias("n_words"))
+    lengths = index.where(F.col("pos") == LENGTH_AT).select("doc_id", "seal", "row", F.col("term").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return lengths.join(hits, "row", "left").select(
         "doc_id",
@@ -143,6 +145,7 @@ def contamination(
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        "seal",
     )
 
 
@@ -175,14 +178,14 @@ def near_matches(
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, most: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of whose words a share of `most` at most is hit, with all columns of docs."""
-    bad = contamination(docs, bench, id_col, text_col).where(F.col("contaminated") & (F.col("n_hit") > F.col("n_words") * F.lit(most))).select(
-        F.col("doc_id").alias("__bad")
-    )
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    over = F.col("contaminated") & (F.col("n_hit") > F.col("n_words") * F.lit(most))
+    bad = contamination(docs, bench, id_col, text_col).where(over).select(F.col("doc_id").alias("__bad"), F.col("seal").alias("__bad_seal"))
+    tagged = docs.withColumn("__seal", F.xxhash64(text_col))
+    return tagged.join(bad, tagged[id_col].eqNullSafe(bad["__bad"]) & (tagged["__seal"] == bad["__bad_seal"]), "left_anti").drop("__seal")
 
 
 def op1_decontaminate(spark, sf_dir):
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("seal")
 
 
 OP1_SQL = r"""
