@@ -2,6 +2,7 @@
 
 import pytest
 
+from trackloom.plans import more_queries  # noqa: F401
 from trackloom.plans.queries import ORACLE_SQL, QUERIES
 
 

@@ -114,10 +114,8 @@ def crossings(points: DataFrame, size: float = 50.0) -> DataFrame:
     are compared; a segment is put in all cells of its box."""
     s = segments(points)
     k = METRES_PER_DEGREE
-    mean = F.avg("lat").over(Window.partitionBy("track_id"))
     s = s.join(points.groupBy("track_id").agg(F.cos(F.radians(F.avg("lat"))).alias("c")), "track_id")
     x = lambda c: F.col(c) * k * F.col("c")
-    del mean
     span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
     s = s.select("track_id", "seg_idx", x("alon").alias("ax"), (F.col("alat") * k).alias("ay"), x("blon").alias("bx"), (F.col("blat") * k).alias("by"))
     grid = s.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +71,34 @@ def decoded(lines: DataFrame, text_col: str) -> DataFrame:
     return lines.mapInArrow(run, schema)
 
 
+def encode_line(places: list[tuple[float, float]], precision: int = 6) -> str:
+    out, last = [], [0, 0]
+    for place in places:
+        for k, v in enumerate(place):
+            whole = int(np.floor(v * 10**precision + 0.5))
+            d, last[k] = whole - last[k], whole
+            d = ~(d << 1) if d < 0 else d << 1
+            while d >= 32:
+                out.append(chr((32 | d & 31) + 63))
+                d >>= 5
+            out.append(chr(d + 63))
+    return "".join(out)
+
+
+def encoded(points: DataFrame) -> DataFrame:
+    """track_id, line: each track as an encoded polyline."""
+    listed = points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))).alias("p"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lines = [encode_line([(x["lat"], x["lon"]) for x in p.as_py()]) for p in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.string())], names=["track_id", "line"])
+
+    return listed.mapInArrow(run, T.StructType([points.schema["track_id"], T.StructField("line", T.StringType())]))
+
+
 def route_batches(waypoints: DataFrame, size: int = 20) -> DataFrame:
     """route_id, batch, legs of waypoints (route_id, ord, lat, lon): groups of `size` that share their end point."""
     listed = waypoints.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ord", "lat", "lon"))).alias("w")).where(F.size("w") >= 2)
