@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,22 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where scratch tables go if the session names no shared folder: tests on one machine.
+OWN_DIR = "/tmp/checkpoints/trackloom"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir;
-    only where that is unset (tests on one machine) a folder of our own is used."""
+    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir; only where that is
+    unset (tests on one machine) a folder of our own is used, which goes when the process ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or "file:///tmp/checkpoints/trackloom"
+    if named:
+        return named
+    own = f"{OWN_DIR}/{os.getpid()}"
+    if own not in _own:
+        _own.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
+
+
+_own: set[str] = set()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return os.path.join(shared_dir(spark), f"scratch-{spark.sparkContext.applicationId}")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: cuts lineage, and survives lost executors
-    because every executor can read the files."""
+    because every executor can read the files. They stay, as results may read them, until release()."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application. Results that have not been written yet can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch, so that very long texts do not gather in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
