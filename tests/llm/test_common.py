@@ -1,4 +1,5 @@
 import os
+from types import SimpleNamespace
 
 from trackloom.llm import common
 
@@ -12,12 +13,10 @@ def test_stored_and_released(spark):
     assert not os.path.exists(folder)
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/checkpoints/named")
-    try:
-        assert common.scratch_dir(spark).startswith("file:///tmp/checkpoints/named/")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_comes_from_the_session():
+    context = SimpleNamespace(getConf=lambda: {}, applicationId="app")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: {"spark.checkpoint.dir": "viewfs://shared/x"}.get(k, d)), sparkContext=context)
+    assert common.scratch_dir(session) == "viewfs://shared/x/scratch-app"
 
 
 def test_memo_keeps_two_generations():
