@@ -213,3 +213,25 @@ def dense_enough(spark, sf_dir):
 
 
 
+
+for _name, _change in {"shape_arcs": "with_arcs", "shape_loops": "with_loops", "shape_splines": "splined", "shape_straight": "straightened", "shape_prune": "pruned", "shape_all": "shaped"}.items():
+
+    @registered(_name)
+    def _shape(spark, sf_dir, change=_change):
+        from trackloom.operators import shape
+
+        return shape.on_tracks(points(spark, sf_dir), getattr(shape, change))
+
+
+@registered("shape_lane")
+def shape_lane(spark, sf_dir):
+    from trackloom.operators import shape
+
+    return shape.on_tracks(points(spark, sf_dir), lambda p: shape.shifted(p, 1.5))
+
+
+@registered("shape_spacing")
+def shape_spacing(spark, sf_dir):
+    from trackloom.operators import shape
+
+    return shape.on_tracks(points(spark, sf_dir), lambda p: shape.spaced(p, 4.0))
