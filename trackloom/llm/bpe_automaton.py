@@ -28,19 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, small_batches, table
+from .common import Memo, give_back, small_batches, table
 
 #: The characters that \\s matches in the vocabulary file's patterns.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Distinct words, and chunks between white space, whose encoding a worker remembers, in each of two generations.
-MEMO = 500_000
+MEMO = 250_000
 
 #: Entries of the transition table that are kept; emptied when full.
-ARCS = 600_000
+ARCS = 200_000
 
 #: Lengths of the beginnings of words whose states are remembered, and how many of them.
-SHARED, STATES = (9, 6), 200_000
+SHARED, STATES = (9, 6), 150_000
 
 #: Words and chunks longer than this are encoded but not remembered.
 MEMO_CHARS = 64
@@ -114,11 +114,14 @@ class BpeCodec:
         self.ids = {inner(t): i for t, i in model["vocab"].items() if t not in special}
         self.automaton = Automaton([t for t in self.ids if t not in made], merges)
         self.labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in special.items()}
+        self.label_of = np.array([self.labels.get(i, "") for i in range(max(self.labels) + 1)], object)
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         (pattern,) = (p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern)
         self.space = re.compile(f"[{SPACE}]+")
+        #: Every token as one object, so that remembered paths and arcs hold no copies.
+        self.names = {t: t for t in self.automaton.born}
         self.newer = self.newer_letters(regex)
         self.bytes = self.byte_letters()
         lengths: dict[str, set[int]] = {}
@@ -155,7 +158,7 @@ class BpeCodec:
         """Arc labels of a pre-split word."""
         text = "".join(map(self.bytes.__getitem__, word.encode())) + STOP
         n = len(text)
-        has, arc, known, lengths = self.automaton.born, self.automaton.arc, self.automaton.table, self.lengths
+        names, arc, known, lengths = self.names, self.automaton.arc, self.automaton.table, self.lengths
         came: list[str] = [""] * (n + 1)
         # Words share beginnings: the arcs into the prefixes of a beginning are looked up together.
         begin = 1
@@ -171,8 +174,8 @@ class BpeCodec:
                 at = to - size
                 if at < 0:
                     continue
-                label = text[at:to]
-                if label in has:
+                label = names.get(text[at:to])
+                if label is not None:
                     if at:
                         fits = known.get((came[at], label))
                         if not (arc(came[at], label) if fits is None else fits):
@@ -190,16 +193,16 @@ class BpeCodec:
             at -= len(came[at])
         return labels[::-1]
 
-    def encode_word(self, word: str) -> tuple[bytes, str]:
+    def encode_word(self, word: str) -> bytes:
         out = self.words.new.get(word) or self.words.old_value(word)
         if out is None:
-            ids = [self.ids[t] for t in self.path_of(word)]
-            out = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.labels[i] for i in ids])
+            path = self.path_of(word)
+            out = struct.pack(f"<{len(path)}I", *map(self.ids.__getitem__, path))
             if len(word) <= MEMO_CHARS:
                 self.words.put(word, out)
         return out
 
-    def encode_chunk(self, chunk: str) -> tuple[bytes, str]:
+    def encode_chunk(self, chunk: str) -> bytes:
         """A piece of normalised text without white space; splitting looks at no character beyond it."""
         out = self.memo.old_value(chunk)
         if out is not None:
@@ -213,37 +216,41 @@ class BpeCodec:
             found = self.word.findall(chunk)
         else:
             found = [chunk[m.start() : m.end()] for m in self.word.finditer(self.newer.sub("\uffff", chunk))]
-        pairs = [self.encode_word(w) for w in found]
-        out = pairs[0] if len(pairs) == 1 else (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]))
+        parts = [self.encode_word(w) for w in found]
+        out = parts[0] if len(parts) == 1 else b"".join(parts)
         if len(chunk) <= MEMO_CHARS:
             self.memo.put(chunk, out)
         return out
 
-    def _plain(self, text: str, out: list[tuple[bytes, str]]) -> None:
+    def _plain(self, text: str) -> bytes:
         text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         known, slow = self.memo.new.get, self.encode_chunk
-        out.extend([known(c) or slow(c) for c in self.space.split(text) if c])
+        return b"".join([known(c) or slow(c) for c in self.space.split(text) if c])
 
-    def encode_pairs(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids, labels) of every chunk and special string of a text."""
-        out: list[tuple[bytes, str]] = []
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text, 32 bits each, lowest byte first."""
         if self.cut is None or "<|" not in text:
-            self._plain(text, out)
-            return [p for p in out if p[0]]
-        for i, part in enumerate(self.cut.split(text)):
-            if i % 2:
-                out.append((struct.pack("<I", self.special[part]), part))
-            elif part:
-                self._plain(part, out)
-        return [p for p in out if p[0]]
+            return self._plain(text)
+        parts = self.cut.split(text)
+        return b"".join([struct.pack("<I", self.special[p]) if i % 2 else self._plain(p) for i, p in enumerate(parts) if p])
+
+    def decode_bytes(self, ids: bytes) -> str:
+        """Arc labels with a space between them, special ones too."""
+        return " ".join(self.label_of[np.frombuffer(ids, "<u4")].tolist())
 
     def encode(self, text: str) -> list[int]:
-        ids = b"".join(p[0] for p in self.encode_pairs(text))
-        return list(struct.unpack(f"<{len(ids) // 4}I", ids))
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """Arc labels with a space between them, special ones too."""
-        return " ".join(self.labels[i] for i in ids)
+        return self.decode_bytes(np.array(ids, "<u4").tobytes())
+
+
+    def shrink(self) -> None:
+        """Forget most of what is remembered, at the end of a partition."""
+        self.memo.shrink()
+        self.words.shrink()
+        self.states.clear()
+        self.automaton.table.clear()
 
 
 _codecs: dict[str, BpeCodec] = {}
@@ -269,6 +276,8 @@ def _mapped(docs: DataFrame, path: str, fields: list[T.StructField], make, id_co
             types = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
             arrays = [pa.array(c, types[f.dataType.simpleString()]) for c, f in zip(cols, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", *(f.name for f in fields)])
+        codec.shrink()
+        give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -281,9 +290,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
 
     def make(codec: BpeCodec, text: str):
-        pairs = codec.encode_pairs(text)
-        ids = b"".join(p[0] for p in pairs)
-        return np.frombuffer(ids, "<i4"), " ".join([p[1] for p in pairs])
+        ids = codec.encode_bytes(text)
+        return np.frombuffer(ids, "<i4"), codec.decode_bytes(ids)
 
     return _mapped(docs, path, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], make, id_col, text_col)
 
@@ -293,10 +301,8 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     leaves the worker: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def make(codec: BpeCodec, text: str):
-        pairs = codec.encode_pairs(text)
-        ids = b"".join([p[0] for p in pairs])
-        labels = " ".join([p[1] for p in pairs])
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(labels.encode()).hexdigest()
+        ids = codec.encode_bytes(text)
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode_bytes(ids).encode()).hexdigest()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _mapped(docs, path, fields, make, id_col, text_col)

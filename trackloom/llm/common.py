@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import uuid
@@ -84,6 +85,20 @@ def crc_of(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system. Workers live on between stages, so what one stage has
+    needed at its most would otherwise be held through all later ones."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Memo:
     """Remembered results in two generations: when the newer holds `size` entries it becomes the older one, whose
     entries are dropped unless they are asked for again. Bounded, and it changes no result."""
@@ -99,6 +114,9 @@ class Memo:
         self.new[key] = value
         return value
 
+    def shrink(self) -> None:
+        self.old = {}
+
     def old_value(self, key):
         """A value of the older generation, made new again; None if there is none."""
         value = self.old.pop(key, None)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, small_batches, table
+from .common import Memo, give_back, small_batches, table
 
 MARK = "▁"
 
@@ -50,6 +50,8 @@ class PrefixCounter:
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)):
                 self.score[sp.id_to_piece(i)] = sp.get_score(i)
+        #: Every piece as one object, so that remembered encodings hold no copies.
+        self.names = {p: p for p in self.score}
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece has a space mark after another character: units would not be independent")
         ends: dict[str, set[int]] = {}
@@ -104,7 +106,7 @@ class PrefixCounter:
 
     def last_tokens(self, unit: str) -> list[str]:
         """The last token of the encoding of every prefix of a unit with one leading mark at most."""
-        score, lengths, pair, slow = self.score, self.lengths, self.pair, self.compatible
+        names, lengths, pair, slow = self.names, self.lengths, self.pair, self.compatible
         last = [""] * (len(unit) + 1)
         # Units share beginnings: the entries of a beginning are looked up together.
         begin = 1
@@ -118,9 +120,12 @@ class PrefixCounter:
                 start = end - n
                 if start < 0:
                     continue
-                piece = unit[start:end]
-                if n > 1 and piece not in score:
-                    continue
+                text = unit[start:end]
+                piece = names.get(text)
+                if piece is None:
+                    if n > 1:
+                        continue
+                    piece = text
                 if start:
                     fits = pair.get((last[start], piece))
                     if not (slow(last[start], piece) if fits is None else fits):
@@ -277,6 +282,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+        give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, crc_of, small_batches, table
+from .common import WORD, crc_of, give_back, small_batches, table
 
 #: Words in a window, and words from one window's begin to the next's.
 LENGTH, STRIDE = 24, 12
@@ -395,6 +395,7 @@ def score_documents(docs: DataFrame, network: Network, id_col: str = "doc_id", t
         for b in batches:
             score = net.probabilities(net.text_logits([words_of(t.as_py()) for t in b.column(1)])).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -416,6 +417,7 @@ def drop_toxic(docs: DataFrame, network: Network) -> DataFrame:
         for b in batches:
             score = net.probabilities(net.text_logits([words_of(t.as_py()) for t in b.column(at)]))
             yield b.filter(pa.array(score < 0.5))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
