@@ -128,3 +128,23 @@ def test_pairs_among_texts_of_one_passage(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.class_id for x in op.near_classes(df).collect()}
     assert partition(range(len(texts)), [got[i] for i in range(len(texts))]) == partition(range(len(texts)), brute_classes(texts))
+
+
+def test_thousands_of_texts_of_one_passage(spark):
+    """2,000 strangers by a passage (similarity 0.7) in 1,000 pairs of 0.85: buckets are full of strangers."""
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(700))
+    texts = []
+    for k in range(1000):
+        own = [f"o{k}x{r.randrange(10**6)}" for _ in range(20)]
+        texts += [" ".join([passage, *own]), " ".join([passage, *own[:11], *(f"z{k}y{j}" for j in range(9))])]
+    block = Block(texts)
+    seen = np.unique(block.doc.astype(np.int64) << op.FEATURE_BITS | op.feature_of(block.shingle)) & ((1 << op.FEATURE_BITS) - 1)
+    idf = op.idf_table(np.bincount(seen, minlength=1 << op.FEATURE_BITS), len(texts))
+    cut = lambda i: slice(block.bounds[i], block.bounds[i + 1])
+    side = lambda i: (block.shingle[cut(i)], idf[op.feature_of(block.shingle[cut(i)])])
+    assert all(op.weighted_jaccard(*side(2 * k), *side(2 * k + 1)) >= 0.8 for k in range(1000))
+    assert all(op.weighted_jaccard(*side(k), *side(k + 2)) < 0.75 for k in range(0, 1998, 7))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.class_id for x in op.near_classes(df).collect()}
+    assert partition(range(2000), [got[i] for i in range(2000)]) == {frozenset((2 * k, 2 * k + 1)) for k in range(1000)}

@@ -11,6 +11,9 @@
    every bucket, so a bucket of m nodes makes 2 m pairs at most, never m^2.
 4. A pair is a link if the weighted Jaccard similarity of its documents, computed from all their shingles,
    reaches the threshold. Linked nodes are one class, found by alternating large and small stars.
+5. Buckets whose pivots leave pairs out, and that hold more than one class then, are opened: their nodes meet once
+   more by an exact join on the rarest shingles of each (a weighted prefix filter), which leaves out no pair of
+   different classes that reaches the threshold. Its pairs are verified in the same way.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ FEATURE_BITS = 18
 #: Entries of the table of random numbers of one draw.
 DRAW_BITS = 16
 
+#: Rows of a shingle in one part of the exact join: of nodes that are looked up, and of those that look up.
+INDEX_PART, PROBE_PART = 256, 4096
+
 
 def feature_of(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
@@ -156,24 +162,90 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int, id_col: str = "doc_i
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("seal"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes with their pivots in each bucket. nodes: node, keys."""
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """node, band, key of each bucket that a node is in. nodes: node, keys."""
     # Two neighbouring bands together are a narrower bucket: in a wide one, which texts of a common passage share,
     # the pivots may be strangers to two that are alike in more than the passage.
     n = F.size("keys")
     both = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get("keys", i), F.get("keys", (i + 1) % n)))
-    rows = nodes.select("node", F.posexplode(F.concat("keys", both)).alias("band", "key"))
+    return nodes.select("node", F.posexplode(F.concat("keys", both)).alias("band", "key"))
+
+
+def bucket_pivots(rows: DataFrame) -> DataFrame:
+    """band, key, pivots and whole (the pivots make all pairs) of the buckets of more than one node."""
     drawn = F.min(F.struct(F.xxhash64("node", "band").alias("draw"), "node"))
-    buckets = (
-        rows.groupBy("band", "key")
-        .agg(F.min("node").alias("first"), drawn.alias("drawn"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("band", "key", F.array_distinct(F.array("first", "drawn.node")).alias("pivots"))
+    buckets = rows.groupBy("band", "key").agg(F.min("node").alias("first"), drawn.alias("drawn"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return buckets.select("band", "key", F.array_distinct(F.array("first", "drawn.node")).alias("pivots"), "n").select(
+        "band", "key", "pivots", (F.col("n") <= F.size("pivots") + 1).alias("whole")
     )
+
+
+def candidate_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes with their pivots in each bucket."""
     met = rows.join(buckets, ["band", "key"]).select("node", F.explode("pivots").alias("pivot")).where(F.col("node") != F.col("pivot"))
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
+def open_nodes(rows: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root of the nodes in buckets that their pivots did not settle: not all pairs were made, and the nodes
+    are not of one class."""
+    left = rows.join(buckets.where(~F.col("whole")).select("band", "key"), ["band", "key"])
+    left = left.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "band", "key")
+    mixed = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band", "key")
+    return left.join(mixed, ["band", "key"], "left_semi").select("node", "root").distinct()
+
+
+def rarest(opened: DataFrame, features: DataFrame, idf, threshold: float) -> DataFrame:
+    """name, node, root, total, rest, indexed: the rarest shingles of each node. total is the weight of all its
+    shingles, rest that of this one and all that are commoner.
+
+    Shingles have one order in all nodes, rarest first. Let x and y reach the threshold t and y be the lighter one:
+    they share a weight of t / (1 + t) (total x + total y) or more, none of it before the first shingle they share.
+    There, rest is t total or more in x and 2 t / (1 + t) total or more in y (these are indexed).
+    """
+    slack = 1 - 1e-5
+
+    def read(batches: Iterator):
+        import pyarrow as pa
+
+        weights, shift = idf.value, np.uint32(32 - FEATURE_BITS)
+        for b in batches:
+            for i in range(b.num_rows):
+                own = b.column(2)[i].values.to_numpy(False).view(np.uint32)
+                rarity, tf = weights[own >> shift], b.column(3)[i].as_py()
+                order = np.lexsort((own, -rarity))
+                w = (rarity if tf is None else rarity * np.array(tf, np.float32))[order].astype(np.float64)
+                rest = np.cumsum(w[::-1])[::-1]
+                total = float(rest[0]) if len(rest) else 0.0
+                n = int((rest >= threshold * total * slack).sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[order[:n]].view(np.int32)), b.column(0).take(pa.array([i] * n, pa.int32())), b.column(1).take(pa.array([i] * n, pa.int32()))]
+                    + [pa.array(np.full(n, total)), pa.array(rest[:n]), pa.array(rest[:n] >= 2 * threshold / (1 + threshold) * total * slack)],
+                    names=["name", "node", "root", "total", "rest", "indexed"],
+                )
+        give_back()
+
+    joined = opened.join(features, "node").select("node", "root", "names", "tf")
+    return joined.mapInArrow(read, "name int, node binary, root binary, total double, rest double, indexed boolean")
+
+
+def exact_pairs(opened: DataFrame, features: DataFrame, idf, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of opened nodes of different roots: all that may reach the threshold. A shingle
+    that many hold is dealt in parts, by nodes of either side."""
+    rows = stored(rarest(opened, features, idf, threshold), "rarest")
+    sizes = rows.groupBy("name").agg(F.count_if("indexed").alias("index"), F.count(F.lit(1)).alias("probe"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    sizes = sizes.where("index > 0 and lo != hi").select("name", F.ceil(F.col("index") / INDEX_PART).cast("int").alias("parts"), F.ceil(F.col("probe") / PROBE_PART).cast("int").alias("turns"))
+    dealt = stored(rows.join(sizes, "name"), "rarest-dealt")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    x = dealt.select("name", own("turns").alias("turn"), every("parts").alias("part"), F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("total").alias("x_total"), F.col("rest").alias("x_rest"))
+    y = dealt.where("indexed").select("name", own("parts").alias("part"), every("turns").alias("turn"), F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("total").alias("y_total"), F.col("rest").alias("y_rest"))
+    lighter = (F.col("y_total") < F.col("x_total")) | ((F.col("y_total") == F.col("x_total")) & (F.col("y") < F.col("x")))
+    enough = F.least("x_rest", "y_rest") >= (F.col("x_total") + F.col("y_total")) * (threshold / (1 + threshold) * (1 - 1e-5))
+    met = x.join(y, ["name", "turn", "part"]).where(lighter & enough & (F.col("x_root") != F.col("y_root")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def features_of(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """node, names (sorted upper halves of shingle hashes), tf (null where all are 1) of the nodes in `wanted`
     (node, doc_id, seal)."""
@@ -268,11 +340,17 @@ def near_classes(
     slim = stored(signatures(docs, idf, bands, rows, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
     nodes = slim.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "seal", "keys")).alias("one"))
     nodes = nodes.select("node", "one.doc_id", "one.seal", "one.keys")
-    pairs = stored(candidate_pairs(nodes.select("node", "keys")), "pairs")
+    rows_of = bucket_rows(nodes.select("node", "keys"))
+    buckets = stored(bucket_pivots(rows_of), "buckets")
+    pairs = stored(candidate_pairs(rows_of, buckets), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(wanted, "node").select("node", "doc_id", "seal")
     features = stored(features_of(docs, wanted, id_col, text_col), "features")
     roots = components(links(pairs, features, idf, threshold))
+    opened = stored(open_nodes(rows_of, buckets, roots), "opened")
+    if not opened.isEmpty():
+        more = links(stored(exact_pairs(opened, features, idf, threshold), "exact-pairs"), features, idf, threshold)
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")))
 
     placed = slim.drop("keys").join(roots, "node", "left")
     alone = F.concat(F.lit("row").cast("binary"), F.col("row").cast("string").cast("binary"))
