@@ -120,3 +120,45 @@ def test_training_helps(spark):
     docs = spark.createDataFrame([(1, text(200))], "doc_id long, text string")
     blind = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert op.lattice_scores(docs, train, MODEL).first().score > op.lattice_scores(docs, blind, MODEL).first().score
+
+
+def plain_ln(lattice, word):
+    """The forward recursion, a character at a time, over pieces by name."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    inner, first, n = {}, {}, 0
+    for i in range(sp.get_piece_size()):
+        p = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            n += 1
+        elif not (sp.is_control(i) or sp.is_unknown(i)):
+            if not p.startswith(op.MARK):
+                inner[p] = n
+                n += 1
+            elif op.MARK not in p[1:]:
+                first[p[1:]] = len(first)
+    f = [math.log(lattice.first[first[""]])]
+    for e in range(1, len(word) + 1):
+        terms = [f[s] + math.log(lattice.inner[inner[word[s:e]]]) for s in range(max(0, e - lattice.longest), e) if word[s:e] in inner]
+        if word[e - 1] not in inner:
+            terms.append(f[e - 1] + sum(math.log(lattice.inner[lattice.byte_at[b]]) for b in word[e - 1].encode()))
+        if word[:e] in first:
+            terms.append(math.log(lattice.first[first[word[:e]]]))
+        f.append(np.logaddexp.reduce(terms))
+    return f[-1] + math.log(lattice.inner[lattice.n_inner])
+
+
+def test_long_tokens_have_their_own_likelihood(spark, lattice):
+    r = random.Random(3)
+    words = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in (264, 3000)]
+    words.append("".join(r.choice("abcdefghijklmnop0123456789+/") for _ in range(2500)))
+    docs = spark.createDataFrame([*enumerate(words), (9, words[0] + " " + words[0])], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, text string")
+    a = op.URN
+    for head in (0, 100_000):
+        got = {x.doc_id: x.score * math.log(10) for x in op.lattice_scores(docs, none, MODEL, head=head).collect()}
+        for i, w in enumerate(words):
+            assert got[i] == pytest.approx(plain_ln(lattice, w) + math.log(a / 4 / (a + 1)), rel=1e-9)
+        # The second time the urn holds the word.
+        assert got[9] == pytest.approx(plain_ln(lattice, words[0]) + math.log(a / 4 / ((a + 1) * (a + 2))), rel=1e-9)
+    known = {x.doc_id: x.score * math.log(10) for x in op.lattice_scores(docs, docs.where("doc_id = 9"), MODEL).collect()}
+    assert min(known[0], known[9]) > -30 and max(known[1], known[2]) < -650

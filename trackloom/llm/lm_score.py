@@ -74,10 +74,16 @@ def ln_gamma(x: np.ndarray) -> np.ndarray:
 
 def ln_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     """ln(x (x + 1) ... (x + n - 1))."""
-    out = np.log(x)
+    return ln_rising_at(np.log(x), n)
+
+
+def ln_rising_at(ln_x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The same from ln x, for any x however small: x may be nothing as a number."""
+    out = ln_x.copy()
     many = np.flatnonzero(n > 1)
     if len(many):
-        out[many] = ln_gamma(x[many] + n[many]) - ln_gamma(x[many])
+        x = np.exp(ln_x[many])
+        out[many] += ln_gamma(x + n[many]) - ln_gamma(x + 1)
     return out
 
 
@@ -422,9 +428,11 @@ def lattice_scores(
     freed = np.where(n_words > 0, DISCOUNT * v_words / np.maximum(n_words, 1), 1.0)
     ln_class = np.log((ends + 1.0) / (n_ends + classes))
     ln_add, ln10 = float(np.log(n_all + v_all + 1.0)), float(np.log(10.0))
-    def measure(c: np.ndarray, ln_spelt: np.ndarray) -> np.ndarray:
-        known = np.maximum(c - DISCOUNT, 0.0) / np.maximum(n_words, 1)
-        return urn * (1 - p_end) * (known + freed * np.exp(np.maximum(ln_spelt, -650.0))) + 1e-300
+
+    def ln_measure(c: np.ndarray, ln_spelt: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            ln_known = np.log(np.maximum(c - DISCOUNT, 0.0) / np.maximum(n_words, 1))
+        return np.log(urn * (1 - p_end)) + np.logaddexp(ln_known, np.log(freed) + ln_spelt)
 
     parts = [f"ln{k}" for k in range(classes)]
     spelled_names = ["word", *own, *parts]
@@ -442,7 +450,7 @@ def lattice_scores(
     every = sum(F.col(c) for c in own)
     top = spelled.where(every >= least_count(spelled.select(every.alias("c")), head)).toPandas()
     head_c = top[own].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast((top["word"].tolist(), measure(head_c, top[parts].to_numpy()), np.log(head_c.sum(1) + 1.0) - ln_add))
+    sent = spark.sparkContext.broadcast((top["word"].tolist(), ln_measure(head_c, top[parts].to_numpy()), np.log(head_c.sum(1) + 1.0) - ln_add))
     del top
 
     id_type = docs.schema[id_col].dataType
@@ -457,8 +465,9 @@ def lattice_scores(
         and a row for each of its other words."""
         import pyarrow as pa
 
-        head_words, head_x, head_base = sent.value
-        head_ln, head_gamma = np.log(head_x), ln_gamma(head_x)
+        head_words, head_ln, head_base = sent.value
+        head_x = np.exp(head_ln)
+        head_gamma = ln_gamma(head_x + 1)
         place = {w: i for i, w in enumerate(head_words)}
         end_ln, end_base = np.log(urn * p_end), float(np.log(n_ends + 1.0)) - ln_add
         whole = float(ln_gamma(np.array([urn]))[0])
@@ -486,7 +495,7 @@ def lattice_scores(
             lns = []
             for k in range(classes):
                 ln = head_ln[at, k]
-                ln[many] = ln_gamma(head_x[more, k] + times) - head_gamma[more, k]
+                ln[many] += ln_gamma(head_x[more, k] + times) - head_gamma[more, k]
                 lns.append(of(ln) + end_ln[k] + once)
             rows, ids = b.column(0), b.column(1)
             yield pa.RecordBatch.from_arrays(
@@ -516,8 +525,8 @@ def lattice_scores(
             if len(new):
                 words = b.column(1).take(pa.array(new)).dictionary_encode()
                 spelt[new] = lattice_for(model_path).ln_spelling(words.dictionary.to_pylist(), pieces.value)[words.indices.to_numpy()]
-            x, seen = measure(c, spelt), c.sum(1)
-            lns = [ln_rising(x[:, k], tf) for k in range(classes)]
+            ln_x, seen = ln_measure(c, spelt), c.sum(1)
+            lns = [ln_rising_at(ln_x[:, k], tf) for k in range(classes)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.where(seen > 0, tf, 0).astype(np.int64)), pa.array(tf * (np.log(seen + 1.0) - ln_add)), *map(pa.array, lns)], names=["row", "known", "base", *parts]
             )
