@@ -100,3 +100,12 @@ def test_polish():
     assert len(out) < len(zig) and (np.diff(out[:, 0]) >= 0).all()
     s = polish.smoothed(np.stack([lat, lon, np.where(np.arange(20) == 9, 10.0, 0)], 1), 20.0)
     assert s[9, 2] < 10 and (s[[0, -1], :2] == np.stack([lat, lon], 1)[[0, -1]]).all()
+
+
+def test_all_slips_of_a_long_track_go():
+    """50 slips back over two points, at turns of 180 and of about 160 degrees."""
+    for aside in (0.0, 0.00003):
+        lat = np.concatenate([np.array([0, 1, 2, 3, 2, 1, 2, 3, 4, 5]) + 20 * i for i in range(50)]) * 1e-4 + 46
+        lon = 14 + np.tile([0, 0, 0, 0, 1, 2, 2, 2, 2, 2], 50) * aside
+        out = polish.without_zigzags(np.stack([lat, lon, lat], 1))
+        assert (np.diff(out[:, 0]) > -1e-12).all() and len(out) >= 350

@@ -57,3 +57,10 @@ def test_shift_straighten_prune_space():
 
 def test_long_loops():
     assert s.long_loops(ring(60, 8.0, 2.0)) and not s.long_loops(ring(60, 8.0, 1.0)) and s.long_loops(ring(3)) == []
+
+
+def test_bends_are_eased_until_none_is_left():
+    p = s.spaced(np.array([[0, 0, 0], [60, 0, 0], [60, 4, 0], [0, 4, 0.0]]), 1.0)
+    out = s.eased(p)
+    d = s.lengths(out)
+    assert ((d[:-1] + d[1:]) / 2 >= 6.0 * (1 - 1e-6) * np.abs(s.turns(out))).all() and np.allclose(out[[0, -1]], p[[0, -1]])

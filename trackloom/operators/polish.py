@@ -15,21 +15,25 @@ def distinct_points(p: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     return np.add.reduceat(p, starts) / np.diff(starts, append=len(p))[:, None]
 
 
-def without_zigzags(p: np.ndarray, reach: float = 100.0, rounds: int = 10) -> np.ndarray:
-    """Two U-turns within `reach` metres are one slip: what lies between them goes."""
-    for _ in range(rounds):
-        if len(p) < 5:
-            break
+def without_zigzags(p: np.ndarray, reach: float = 100.0) -> np.ndarray:
+    """Two U-turns within `reach` metres are one slip: what lies between them goes. All pairs that share no U-turn go
+    in one round, and rounds follow until there are none."""
+    while len(p) >= 5:
         v = np.diff(p[:, :2], axis=0) * [1.0, np.cos(np.radians(p[:, 0].mean()))]
         n = np.linalg.norm(v, axis=1)
         cos = (v[:-1] * v[1:]).sum(1) / np.maximum(n[:-1] * n[1:], 1e-300)
-        turns = np.flatnonzero(cos < -0.98) + 1
+        turns = np.flatnonzero(cos < -0.9) + 1
         d = along(p[:, 0], p[:, 1])
-        pairs = [(a, b) for a, b in zip(turns[:-1], turns[1:], strict=True) if d[b] - d[a] < reach]
-        if not pairs:
+        keep, i = np.ones(len(p), bool), 0
+        while i < len(turns) - 1:
+            a, b = turns[i], turns[i + 1]
+            if d[b] - d[a] < reach:
+                keep[a:b] = False
+                i += 1
+            i += 1
+        if keep.all():
             break
-        a, b = pairs[0]
-        p = np.delete(p, slice(a, b), axis=0)
+        p = p[keep]
     return p
 
 

@@ -6,6 +6,7 @@ into that plane, around its mean place, and back.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -124,11 +125,12 @@ def with_loops(p: np.ndarray, radius: float = 6.0, steps: int = 24) -> np.ndarra
     return np.concatenate([*out, p[-1:]]) if len(p) > 1 else p
 
 
-def eased(p: np.ndarray, radius: float = 6.0, rounds: int = 50) -> np.ndarray:
+def eased(p: np.ndarray, radius: float = 6.0, rounds: int | None = None) -> np.ndarray:
     """Points of bends tighter than `radius` are drawn towards the middle of their neighbours, a little each round,
-    until there are none. Ends stay."""
+    until there are none or nothing moves any more (or for `rounds` rounds). Ends stay. It ends, as the squares of the
+    legs add up to less in every round."""
     p = p.copy()
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(p) < 3:
             break
         d = lengths(p)
@@ -137,7 +139,10 @@ def eased(p: np.ndarray, radius: float = 6.0, rounds: int = 50) -> np.ndarray:
         tight = np.flatnonzero(r < radius) + 1
         if not len(tight):
             break
-        p[tight, :2] += 0.25 * ((p[tight - 1, :2] + p[tight + 1, :2]) / 2 - p[tight, :2])
+        moved = p[tight, :2] + 0.25 * ((p[tight - 1, :2] + p[tight + 1, :2]) / 2 - p[tight, :2])
+        if np.abs(moved - p[tight, :2]).max() < 1e-9:
+            break
+        p[tight, :2] = moved
     return p
 
 
