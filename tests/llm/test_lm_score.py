@@ -162,3 +162,24 @@ def test_long_tokens_have_their_own_likelihood(spark, lattice):
         assert got[9] == pytest.approx(plain_ln(lattice, words[0]) + math.log(a / 4 / ((a + 1) * (a + 2))), rel=1e-9)
     known = {x.doc_id: x.score * math.log(10) for x in op.lattice_scores(docs, docs.where("doc_id = 9"), MODEL).collect()}
     assert min(known[0], known[9]) > -30 and max(known[1], known[2]) < -650
+
+
+def test_long_words_count_in_training(lattice):
+    r = random.Random(4)
+    words = ["漢字" * 40, "".join(r.choice("abcdefgh") for _ in range(41)), "".join(r.choice("etaoin") for _ in range(3000))]
+    own = np.array([1.0, 2.0, 3.0])
+    inner, first = lattice.expected(words, own)
+    assert abs(first.sum() - 6) < 1e-6 and abs(inner[-1] - 6) < 1e-6
+    # Uses are the slopes of the log probability in the log weights.
+    a, b = lattice.inner.copy(), lattice.first.copy()
+    try:
+        for piece in np.argsort(-inner[:-1])[:3]:
+            up = lattice.ln_inner[piece]
+            lattice.ln_inner[piece] = up + 1e-5
+            more = own @ [lattice._long(np.array([ord(c) for c in w], np.uint64)) for w in words]
+            lattice.ln_inner[piece] = up - 1e-5
+            less = own @ [lattice._long(np.array([ord(c) for c in w], np.uint64)) for w in words]
+            lattice.ln_inner[piece] = up
+            assert (more - less) / 2e-5 == pytest.approx(inner[piece], rel=1e-3)
+    finally:
+        lattice.set_weights(a, b)

@@ -275,12 +275,10 @@ class Lattice:
         return float(recent[-1]) + self.ln_stop
 
     def expected(self, words: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected uses of inner pieces (and the stop) and first pieces over words of LONG characters at most."""
+        """Expected uses of inner pieces (and the stop) and first pieces over all words."""
         inner_sum, first_sum = np.zeros(self.n_inner + 1), np.zeros(self.n_first)
         for rows, codes in self._groups(words):
             n, length = codes.shape
-            if length > LONG:
-                continue
             inner, first, bare = self._arcs(codes)
             f = self._forward(n, length, inner, first, bare)
             b = np.full((length + 1, n), -np.inf)
@@ -296,7 +294,11 @@ class Lattice:
                 for e, at, ids in by_start.get(s, ()):
                     onward = self.ln_inner[ids] + b[e, at]
                     b[s, at] = np.logaddexp(b[s, at], onward)
-                    inner_sum += np.bincount(ids, np.exp(f[s, at] + onward - z[at]) * w[at], self.n_inner + 1)
+                    uses = np.exp(f[s, at] + onward - z[at]) * w[at]
+                    if len(ids) < 1024:
+                        np.add.at(inner_sum, ids, uses)
+                    else:
+                        inner_sum += np.bincount(ids, uses, self.n_inner + 1)
             for e, at, ids in first:
                 first_sum += np.bincount(ids, np.exp(self.ln_first[ids] + b[e, at] - z[at]) * w[at], self.n_first)
             first_sum[self.mark] += (np.exp(self.ln_first[self.mark] + b[0] - z) * w).sum()
