@@ -75,3 +75,20 @@ def test_builder(spark):
     assert queue.legs_to_route(queue.legs(w), queue.legs(more)).count() == 2
     assert queue.without_waypoint(more, 1).orderBy("ord").select("lon").collect() == w.orderBy("ord").select("lon").collect()
     assert queue.legs(w.where(F.lit(False))).count() == 0
+
+
+def test_read_files_go_through_every_kernel(spark, tmp_path):
+    """Files have text for track ids; kernels keep it, and the other columns of the points they keep."""
+    from trackloom.operators import kernels, polish, shape, tracks
+
+    points = "".join(f'<trkpt lat="{46 + i * 1e-4:.6f}" lon="{14.5 + (i % 7) * 2e-5:.6f}"><ele>{300 + (i % 9 == 4) * 6}</ele></trkpt>' for i in range(60))
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.gpx").write_text(f"{gpx.HEAD}<trk><name>{name}</name><trkseg>{points}</trkseg></trk></gpx>")
+    read = tracks.with_gradient(tracks.with_distance(gpx.read_gpx(spark, f"file://{tmp_path}/*.gpx")))
+    for f in (kernels.simplified, kernels.dip_smoothed, kernels.vegetation_filtered, kernels.box_groups, kernels.reduced):
+        rows = f(read).collect()
+        assert {r.track_id for r in rows} == {"a.gpx", "b.gpx"} and all(r.name == r.track_id[0] for r in rows), f
+        at = {(r.track_id, r.lat, r.lon): r.gr for r in read.collect()}
+        assert all(at[r.track_id, r.lat, r.lon] == r.gr for r in rows), f
+    for f in (kernels.filleted, polish.polished, lambda p: kernels.splits(tracks.timing(p), 20.0), lambda p: kernels.snap_waypoints(tracks.curvature(p)), lambda p: shape.on_tracks(p, shape.shaped)):
+        assert {r.track_id for r in f(read).collect()} == {"a.gpx", "b.gpx"}

@@ -1,4 +1,4 @@
-"""Operators whose next step depends on the last one: a numpy function per track, run with applyInPandas.
+"""Operators whose next step depends on the last one: a numpy function per track, run with applyInArrow.
 
 Tracks are independent, so these scale with their number; a track itself must fit in a worker, as one long ride does.
 """
@@ -8,8 +8,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 R = 6_371_000.0
 
@@ -26,15 +27,29 @@ def along(lat, lon) -> np.ndarray:
 
 
 def per_track(points: DataFrame, kernel, schema: str, columns: list[str]) -> DataFrame:
-    """Apply kernel(frame sorted by idx) -> dict of columns to each track."""
+    """Apply kernel(arrays sorted by idx, by name) -> dict of columns to each track, whatever the type of its id.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
-        out = pd.DataFrame(kernel(pdf))
-        out.insert(0, "track_id", pdf["track_id"].iloc[0] if len(pdf) else None)
-        return out
+    A kernel that gives `row`, the positions of the points that its rows are made from, keeps their other columns:
+    all those of points that schema does not name."""
+    made = T.StructType.fromDDL(schema)
+    names = [f.name for f in made if f.name != "row"]
+    carried = [f for f in points.schema if f.name not in (*names, "track_id")] if "row" in made.names else []
+    out = T.StructType([points.schema["track_id"], *[made[n] for n in names], *carried])
 
-    return points.select("track_id", "idx", *columns).groupBy("track_id").applyInPandas(run, f"track_id long, {schema}")
+    def run(track):
+        import pyarrow as pa
+
+        types = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+        track = track.sort_by("idx")
+        found = kernel({c: track[c].to_numpy() for c in ("idx", *columns)})
+        n = len(found[names[0]])
+        own = [pa.array(np.asarray(found[f]), types[made[f].dataType.simpleString()]) for f in names]
+        kept = track.select([f.name for f in carried]).take(pa.array(np.asarray(found["row"], np.int64))).columns if carried else []
+        ident = track["track_id"].take(pa.array(np.zeros(n, np.int64)))
+        return pa.Table.from_arrays([ident, *own, *kept], names=out.names)
+
+    needed = points if "row" in made.names else points.select("track_id", "idx", *columns)
+    return needed.groupBy("track_id").applyInArrow(run, out)
 
 
 # Simplifying
@@ -72,11 +87,10 @@ def bend_radius(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 
 def simplified(points: DataFrame) -> DataFrame:
     def kernel(f):
-        s = smallest_triangles(f["lat"].to_numpy(), f["lon"].to_numpy(), f["ele"].to_numpy())
-        g = f[s]
-        return {"idx": np.arange(len(g)), "orig_idx": g["idx"], "lat": g["lat"], "lon": g["lon"], "ele": g["ele"], "dist": along(g["lat"], g["lon"])}
+        s = np.flatnonzero(smallest_triangles(f["lat"], f["lon"], f["ele"]))
+        return {"row": s, "idx": np.arange(len(s)), "orig_idx": f["idx"][s], "dist": along(f["lat"][s], f["lon"][s])}
 
-    return per_track(points, kernel, "idx long, orig_idx long, lat double, lon double, ele double, dist double", ["lat", "lon", "ele"])
+    return per_track(points, kernel, "row long, idx long, orig_idx long, dist double", ["lat", "lon", "ele"])
 
 
 # Waypoints
@@ -112,7 +126,7 @@ def snap_waypoints(points: DataFrame, spacing: float = 200.0) -> DataFrame:
     """track_id, ord, idx. points has dist and curvature."""
 
     def kernel(f):
-        found = waypoints(f["dist"].to_numpy(), f["curvature"].to_numpy(), spacing)
+        found = waypoints(f["dist"], f["curvature"], spacing)
         return {"ord": np.arange(len(found)), "idx": found}
 
     return per_track(points, kernel, "ord long, idx long", ["dist", "curvature"])
@@ -191,14 +205,13 @@ def filled_dips(dist: np.ndarray, ele: np.ndarray, p: dict, closed: np.ndarray |
 
 
 def dip_smoothed(points: DataFrame, source: str = "ES_MDT02_LOCAL") -> DataFrame:
-    """track_id, idx, ele, with dips filled where the source is known to make them."""
+    """The points, with dips filled in ele where the source is known to make them."""
     profile = DIP_PROFILES.get(DIP_SOURCES.get(source, ""))
 
     def kernel(f):
-        e = f["ele"].to_numpy(float)
-        return {"idx": f["idx"], "ele": filled_dips(f["dist"].to_numpy(float), e, profile) if profile else e}
+        return {"row": np.arange(len(f["ele"])), "ele": filled_dips(f["dist"], f["ele"], profile) if profile else f["ele"]}
 
-    return per_track(points, kernel, "idx long, ele double", ["dist", "ele"])
+    return per_track(points, kernel, "row long, ele double", ["dist", "ele"])
 
 
 # Corners
@@ -250,7 +263,7 @@ def rounded(lat, lon, ele, least_turn: float = 100.0, radius: float = 6.0, spaci
 
 def filleted(points: DataFrame, least_turn: float = 100.0) -> DataFrame:
     def kernel(f):
-        out = rounded(f["lat"].to_numpy(float), f["lon"].to_numpy(float), f["ele"].to_numpy(float), least_turn)
+        out = rounded(f["lat"], f["lon"], f["ele"], least_turn)
         return {"idx": np.arange(len(out)), "lat": out[:, 0], "lon": out[:, 1], "ele": out[:, 2], "dist": along(out[:, 0], out[:, 1])}
 
     return per_track(points, kernel, "idx long, lat double, lon double, ele double, dist double", ["lat", "lon", "ele"])
@@ -260,13 +273,21 @@ def filleted(points: DataFrame, least_turn: float = 100.0) -> DataFrame:
 
 
 def _extreme(dist: np.ndarray, v: np.ndarray, radius: float, f) -> np.ndarray:
+    """f (np.minimum or np.maximum) of v within `radius` of each point: of two runs of a power of two points that
+    cover the window together, from a table of all such runs."""
     lo, hi = np.searchsorted(dist, dist - radius - 1e-12), np.searchsorted(dist, dist + radius + 1e-12, "right")
-    return np.array([f(v[a:b]) for a, b in zip(lo, hi, strict=True)])
+    level = np.frexp(hi - lo)[1] - 1
+    out, run = np.empty(len(v)), v
+    for k in range(int(level.max(initial=0)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = f(run[lo[at]], run[hi[at] - (1 << k)])
+        run = f(run[: len(run) - (1 << k)], run[1 << k :])
+    return out
 
 
 def raised(dist, ele, closed=None, radius=75.0, least=1.5, buffer=15.0, narrow=5.0) -> list[tuple[int, int]]:
     """(lo, hi) of regions that stand out from the opening."""
-    floor = _extreme(dist, _extreme(dist, ele, radius, np.min), radius, np.max)
+    floor = _extreme(dist, _extreme(dist, ele, radius, np.minimum), radius, np.maximum)
     flag = ele - floor > least
     if closed is not None:
         flag &= ~closed
@@ -326,11 +347,13 @@ def without_vegetation(dist, ele, closed=None, passes: int = 3, settled: int = 2
 
 
 def vegetation_filtered(points: DataFrame) -> DataFrame:
+    """The points, with vegetation taken off ele, and flagged: those that stood out at first."""
+
     def kernel(f):
-        e, flag = without_vegetation(f["dist"].to_numpy(float), f["ele"].to_numpy(float))
-        return {"idx": f["idx"], "ele": e, "flagged": flag}
+        e, flag = without_vegetation(f["dist"], f["ele"])
+        return {"row": np.arange(len(e)), "ele": e, "flagged": flag}
 
-    return per_track(points, kernel, "idx long, ele double, flagged boolean", ["dist", "ele"])
+    return per_track(points, kernel, "row long, ele double, flagged boolean", ["dist", "ele"])
 
 
 # Rides and overlaps
@@ -358,7 +381,7 @@ def splits(timed: DataFrame, seconds: float = 600.0) -> DataFrame:
     """track_id, split, start_idx, end_idx, time, dist, climb, avg_speed. timed comes from timing()."""
 
     def kernel(f):
-        t, d, c = (f[k].to_numpy(float) for k in ("cum_time", "cum_dist", "cum_climb"))
+        t, d, c = (f[k] for k in ("cum_time", "cum_dist", "cum_climb"))
         cut = np.array(equal_time_parts(t, seconds), int).reshape(-1, 2)
         a, b = cut[:, 0], cut[:, 1]
         took = t[b] - t[a]
@@ -381,6 +404,16 @@ def overlap_clusters(first: np.ndarray, second: np.ndarray, gap: int = 3) -> np.
     return out
 
 
+def clustered_overlaps(pairs: DataFrame) -> DataFrame:
+    """The pairs (track_id, i, j) with cluster."""
+
+    def kernel(f):
+        return {"row": np.arange(len(f["i"])), "cluster": overlap_clusters(f["i"], f["j"])}
+
+    ordered = pairs.withColumn("idx", F.shiftleft(F.col("i").cast("long"), 32) + F.col("j"))
+    return per_track(ordered, kernel, "row long, cluster long", ["i", "j"]).drop("idx")
+
+
 def boxes(lat: np.ndarray, lon: np.ndarray, side: float) -> np.ndarray:
     """Group number of each point: groups follow the track and end where their box would be wider than `side`."""
     out, k = np.zeros(len(lat), int), 0
@@ -395,10 +428,12 @@ def boxes(lat: np.ndarray, lon: np.ndarray, side: float) -> np.ndarray:
 
 
 def box_groups(points: DataFrame, side: float = 0.001) -> DataFrame:
+    """The points, with box: the number of the group, whose box is `side` wide at most."""
+
     def kernel(f):
-        return {"idx": f["idx"], "box": boxes(f["lat"].to_numpy(float), f["lon"].to_numpy(float), side)}
+        return {"row": np.arange(len(f["lat"])), "box": boxes(f["lat"], f["lon"], side)}
 
-    return per_track(points, kernel, "idx long, box long", ["lat", "lon"])
+    return per_track(points, kernel, "row long, box long", ["lat", "lon"])
 
 
 # Shape
@@ -429,11 +464,10 @@ def douglas_peucker(x: np.ndarray, y: np.ndarray, z: np.ndarray, side: float, he
 def reduced(points: DataFrame, side: float = 2.0, height: float = 1.0) -> DataFrame:
     def kernel(f):
         k = R * math.pi / 180
-        lat = f["lat"].to_numpy(float)
-        s = douglas_peucker(f["lon"].to_numpy(float) * k * math.cos(math.radians(lat.mean())), lat * k, f["ele"].to_numpy(float), side, height)
-        return {"idx": f["idx"][s], "lat": lat[s], "lon": f["lon"][s], "ele": f["ele"][s]}
+        s = np.flatnonzero(douglas_peucker(f["lon"] * k * math.cos(math.radians(f["lat"].mean())), f["lat"] * k, f["ele"], side, height))
+        return {"row": s, "idx": f["idx"][s]}
 
-    return per_track(points, kernel, "idx long, lat double, lon double, ele double", ["lat", "lon", "ele"])
+    return per_track(points, kernel, "row long, idx long", ["lat", "lon", "ele"])
 
 
 def _curved(points):

@@ -55,7 +55,7 @@ def polished(points: DataFrame, sigma: float = 2.0) -> DataFrame:
     """track_id, idx, lat, lon, ele, dist after all three."""
 
     def kernel(f):
-        p = smoothed(without_zigzags(distinct_points(f[["lat", "lon", "ele"]].to_numpy(float))), sigma)
+        p = smoothed(without_zigzags(distinct_points(np.column_stack([f["lat"], f["lon"], f["ele"]]))), sigma)
         return {"idx": np.arange(len(p)), "lat": p[:, 0], "lon": p[:, 1], "ele": p[:, 2], "dist": along(p[:, 0], p[:, 1])}
 
     return per_track(points, kernel, "idx long, lat double, lon double, ele double, dist double", ["lat", "lon", "ele"])

@@ -244,10 +244,10 @@ def on_tracks(points: DataFrame, change) -> DataFrame:
     """track_id, idx, lat, lon, ele of each track after change(rows of x, y, z)."""
 
     def kernel(f):
-        lat, lon = f["lat"].to_numpy(float), f["lon"].to_numpy(float)
+        lat, lon = f["lat"], f["lon"]
         k = np.array([math.radians(1) * POLISH_RADIUS * math.cos(math.radians(lat.mean())), math.radians(1) * POLISH_RADIUS])
         o = np.array([lon.mean(), lat.mean()])
-        p = change(np.column_stack([(np.column_stack([lon, lat]) - o) * k, f["ele"].to_numpy(float)]))
+        p = change(np.column_stack([(np.column_stack([lon, lat]) - o) * k, f["ele"]]))
         return {"idx": np.arange(len(p)), "lat": o[1] + p[:, 1] / k[1], "lon": o[0] + p[:, 0] / k[0], "ele": p[:, 2]}
 
     return per_track(points, kernel, "idx long, lat double, lon double, ele double", ["lat", "lon", "ele"])

@@ -194,12 +194,7 @@ def overlap_pipeline(spark, sf_dir):
     p = out_and_back(spark, sf_dir)
     pairs = spatial.self_proximity(p, 8.0, 20)
 
-    def cluster(pdf):
-        pdf = pdf.sort_values(["i", "j"]).reset_index(drop=True)
-        return pdf.assign(cluster=kernels.overlap_clusters(pdf["i"].to_numpy(), pdf["j"].to_numpy()))[["track_id", "cluster", "i", "j"]]
-
-    found = pairs.groupBy("track_id").applyInPandas(cluster, "track_id long, cluster long, i long, j long")
-    return fields.overlap_directions(found, p)
+    return fields.overlap_directions(kernels.clustered_overlaps(pairs), p)
 
 
 @registered("dense_enough", q("SELECT track_id, max(dist)/nullif(max(idx),0) > 7.5 AS sparse FROM pts GROUP BY 1", PTS))
