@@ -7,6 +7,7 @@ import contextlib
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,12 @@ OWN_DIR = "/tmp/checkpoints/trackloom"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir; only where that is
-    unset (tests on one machine) a folder of our own is used, which goes when the process ends."""
+    unset and all is one process (local mode, as in tests) a folder of our own is used, which goes when it ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = f"{OWN_DIR}/{os.getpid()}"
     if own not in _own:
         _own.add(own)
@@ -65,9 +68,28 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts do not gather in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
+    """Arrow batches of `rows` rows at most: views of those that come, so that what is made of very long texts does
+    not gather. (Spark itself ends a batch at 64 MB.)"""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
+def gathered(batches: Iterator, rows: int, most_bytes: int = 1 << 25) -> Iterator:
+    """Batches put together until they have `rows` rows or most_bytes bytes."""
+    import pyarrow as pa
+
+    held: list = []
+    n = size = 0
+    for b in batches:
+        held.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= most_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of, small_batches, stored, table
+from .common import crc_of, gathered, sliced, stored, table
 
 MARK = "▁"
 
@@ -329,7 +329,7 @@ def word_counts(texts: DataFrame, classes: int) -> DataFrame:
             )
 
         seen = [Counter() for _ in range(classes)]
-        for b in batches:
+        for b in sliced(batches):
             for t, k in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 seen[k].update(tokens(t.as_py()))
                 if sum(map(len, seen)) >= GATHER:
@@ -338,7 +338,6 @@ def word_counts(texts: DataFrame, classes: int) -> DataFrame:
         if any(seen):
             yield out(seen)
 
-    small_batches(texts.sparkSession)
     found = texts.select("text", "class").mapInArrow(count, "word string, k int, c long")
     each = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("c"))), F.lit(0).cast("long")).alias(f"c{k}") for k in range(classes)]
     return stored(found.groupBy("word").agg(*each), "word-counts")
@@ -358,7 +357,7 @@ def fit_weights(counts: DataFrame, classes: int, model_path: str, rounds: int =
 
             own = lattice_for(model_path)
             uses = np.zeros((classes, size))
-            for b in batches:
+            for b in gathered(batches, WORD_ROWS):
                 words = np.array(b.column(0).to_pylist(), object)
                 for k in range(classes):
                     here = words[b.column(1 + k).to_numpy() > 0].tolist()
@@ -368,7 +367,6 @@ def fit_weights(counts: DataFrame, classes: int, model_path: str, rounds: int =
             at = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(uses.reshape(-1)[at])], names=["piece", "uses"])
 
-        small_batches(counts.sparkSession, WORD_ROWS)
         got = counts.mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.zeros(classes * size)
         uses[got["piece"].to_numpy()] = got["uses"].to_numpy()
@@ -443,11 +441,10 @@ def lattice_scores(
     def spell(batches: Iterator):
         import pyarrow as pa
 
-        for b in batches:
+        for b in gathered(batches, WORD_ROWS):
             spelt = lattice_for(model_path).ln_spelling(b.column(0).to_pylist(), pieces.value)
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, spelt.T.copy())], names=spelled_names)
 
-    small_batches(spark, WORD_ROWS)
     spelled = stored(counts.mapInArrow(spell, T.StructType([*counts.schema.fields, *[T.StructField(p, T.DoubleType()) for p in parts]])), "lm-spelled")
     every = sum(F.col(c) for c in own)
     top = spelled.where(every >= least_count(spelled.select(every.alias("c")), head)).toPandas()
@@ -473,7 +470,7 @@ def lattice_scores(
         place = {w: i for i, w in enumerate(head_words)}
         end_ln, end_base = np.log(urn * p_end), float(np.log(n_ends + 1.0)) - ln_add
         whole = float(ln_gamma(np.array([urn]))[0])
-        for b in batches:
+        for b in sliced(batches):
             at, tf, owner, rare, rare_tf, rare_owner, n = [], [], [], [], [], [], []
             for d, t in enumerate(b.column(2)):
                 words = tokens(t.as_py())
@@ -513,13 +510,12 @@ def lattice_scores(
                     names=schema.names,
                 )
 
-    small_batches(spark)
     opened = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(open_documents, schema), "lm-documents")
 
     def close_words(batches: Iterator):
         import pyarrow as pa
 
-        for b in batches:
+        for b in gathered(batches, WORD_ROWS):
             tf = b.column(2).to_numpy().astype(np.float64)
             c = np.stack([x.fill_null(0).to_numpy() for x in b.columns[3 : 3 + classes]], 1)
             spelt = np.stack([x.to_numpy(zero_copy_only=False) for x in b.columns[3 + classes :]], 1)
@@ -533,7 +529,6 @@ def lattice_scores(
                 [b.column(0), pa.array(np.where(seen > 0, tf, 0).astype(np.int64)), pa.array(tf * (np.log(seen + 1.0) - ln_add)), *map(pa.array, lns)], names=["row", "known", "base", *parts]
             )
 
-    small_batches(spark, WORD_ROWS)
     rare = opened.where(F.col("word").isNotNull()).select("row", "word", "tf").join(spelled, "word", "left").select("row", "word", "tf", *own, *parts)
     closed = rare.mapInArrow(close_words, "row long, known long, base double, " + ", ".join(f"{p} double" for p in parts))
     sums = stored(closed.groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), *[F.sum(p).alias(f"sum_{p}") for p in parts]), "lm-words")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, small_batches, stored, table
+from .common import give_back, sliced, stored, table
 from .shingles import blocks, mix
 
 THRESHOLD, BANDS, ROWS, SEED = 0.8, 10, 3, 42
@@ -104,7 +104,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         import pyarrow as pa
 
         df, n = np.zeros(1 << FEATURE_BITS, np.int64), 0
-        for b in batches:
+        for b in sliced(batches):
             for _, block in blocks([t.as_py() or "" for t in b.column(0)]):
                 # A feature counts once a document, however many of its shingles fall into it.
                 seen = np.unique(block.doc.astype(np.int64) << FEATURE_BITS | feature_of(block.shingle)) & ((1 << FEATURE_BITS) - 1)
@@ -115,7 +115,6 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(df[found], n))], names=["feature", "n"])
         give_back()
 
-    small_batches(docs.sparkSession)
     counted = docs.select(text_col).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     df, n = np.zeros(1 << FEATURE_BITS, np.int64), 0
     real = counted["feature"] >= 0
@@ -140,7 +139,7 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int, id_col: str = "doc_i
         import pyarrow as pa
 
         sampler, weights = Sampler(bands * rows), idf.value
-        for b in batches:
+        for b in sliced(batches):
             texts = [t.as_py() or "" for t in b.column(2)]
             nodes: list[bytes | None] = [None] * len(texts)
             keys: list = [None] * len(texts)
@@ -253,7 +252,7 @@ def features_of(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
     def read(batches: Iterator):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             texts = [t.as_py() or "" for t in b.column(1)]
             names, tfs = [], []
             for _, block in blocks(texts):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, give_back, small_batches, table
+from .common import Memo, give_back, sliced, table
 
 MARK = "▁"
 
@@ -261,7 +261,6 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     Repeated rows give repeated rows, an empty table none; other columns are not read.
     model_path must be readable on every worker.
     """
-    small_batches(docs.sparkSession)
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[id_col].dataType),
@@ -275,7 +274,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
         import pyarrow as pa
 
         counter = counter_for(model_path)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t.as_py() or "" for t in b.column(1)]
             n = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, crc_of, give_back, small_batches, table
+from .common import WORD, crc_of, give_back, sliced, table
 
 #: Words in a window, and words from one window's begin to the next's.
 LENGTH, STRIDE = 24, 12
@@ -384,7 +384,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, most: in
 def score_documents(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, score, predicted (1 from 0.5 on). Texts without words (null, empty) get the
     share of label 1 in training, below 0.5. Repeated rows give repeated rows, an empty table none."""
-    small_batches(docs.sparkSession, 256)
     sent = docs.sparkSession.sparkContext.broadcast(network)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -392,7 +391,7 @@ def score_documents(docs: DataFrame, network: Network, id_col: str = "doc_id", t
         import pyarrow as pa
 
         net = sent.value
-        for b in batches:
+        for b in sliced(batches, 256):
             score = net.probabilities(net.text_logits([words_of(t.as_py()) for t in b.column(1)])).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
         give_back()
@@ -406,7 +405,6 @@ def trained_network(docs: DataFrame, labels: DataFrame) -> Network:
 
 def drop_toxic(docs: DataFrame, network: Network) -> DataFrame:
     """The documents that are not predicted toxic, with all columns, in one pass and without a shuffle."""
-    small_batches(docs.sparkSession, 256)
     sent = docs.sparkSession.sparkContext.broadcast(network)
     at = docs.columns.index("text")
 
@@ -414,7 +412,7 @@ def drop_toxic(docs: DataFrame, network: Network) -> DataFrame:
         import pyarrow as pa
 
         net = sent.value
-        for b in batches:
+        for b in sliced(batches, 256):
             score = net.probabilities(net.text_logits([words_of(t.as_py()) for t in b.column(at)]))
             yield b.filter(pa.array(score < 0.5))
         give_back()
@@ -425,4 +423,4 @@ def drop_toxic(docs: DataFrame, network: Network) -> DataFrame:
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, trained_network(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (crc_of(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(crc_of(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
