@@ -7,6 +7,7 @@ import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trackloom.llm import bpe_automaton, token_counts
@@ -32,10 +33,16 @@ def test_bpe_like_the_library(text):
 
 
 def test_every_code_point_like_the_library():
-    for c in map(chr, range(0x110000)):
-        if not "\ud800" <= c <= "\udfff":
-            for text in (f"a{c}b", f"1{c}\u0323\u0301 !{c}?\u0345{c}"):
-                assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+    """Normal forms and words of all code points, in blocks (bytes of a word are encoded alike, whatever they are)."""
+    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(codes), 200):
+        part = codes[at : at + 200]
+        text = " ".join([f"a{c}b" for c in part] + [f"1{c}\u0323\u0301 !{c}?\u0345{c}" for c in part if c < "\U00020000"])
+        normal = library.normalizer.normalize_str(text)
+        chunks = [c for c in codec.space.split(codec.normal(text)) if c]
+        assert " ".join(chunks) == codec.space.sub(" ", normal).strip(" "), hex(at)
+        words = [w for w, _ in library.pre_tokenizer.pre_tokenize_str(normal)]
+        assert ["".join(map(codec.bytes.get, w.encode())) for c in chunks for w in codec.split(c)] == words, hex(at)
     apart = "".join(bpe_automaton.APART)
     assert codec.encode(apart) == library.encode(apart, add_special_tokens=False).ids
 
@@ -66,8 +73,9 @@ def test_compiled_automaton_accepts_what_merging_makes():
 def test_counts_at_every_prefix(text):
     want = [len(pieces.encode(text[:i])) for i in range(len(text) + 1)]
     assert counter.all_counts(text) == want and counter.count(text) == want[-1]
-    cut = counter.longest_prefix(text, 5)
-    assert want[cut] <= 5 and all(n > 5 for n in want[cut + 1 :])
+    for budget in (0, 1, 5, 12):
+        cut = counter.longest_prefix(text, budget)
+        assert want[cut] <= budget and all(n > budget for n in want[cut + 1 :])
     assert counter.span_tokens(text, 0, len(text)) == want[-1]
 
 
@@ -99,6 +107,11 @@ def test_encoding_query(edge, empty):
 
 
 def test_count_query(edge, empty):
+    short = {(r.doc_id, r.limit_chars) for r in token_counts.token_counts(edge, MODEL, limit=7).collect()}
+    tables = token_counts.prefix_table(edge, MODEL).select("doc_id", token_counts.longest_within(F.col("counts"), F.lit(7)).alias("cut"), F.col("counts"), token_counts.tokens_between(F.col("counts"), F.lit(0), F.size("counts") - 1).alias("all"))
+    for r in tables.collect():
+        assert r.counts[r.cut] <= 7 and all(n > 7 for n in r.counts[r.cut + 1 :]) and r["all"] == r.counts[-1]
+        assert (r.doc_id, r.cut) in short
     got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(edge, MODEL).collect())
     want = [(t or "", len(pieces.encode(t or ""))) for _, t in edge_rows()]
     assert got == sorted((str(i), len(t.encode()), n, n > 4096) for (i, _), (t, n) in zip(edge_rows(), want, strict=True))

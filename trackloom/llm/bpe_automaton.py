@@ -242,21 +242,23 @@ class BpeCodec:
                 self.words.put(word, out)
         return out
 
+    def split(self, chunk: str) -> list[str]:
+        """The words of a piece of normalised text without white space, by the file's pattern."""
+        # The common shapes are split without it: letters, and letters before one plain mark.
+        if not chunk.isascii() and self.no_word.search(chunk):
+            return [chunk[m.start() : m.end()] for m in self.word.finditer(self.no_word.sub("\uffff", chunk))]
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.word.findall(chunk)
+
     def encode_chunk(self, chunk: str) -> bytes:
         """A piece of normalised text without white space; splitting looks at no character beyond it."""
         out = self.memo.old_value(chunk)
         if out is not None:
             return out
-        # The common shapes are split without the pattern: letters, and letters before one plain mark.
-        if not chunk.isascii() and self.no_word.search(chunk):
-            found = [chunk[m.start() : m.end()] for m in self.word.finditer(self.no_word.sub("\uffff", chunk))]
-        elif chunk.isalpha():
-            found = [chunk]
-        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            found = [chunk[:-1], chunk[-1]]
-        else:
-            found = self.word.findall(chunk)
-        parts = [self.encode_word(w) for w in found]
+        parts = [self.encode_word(w) for w in self.split(chunk)]
         out = parts[0] if len(parts) == 1 else b"".join(parts)
         if len(chunk) <= MEMO_CHARS:
             self.memo.put(chunk, out)

@@ -15,7 +15,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,10 +222,16 @@ class PrefixCounter:
         return out
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix that has `budget` tokens at most. Counts may fall as a prefix grows,
-        so whole prefixes are looked at from the end of the last unit that may still fit."""
-        counts = self.all_counts(text)
-        return max(i for i, n in enumerate(counts) if n <= budget) if budget >= 0 else 0
+        """Characters of the longest prefix that has `budget` tokens at most. Units add up, so it ends in the last
+        unit whose beginning fits, or at its begin; counts may fall inside a unit, so all its prefixes are looked at."""
+        if budget < 0:
+            return 0
+        chars, tokens = self.boundaries(text)
+        k = bisect.bisect_right(tokens, budget) - 1
+        if k + 1 == len(chars):
+            return chars[-1]
+        inner = self.prefix_counts(self.units(text)[k])[1 if k == 0 else 0 :]
+        return chars[k] + max((i for i in range(1, len(inner)) if tokens[k] + inner[i] <= budget), default=0)
 
     def boundaries(self, text: str) -> tuple[list[int], list[int]]:
         """(characters, tokens) at the end of every unit: a sparse form of all_counts for range questions."""
@@ -256,31 +262,51 @@ def counter_for(model_path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_tokens, over_limit. Null counts as empty: no bytes, no tokens.
+    """A row per document: doc_id, n_bytes, n_tokens, over_limit, limit_chars (characters of the longest prefix of
+    `limit` tokens at most, from the prefix counts). Null counts as empty: no bytes, no tokens.
 
     Repeated rows give repeated rows, an empty table none; other columns are not read.
     model_path must be readable on every worker.
     """
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", docs.schema[id_col].dataType),
-            T.StructField("n_bytes", T.LongType()),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("over_limit", T.BooleanType()),
-        ]
-    )
+    import pyarrow as pa
+
+    def rows(counter: PrefixCounter, texts: list[str]):
+        n = [counter.count(t) for t in texts]
+        cut = [counter.longest_prefix(t, limit) if x > limit else len(t) for t, x in zip(texts, n, strict=True)]
+        return [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cut, pa.int64())]
+
+    return _mapped(docs, model_path, "n_bytes long, n_tokens long, over_limit boolean, limit_chars long", rows, id_col, text_col)
+
+
+def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id and counts, the tokens of its first 0, 1, 2, ... characters. `longest_within` and
+    `tokens_between` answer from it; edge cases as in token_counts (null and empty texts: [0])."""
+    import pyarrow as pa
+
+    rows = lambda counter, texts: [pa.array([counter.all_counts(t) for t in texts], pa.list_(pa.int32()))]
+    return _mapped(docs, model_path, "counts array<int>", rows, id_col, text_col)
+
+
+def longest_within(counts: Column, budget: Column) -> Column:
+    """Characters of the longest prefix that has `budget` tokens at most."""
+    return F.size(counts) - F.array_position(F.reverse(F.transform(counts, lambda n: n <= budget)), F.lit(True))
+
+
+def tokens_between(counts: Column, start: Column, end: Column) -> Column:
+    """Tokens of the first `end` characters less those of the first `start`."""
+    return F.get(counts, end.cast("int")) - F.get(counts, start.cast("int"))
+
+
+def _mapped(docs: DataFrame, model_path: str, fields: str, rows, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and the columns that rows(counter, texts) gives."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.StructType.fromDDL(fields)])
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         counter = counter_for(model_path)
         for b in sliced(batches):
-            texts = [t.as_py() or "" for t in b.column(1)]
-            n = [counter.count(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), *rows(counter, [t.as_py() or "" for t in b.column(1)])], names=schema.names)
         give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
