@@ -207,25 +207,25 @@ def rarest(opened: DataFrame, features: DataFrame, idf, threshold: float) -> Dat
     def read(batches: Iterator):
         import pyarrow as pa
 
-        weights, shift = idf.value, np.uint32(32 - FEATURE_BITS)
+        weights = idf.value
         for b in batches:
             for i in range(b.num_rows):
-                own = b.column(2)[i].values.to_numpy(False).view(np.uint32)
-                rarity, tf = weights[own >> shift], b.column(3)[i].as_py()
+                own = b.column(2)[i].values.to_numpy(False).view(np.uint64)
+                rarity, tf = weights[feature_of(own)], b.column(3)[i].as_py()
                 order = np.lexsort((own, -rarity))
                 w = (rarity if tf is None else rarity * np.array(tf, np.float32))[order].astype(np.float64)
                 rest = np.cumsum(w[::-1])[::-1]
                 total = float(rest[0]) if len(rest) else 0.0
                 n = int((rest >= threshold * total * slack).sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[order[:n]].view(np.int32)), b.column(0).take(pa.array([i] * n, pa.int32())), b.column(1).take(pa.array([i] * n, pa.int32()))]
+                    [pa.array(own[order[:n]].view(np.int64)), b.column(0).take(pa.array([i] * n, pa.int32())), b.column(1).take(pa.array([i] * n, pa.int32()))]
                     + [pa.array(np.full(n, total)), pa.array(rest[:n]), pa.array(rest[:n] >= 2 * threshold / (1 + threshold) * total * slack)],
                     names=["name", "node", "root", "total", "rest", "indexed"],
                 )
         give_back()
 
     joined = opened.join(features, "node").select("node", "root", "names", "tf")
-    return joined.mapInArrow(read, "name int, node binary, root binary, total double, rest double, indexed boolean")
+    return joined.mapInArrow(read, "name long, node binary, root binary, total double, rest double, indexed boolean")
 
 
 def exact_pairs(opened: DataFrame, features: DataFrame, idf, threshold: float) -> DataFrame:
@@ -246,8 +246,7 @@ def exact_pairs(opened: DataFrame, features: DataFrame, idf, threshold: float) -
 
 
 def features_of(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node, names (sorted upper halves of shingle hashes), tf (null where all are 1) of the nodes in `wanted`
-    (node, doc_id, seal)."""
+    """node, names (sorted shingle hashes), tf (null where all are 1) of the nodes in `wanted` (node, doc_id, seal)."""
 
     def read(batches: Iterator):
         import pyarrow as pa
@@ -258,18 +257,16 @@ def features_of(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
             for _, block in blocks(texts):
                 for d in range(block.n):
                     s = slice(block.bounds[d], block.bounds[d + 1])
-                    own, tf = (block.shingle[s] >> np.uint64(32)).astype(np.uint32), block.tf[s]
-                    own, place = np.unique(own, return_inverse=True)
-                    tf = np.bincount(place, tf, len(own)).astype(np.int32)
-                    names.append(own.view(np.int32))
+                    tf = block.tf[s].astype(np.int32)
+                    names.append(block.shingle[s].view(np.int64))
                     tfs.append(tf if (tf != 1).any() else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(names, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["node", "names", "tf"]
+                [b.column(0), pa.array(names, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))], names=["node", "names", "tf"]
             )
 
     own = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__seal"), F.col(text_col).alias("text"))
     found = own.join(wanted, own["__id"].eqNullSafe(wanted["doc_id"]) & (own["__seal"] == wanted["seal"]))
-    return found.select("node", "text").mapInArrow(read, "node binary, names array<int>, tf array<int>").dropDuplicates(["node"])
+    return found.select("node", "text").mapInArrow(read, "node binary, names array<long>, tf array<int>").dropDuplicates(["node"])
 
 
 def links(pairs: DataFrame, features: DataFrame, idf, threshold: float) -> DataFrame:
@@ -278,11 +275,11 @@ def links(pairs: DataFrame, features: DataFrame, idf, threshold: float) -> DataF
     def verify(batches: Iterator):
         import pyarrow as pa
 
-        weights, shift = idf.value, np.uint32(32 - FEATURE_BITS)
+        weights = idf.value
 
         def side(names, tf):
-            own = np.array(names, np.int32).view(np.uint32)
-            w = weights[own >> shift]
+            own = names.view(np.uint64)
+            w = weights[feature_of(own)]
             return own, w if tf is None else w * np.array(tf, np.float32)
 
         for b in batches:
