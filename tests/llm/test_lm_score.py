@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 import re
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from trackloom.llm import lm_score as op
 from trackloom.llm.queries import QUERIES
@@ -122,8 +124,8 @@ def test_training_helps(spark):
     assert op.lattice_scores(docs, train, MODEL).first().score > op.lattice_scores(docs, blind, MODEL).first().score
 
 
-def plain_ln(lattice, word):
-    """The forward recursion, a character at a time, over pieces by name."""
+@functools.cache
+def pieces_by_name():
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     inner, first, n = {}, {}, 0
     for i in range(sp.get_piece_size()):
@@ -136,6 +138,12 @@ def plain_ln(lattice, word):
                 n += 1
             elif op.MARK not in p[1:]:
                 first[p[1:]] = len(first)
+    return inner, first
+
+
+def plain_ln(lattice, word):
+    """The forward recursion, a character at a time, over pieces by name."""
+    inner, first = pieces_by_name()
     f = [math.log(lattice.first[first[""]])]
     for e in range(1, len(word) + 1):
         terms = [f[s] + math.log(lattice.inner[inner[word[s:e]]]) for s in range(max(0, e - lattice.longest), e) if word[s:e] in inner]
@@ -147,6 +155,46 @@ def plain_ln(lattice, word):
     return f[-1] + math.log(lattice.inner[lattice.n_inner])
 
 
+def test_scores_by_brute_force(spark, documents, lattice):
+    """Both scores of 50 texts by the formulas, word by word, with the class mixture; pooled classes too."""
+    texts = [(r.doc_id, " ".join((r.text or "").split()[:25]), r.lang) for r in documents.orderBy("doc_id").limit(50).collect()]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    train = docs.where("doc_id % 3 > 0")
+    for most in (32, 2):
+        got = {r.doc_id: r for r in op.lattice_scores(docs, train, MODEL, class_col="lang", most_classes=most).collect()}
+        sizes = Counter(x[2] for x in texts if x[0] % 3 > 0)
+        names = sorted(sizes, key=lambda k: (-sizes[k], k))[: most - 1]
+        rest = [k for k in sizes if k not in names]
+        groups = [[k] for k in names] + [rest] * bool(rest)
+        counts = [Counter(w for i, t, k in texts if i % 3 > 0 and k in g for w in tokens(t)[:-1]) for g in groups]
+        ends = [sum(sizes[k] for k in g) for g in groups]
+        number = F.lit(len(groups) - 1)
+        for k, g in enumerate(groups):
+            number = F.when(F.col("lang").isin(g), k).otherwise(number)
+        weights = op.fit_weights(op.word_counts(train.select("text", number.cast("int").alias("class")), len(groups)), len(groups), MODEL)
+        every = {w for _, t, _ in texts for w in tokens(t)[:-1]}
+        old = lattice.inner.copy(), lattice.first.copy()
+        want = {i: ([], []) for i, _, _ in texts}
+        for c, n_ends, pair in zip(counts, ends, weights, strict=True):
+            lattice.set_weights(*pair)
+            spelt = {w: plain_ln(lattice, w) for w in every}
+            n, end = sum(c.values()), (n_ends + 1) / (sum(c.values()) + n_ends + 2)
+            prior = math.log((n_ends + 1) / (sum(ends) + len(groups)))
+            for i, t, _ in texts:
+                own, urn, alone = tokens(t)[:-1], 0.0, 0.0
+                for k, w in enumerate(own):
+                    base = (1 - end) * (max(c[w] - op.DISCOUNT, 0) / n + op.DISCOUNT * len(c) / n * math.exp(spelt[w]))
+                    urn += math.log((op.URN * base + own[:k].count(w)) / (op.URN + k))
+                    alone += math.log(1 - end) + spelt[w]
+                urn += math.log(op.URN * end / (op.URN + len(own)))
+                want[i][0].append(prior + urn)
+                want[i][1].append(prior + alone + math.log(end))
+        lattice.set_weights(*old)
+        for i, (urn, alone) in want.items():
+            assert got[i].score * math.log(10) == pytest.approx(np.logaddexp.reduce(urn), rel=1e-6)
+            assert got[i].lattice_score * math.log(10) == pytest.approx(np.logaddexp.reduce(alone), rel=1e-6)
+
+
 def test_long_tokens_have_their_own_likelihood(spark, lattice):
     r = random.Random(3)
     words = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in (264, 3000)]

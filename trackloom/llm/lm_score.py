@@ -12,6 +12,9 @@ words after it. The urn's probability needs only the document's word counts:
 
     P(d) = G(A) / G(A + n) * product over words w of G(A p(w) + tf(w)) / G(A p(w)),   G the gamma function
 
+The marginal of the lattice alone, over the vocabulary's pieces and nothing else, is a score of its own
+(lattice_score); whole words and the urn come on top of it.
+
 Where training documents have a class (their language), each class has counts and weights of its own, and the
 probability of a document, whose own class is not looked at, is the sum over the classes.
 
@@ -26,7 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +45,8 @@ URN, DISCOUNT, PRIOR = 3000.0, 0.75, 2000.0
 
 ROUNDS = 2
 
-#: Classes of training documents that are told apart; the others, if there are more, are one.
-CLASSES = 8
+#: Classes of training documents that are told apart; the rows of the others, if there are more, are one class.
+CLASSES = 32
 
 #: Distinct words that a worker gathers before it hands on their counts.
 GATHER = 400_000
@@ -397,16 +400,17 @@ def lattice_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     class_col: str | None = None,
+    most_classes: int = CLASSES,
 ) -> DataFrame:
-    """A row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, learning from `train`
-    (same columns). Tokens are words and one end; scores are log10 probabilities. base_score: words by add-one
-    counts. Null counts as empty: the end alone. Repeated rows give repeated rows, an empty table none; an empty
-    train leaves spelling alone. class_col: a column of train that tells its documents' classes (null is one);
-    other columns are not read.
+    """A row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score, learning from
+    `train` (same columns). Tokens are words and one end; scores are log10 probabilities. base_score: words by add-one
+    counts; lattice_score: every word by the sum over its segmentations into pieces of the vocabulary. Null counts as empty: the end alone. Repeated rows give repeated rows, an empty table none; an empty
+    train leaves spelling alone. class_col: a column of train that tells its documents' classes (null is one;
+    the smallest are one together if there are more than most_classes); other columns are not read.
     """
     spark = docs.sparkSession
     label = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
-    sizes = train.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES - 1).collect()
+    sizes = train.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_classes - 1).collect()
     names = [r["label"] for r in sizes]
     others = train.count() - sum(r["n"] for r in sizes)
     ends = np.array([r["n"] for r in sizes] + [others] * (others > 0) or [0], np.int64)
@@ -434,7 +438,7 @@ def lattice_scores(
             ln_known = np.log(np.maximum(c - DISCOUNT, 0.0) / np.maximum(n_words, 1))
         return np.log(urn * (1 - p_end)) + np.logaddexp(ln_known, np.log(freed) + ln_spelt)
 
-    parts = [f"ln{k}" for k in range(classes)]
+    parts, whole_parts = [f"ln{k}" for k in range(classes)], [f"lattice{k}" for k in range(classes)]
     spelled_names = ["word", *own, *parts]
     pieces = spark.sparkContext.broadcast(weights)
 
@@ -449,14 +453,15 @@ def lattice_scores(
     every = sum(F.col(c) for c in own)
     top = spelled.where(every >= least_count(spelled.select(every.alias("c")), head)).toPandas()
     head_c = top[own].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast((top["word"].tolist(), ln_measure(head_c, top[parts].to_numpy()), np.log(head_c.sum(1) + 1.0) - ln_add))
+    head_spelt = top[parts].to_numpy()
+    sent = spark.sparkContext.broadcast((top["word"].tolist(), ln_measure(head_c, head_spelt), np.log(head_c.sum(1) + 1.0) - ln_add, head_spelt + np.log(1 - p_end)))
     del top
 
     id_type = docs.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("word", T.StringType())]
         + [T.StructField("tf", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType())]
-        + [T.StructField(p, T.DoubleType()) for p in parts]
+        + [T.StructField(p, T.DoubleType()) for p in [*parts, *whole_parts]]
     )
 
     def open_documents(batches: Iterator):
@@ -464,7 +469,7 @@ def lattice_scores(
         and a row for each of its other words."""
         import pyarrow as pa
 
-        head_words, head_ln, head_base = sent.value
+        head_words, head_ln, head_base, head_lattice = sent.value
         head_x = np.exp(head_ln)
         head_gamma = ln_gamma(head_x + 1)
         place = {w: i for i, w in enumerate(head_words)}
@@ -496,9 +501,10 @@ def lattice_scores(
                 ln = head_ln[at, k]
                 ln[many] += ln_gamma(head_x[more, k] + times) - head_gamma[more, k]
                 lns.append(of(ln) + end_ln[k] + once)
+            alone = [of(tf * head_lattice[at, k]) + np.log(p_end[k]) for k in range(classes)]
             rows, ids = b.column(0), b.column(1)
             yield pa.RecordBatch.from_arrays(
-                [rows, ids, pa.nulls(m, pa.string()), pa.array(n, pa.int64()), pa.array((of(tf) + (n_ends > 0)).astype(np.int64)), pa.array(of(tf * head_base[at]) + end_base), *map(pa.array, lns)],
+                [rows, ids, pa.nulls(m, pa.string()), pa.array(n, pa.int64()), pa.array((of(tf) + (n_ends > 0)).astype(np.int64)), pa.array(of(tf * head_base[at]) + end_base), *map(pa.array, lns), *map(pa.array, alone)],
                 names=schema.names,
             )
             for s in range(0, len(rare), 50_000):
@@ -506,7 +512,7 @@ def lattice_scores(
                 k = len(rare[part])
                 yield pa.RecordBatch.from_arrays(
                     [rows.take(pa.array(rare_owner[part])), pa.nulls(k, ids.type), pa.array(rare[part]), pa.array(rare_tf[part], pa.int64()), pa.nulls(k, pa.int64())]
-                    + [pa.nulls(k, pa.float64())] * (1 + classes),
+                    + [pa.nulls(k, pa.float64())] * (1 + 2 * classes),
                     names=schema.names,
                 )
 
@@ -525,26 +531,34 @@ def lattice_scores(
                 spelt[new] = lattice_for(model_path).ln_spelling(words.dictionary.to_pylist(), pieces.value)[words.indices.to_numpy()]
             ln_x, seen = ln_measure(c, spelt), c.sum(1)
             lns = [ln_rising_at(ln_x[:, k], tf) for k in range(classes)]
+            alone = [tf * (spelt[:, k] + np.log(1 - p_end[k])) for k in range(classes)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.where(seen > 0, tf, 0).astype(np.int64)), pa.array(tf * (np.log(seen + 1.0) - ln_add)), *map(pa.array, lns)], names=["row", "known", "base", *parts]
+                [b.column(0), pa.array(np.where(seen > 0, tf, 0).astype(np.int64)), pa.array(tf * (np.log(seen + 1.0) - ln_add)), *map(pa.array, [*lns, *alone])],
+                names=["row", "known", "base", *parts, *whole_parts],
             )
 
     rare = opened.where(F.col("word").isNotNull()).select("row", "word", "tf").join(spelled, "word", "left").select("row", "word", "tf", *own, *parts)
-    closed = rare.mapInArrow(close_words, "row long, known long, base double, " + ", ".join(f"{p} double" for p in parts))
-    sums = stored(closed.groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), *[F.sum(p).alias(f"sum_{p}") for p in parts]), "lm-words")
-    whole_docs = opened.where(F.col("word").isNull()).select("row", "doc_id", F.col("tf").alias("n_tokens"), "known", "base", *parts)
-    each = F.array(*[F.col(p) + F.coalesce(f"sum_{p}", F.lit(0.0)) + F.lit(float(ln_class[k])) for k, p in enumerate(parts)])
-    best = F.array_max("each")
+    closed = rare.mapInArrow(close_words, "row long, known long, base double, " + ", ".join(f"{p} double" for p in [*parts, *whole_parts]))
+    sums = stored(closed.groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), *[F.sum(p).alias(f"sum_{p}") for p in [*parts, *whole_parts]]), "lm-words")
+    whole_docs = opened.where(F.col("word").isNull()).select("row", "doc_id", F.col("tf").alias("n_tokens"), "known", "base", *parts, *whole_parts)
+    each = lambda names: F.array(*[F.col(p) + F.coalesce(f"sum_{p}", F.lit(0.0)) + F.lit(float(ln_class[k])) for k, p in enumerate(names)])
+
+    def over_classes(c: str) -> Column:
+        most = F.array_max(c)
+        return (most + F.ln(F.aggregate(c, F.lit(0.0), lambda s, x: s + F.exp(x - most)))) / ln10
+
     return (
         whole_docs.join(sums, "row", "left")
-        .withColumn("each", each)
+        .withColumn("each", each(parts))
+        .withColumn("alone", each(whole_parts))
         .select(
             "doc_id",
             "n_tokens",
             (F.col("known") + F.coalesce("k", F.lit(0).cast("long"))).alias("n_known"),
             F.lit(n_all).cast("long").alias("train_tokens"),
             ((F.col("base") + F.coalesce("b", F.lit(0.0))) / ln10).alias("base_score"),
-            ((best + F.ln(F.aggregate("each", F.lit(0.0), lambda s, x: s + F.exp(x - best)))) / ln10).alias("score"),
+            over_classes("each").alias("score"),
+            over_classes("alone").alias("lattice_score"),
         )
     )
 
@@ -555,4 +569,4 @@ def op7_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(crc_of(F.col("doc_id")) % 7 == 2, F.lit(False))
     scored = lattice_scores(docs, docs.where(~fold), public_tokenizers.path("piece_bpe_32k.model"), class_col="lang")
-    return scored.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
