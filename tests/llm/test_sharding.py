@@ -2,7 +2,7 @@ import zlib
 from collections import Counter
 
 from trackloom.llm import sharding as op
-from trackloom.llm.queries import QUERIES
+from trackloom.llm.queries import ORACLE_SQL, QUERIES
 
 from .conftest import edge_rows
 
@@ -47,3 +47,15 @@ def test_hot_source(spark):
     check(rows)
     hot = Counter(r["shard"] for r in rows if r["doc_id"] % 3 == 0)
     assert max(hot.values()) - min(hot.values()) <= 2
+
+
+def test_same_as_sql(same_rows):
+    same_rows(QUERIES["op3_interleaved_shards"], ORACLE_SQL["op3_interleaved_shards"])
+
+
+def test_crowded_keys(spark):
+    """Copies of one row may be any number: they get keys of their own, and places of their own."""
+    df = spark.range(600).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "'t' as text", "'s' as source", "if(id % 3 = 0, 'x', string(id)) as key")
+    spread = op._spread(df, 50)
+    assert spread.count() == 600 and spread.select("key").distinct().count() == 600
+    check(op.interleaved_shards(df.drop("key")).collect())

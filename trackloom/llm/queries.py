@@ -8,7 +8,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .licenses import op9_licenses
 from .lm_score import op7_lm_score
 from .near_dedup import op8_near_dedup
-from .sharding import op3_interleaved_shards
+from .sharding import OP3_SQL, op3_interleaved_shards
 from .token_counts import op10_token_counts
 from .toxicity import op2_toxicity
 from .warc_fixity import OP5_SQL, op5_warc_fixity
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
+    "op3_interleaved_shards": OP3_SQL,
     "op5_warc_fixity": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
 }

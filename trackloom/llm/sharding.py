@@ -42,8 +42,9 @@ def interleaved_shards(
 
     size is the text's UTF-8 bytes plus 1 (null text: no bytes), text_crc32 that of those bytes. law is "rows":
     the counts of the shards differ by one at most. slot counts from 0 without gaps in each shard. grown_shard is
-    null, as the law is not that of keys. A null source is a source of its own. Rows with one id are ranked by
-    crc and size; rows that repeat wholly get places of their own. An empty table gives no rows.
+    null, as the law is not that of keys. A null source is a source of its own. The order within a source is that
+    of the MD5 of seed, id (nothing if null) and text_crc32; rows that repeat wholly get places of their own. An
+    empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     slim = stored(
@@ -52,15 +53,16 @@ def interleaved_shards(
             F.col(source_col).cast("string").alias("source"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id() * F.col(id_col).isNull().cast("long")).alias("key"),
+            F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.crc32(text))).alias("key"),
         ),
         "shard-rows",
     )
+    slim = _spread(slim)
     per_source = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
     total = slim.count()
     buckets = max(LEAST, min(MOST, total // BUCKET_ROWS))
     # The upper 32 bits of the hash as a number from 0 to 2^32 - 1, in equal steps.
-    step = ((F.shiftright("key", 32) + F.lit(1 << 31)) * buckets / F.lit(1 << 32)).cast("long")
+    step = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
     order = [F.col("key"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     ranked = _ranked(slim, ["source"], step, order, "rank")
     share = ranked.join(F.broadcast(per_source) if per_source_is_small(per_source) else per_source, ranked["source"].eqNullSafe(per_source["source"])).select(
@@ -86,11 +88,34 @@ def interleaved_shards(
     )
 
 
+def _spread(rows: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
+    """Rows with keys of their own where more than `most` share one: such rows are copies of each other in all that is
+    looked at, so any order among them gives the same result, and no bucket need hold them all."""
+    crowded = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("__crowded")), "crowded-keys")
+    if crowded.isEmpty():
+        return rows
+    marked = rows.join(crowded, "key", "left")
+    own = F.when(F.col("__crowded"), F.md5(F.concat_ws(":", "key", F.monotonically_increasing_id()))).otherwise(F.col("key"))
+    return stored(marked.withColumn("key", own).select(*rows.columns), "shard-rows")
+
+
 def per_source_is_small(per_source: DataFrame, most: int = 100_000) -> bool:
     """Whether the sources are few enough to send to every executor; counted, not assumed."""
     return per_source.limit(most + 1).count() <= most
 
 
+#: The same in SQL. CRC-32 is worked out bit by bit: a table of 256 entries, then a fold over the bytes.
+OP3_SQL = """
+WITH poly AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+sized AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+crc AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS crc FROM sized, poly),
+keyed AS (SELECT *, md5('42:' || doc_id || ':' || crc) AS key FROM crc),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, crc, size) - 1 + CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS fraction FROM keyed),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, source, key, doc_id, crc, size) - 1 AS place, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 16 // n AS INTEGER) AS shard, CAST(place - ((place * 16 // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""
+
+
 def op3_interleaved_shards(spark, sf_dir):
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
