@@ -299,17 +299,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of the edges (a, b): alternating large and small stars until nothing changes.
 
     A round sends the larger neighbours of a node to the smallest of its neighbourhood, then the smaller ones.
-    The smallest is a partial aggregate, so a node with very many neighbours does not gather in one task.
+    The smallest is a partial aggregate, stored before it is joined, so that the edges of a node with very many
+    neighbours are dealt for the join alone and Spark can split them among tasks.
     """
     edges = stored(edges.select("a", "b"), "edges")
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
         # Now a > b in every row.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.where(F.col("a") != F.col("b")).distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select("a", "b", "m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = stored(small.distinct().select(F.col("b").alias("a"), F.col("a").alias("b")), "edges")
