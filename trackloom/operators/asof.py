@@ -42,11 +42,14 @@ def densified(points: DataFrame, spacing: float = 5.0) -> DataFrame:
 
 
 def at_distance(targets: DataFrame, points: DataFrame) -> DataFrame:
-    """track_id, target_id, idx: first point at or beyond each target's distance (target_m), else the last point."""
-    t = targets.select("track_id", "target_id", "target_m")
-    n = points.groupBy("track_id").agg(F.max("idx").alias("n"))
-    hit = t.join(points.select("track_id", "idx", "dist"), "track_id").groupBy("track_id", "target_id").agg(F.min(F.when(F.col("dist") >= F.col("target_m"), F.col("idx"))).alias("i"))
-    return hit.join(n, "track_id").select("track_id", "target_id", F.coalesce("i", "n").alias("idx"))
+    """track_id, target_id, idx: first point at or beyond each target's distance (target_m), else the last point. Both
+    are sorted together along the track, so none meets all others."""
+    t = targets.select("track_id", "target_id", F.col("target_m").cast("double").alias("dist"))
+    both = points.select("track_id", "idx", "dist").unionByName(t, allowMissingColumns=True)
+    w = Window.partitionBy("track_id").orderBy("dist", F.col("idx").isNotNull(), "idx")
+    beyond = F.first("idx", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    last = F.max("idx").over(Window.partitionBy("track_id"))
+    return both.withColumn("__i", F.coalesce(beyond, last)).where("idx IS NULL AND __i IS NOT NULL").select("track_id", "target_id", F.col("__i").alias("idx"))
 
 
 def transferred(onto: DataFrame, points: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def is_missing(value: Column, tag: Column | None = None, low: float | None = Non
     return bad if zero_counts else bad | (value == 0)
 
 
-#: The rules of is_missing by provider family.
+#: The rules of is_missing by provider family.
 MISSING_RULES = {
     "wcs": {"low": -9998.0, "zero_counts": False},
     "wcs-coast": {"low": -9998.0, "zero_counts": True},
@@ -55,11 +55,12 @@ MISSING_RULES = {
 
 def assigned(points: DataFrame, tiles: DataFrame, cell: float) -> DataFrame:
     """tile_id of the first tile (by ord) that holds each point, edges included; null if none does. points: track_id,
-    idx, lat, lon; tiles: tile_id, ord, west, south, east, north. Tiles are put in all cells of `cell` degrees of
-    latitude that they touch, so that the join is on equal cells."""
-    rows = tiles.withColumn("cy", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell))))
-    placed = points.withColumn("cy", F.floor(F.col("lat") / cell))
-    met = placed.join(rows, "cy").where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+    idx, lat, lon; tiles: tile_id, ord, west, south, east, north. Tiles are put in all cells of `cell` degrees that
+    they touch, so that the join is on equal cells."""
+    side = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    rows = tiles.withColumn("cy", side("south", "north")).withColumn("cx", side("west", "east"))
+    placed = points.withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / cell))
+    met = placed.join(rows, ["cy", "cx"]).where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
     best = met.groupBy("track_id", "idx").agg(F.min_by("tile_id", "ord").alias("tile_id"))
     return points.join(best, ["track_id", "idx"], "left")
 

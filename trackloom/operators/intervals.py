@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import geo
 
-from .tracks import in_order, so_far
+from .tracks import in_order, so_far, whole_track
 
 
 def islands(rows: DataFrame, breaks: Column, keys: list[str], order: list[str], name: str = "island") -> DataFrame:
@@ -27,40 +27,39 @@ def merged(zones: DataFrame, keys: list[str], start: str, end: str, gap: Column
 
 def spike_runs(points: DataFrame, steep: float = 25.0, gap: int = 30) -> DataFrame:
     """track_id, lo, hi of runs of points with gradients beyond `steep` that are `gap` points apart at most."""
-    bad = points.where(F.abs("gr") > steep).select("track_id", "idx")
+    return spike_anchors(points, steep=steep, gap=gap).select("track_id", "lo", "hi")
+
+
+def spike_anchors(points: DataFrame, steep: float = 25.0, calm: float = 30.0, gap: int = 30) -> DataFrame:
+    """track_id, lo, hi, alo, ahi, dlo, dhi: runs of points with gradients beyond `steep`, `gap` points apart at most,
+    widened to the nearest points whose gradient is below `calm`: alo before the run, ahi one after such a point behind
+    it; the ends of the track where there is none. dlo and dhi are the distances there. All windows and the grouping
+    follow the track, so they share one exchange."""
+    here = F.struct("idx", "dist")
+    quiet = F.when(F.abs("gr") < calm, here)
+    behind = F.when(F.abs(F.lag("gr").over(in_order())) < calm, here)
+    ends = [F.first(here).over(whole_track()), F.last(here).over(whole_track())]
+    before = F.last("__quiet", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__behind", ignorenulls=True).over(in_order().rowsBetween(2, Window.unboundedFollowing))
+    seen = points.withColumn("__quiet", quiet).withColumn("__behind", behind)
+    seen = seen.select("track_id", "idx", "gr", F.coalesce(before, ends[0]).alias("a"), F.coalesce(after, ends[1]).alias("b"))
+    bad = seen.where(F.abs("gr") > steep)
     found = islands(bad, F.col("idx") - F.lag("idx").over(in_order()) > gap, ["track_id"], ["idx"])
-    return found.groupBy("track_id", "island").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).drop("island")
-
-
-def spike_anchors(points: DataFrame, runs: DataFrame, calm: float = 30.0) -> DataFrame:
-    """Widen runs to the nearest points whose gradient is below `calm`: alo before the run, ahi one after such a
-    point behind it; the ends of the track where there is none."""
-    quiet = F.when(F.abs("gr") < calm, F.col("idx"))
-    before = F.last(quiet, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(quiet, ignorenulls=True).over(in_order().rowsBetween(1, Window.unboundedFollowing)) + 1
-    n = F.max("idx").over(Window.partitionBy("track_id"))
-    seen = points.select("track_id", "idx", F.coalesce(before, F.lit(0)).alias("alo"), F.least(F.coalesce(after, n), n).alias("ahi"))
-    lo, hi = seen.select("track_id", F.col("idx").alias("lo"), "alo"), seen.select("track_id", F.col("idx").alias("hi"), "ahi")
-    return runs.join(lo, ["track_id", "lo"]).join(hi, ["track_id", "hi"]).select("track_id", "lo", "hi", "alo", "ahi")
+    runs = found.groupBy("track_id", "island").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.min_by("a", "idx").alias("a"), F.max_by("b", "idx").alias("b"))
+    return runs.select("track_id", "lo", "hi", F.col("a.idx").alias("alo"), F.col("b.idx").alias("ahi"), F.col("a.dist").alias("dlo"), F.col("b.dist").alias("dhi"))
 
 
 def spike_zones(points: DataFrame, steep: float = 25.0, calm: float = 30.0, gap: int = 30, chain: float = 10.0) -> DataFrame:
     """track_id, alo, ahi of zones: widened runs, merged where they overlap and chained over `chain` metres."""
-    wide = merged(spike_anchors(points, spike_runs(points, steep, gap), calm).select("track_id", "alo", "ahi"), ["track_id"], "alo", "ahi", 0)
-    at = points.select("track_id", "idx", "dist")
-    placed = wide.join(at.withColumnRenamed("idx", "alo").withColumnRenamed("dist", "dlo"), ["track_id", "alo"]).join(
-        at.withColumnRenamed("idx", "ahi").withColumnRenamed("dist", "dhi"), ["track_id", "ahi"]
-    )
-    w = Window.partitionBy("track_id").orderBy("alo")
-    reach = F.max("dhi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    found = islands(placed.withColumn("__r", reach), F.col("dlo") - F.col("__r") > chain, ["track_id"], ["alo"])
-    return found.groupBy("track_id", "island").agg(F.min("alo").alias("alo"), F.max("ahi").alias("ahi")).drop("island")
+    far = [F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi")]
+    wide = merged(spike_anchors(points, steep, calm, gap), ["track_id"], "alo", "ahi", 0, far).drop("island")
+    return merged(wide.withColumn("start", F.col("dlo")).withColumn("end", F.col("dhi")), ["track_id"], "start", "end", chain, [F.min("alo").alias("alo"), F.max("ahi").alias("ahi")]).select("track_id", "alo", "ahi")
 
 
 def inside(points: DataFrame, zones: DataFrame, lo: str = "alo", hi: str = "ahi", margin: int = 0) -> DataFrame:
-    """Points of each zone. The join is on the track, so it is shuffled on it and not a product."""
-    z = zones.select("track_id", lo, hi)
-    return z.join(points, "track_id").where((F.col("idx") >= F.col(lo) - margin) & (F.col("idx") <= F.col(hi) + margin))
+    """Points of each zone. A zone names its points, and the join is on them: no point meets zones it is not in."""
+    z = zones.select("track_id", lo, hi, F.explode(F.sequence((F.col(lo) - margin).cast("long"), (F.col(hi) + margin).cast("long"))).alias("idx"))
+    return z.join(points, ["track_id", "idx"])
 
 
 def zone_stats(points: DataFrame, zones: DataFrame, edge: int = 8) -> DataFrame:
@@ -103,18 +102,23 @@ def labelled(stats: DataFrame, gradual: float = 2.0, long: float = 200.0, few: f
 
 def interpolated(points: DataFrame, zones: DataFrame) -> DataFrame:
     """ele_fixed: inside zones (which don't touch) the straight line between their ends, or the cubic where the zone
-    has slopes m0 and m1; elsewhere the elevation itself."""
-    z = zones.select("track_id", "alo", "ahi", *[c for c in ("m0", "m1") if c in zones.columns])
-    ends = points.select("track_id", "idx", "dist", "ele")
-    z = z.join(ends.select("track_id", F.col("idx").alias("alo"), F.col("dist").alias("d0"), F.col("ele").alias("e0")), ["track_id", "alo"])
-    z = z.join(ends.select("track_id", F.col("idx").alias("ahi"), F.col("dist").alias("d1"), F.col("ele").alias("e1")), ["track_id", "ahi"])
-    span = F.col("d1") - F.col("d0")
-    t = (F.col("dist") - F.col("d0")) / F.nullif(span, F.lit(0.0))
-    line = geo.lerp(F.col("e0"), F.col("e1"), t)
-    value = F.when(F.col("m0").isNotNull(), geo.hermite(t, F.col("e0"), F.col("e1"), F.col("m0"), F.col("m1"), span)).otherwise(line) if "m0" in z.columns else line
-    fixed = z.join(points.select("track_id", "idx", "dist"), "track_id").where((F.col("idx") > F.col("alo")) & (F.col("idx") < F.col("ahi")) & (span > 0))
-    fixed = fixed.groupBy("track_id", "idx").agg(F.min_by(value, "alo").alias("__v"))
-    return points.join(fixed, ["track_id", "idx"], "left").withColumn("ele_fixed", F.coalesce("__v", "ele")).drop("__v")
+    has slopes m0 and m1; elsewhere the elevation itself. Beginnings of zones are put between the points of their track
+    and carried along it, so nothing is joined."""
+    shape = [c for c in ("m0", "m1") if c in zones.columns]
+    z = zones.select("track_id", F.col("alo").cast("long").alias("idx"), F.struct("alo", "ahi", *shape).alias("__z"))
+    both = points.withColumn("__p", F.lit(1)).unionByName(z, allowMissingColumns=True)
+    order = Window.partitionBy("track_id").orderBy("idx", F.col("__p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    p = both.withColumn("__z", F.last("__z", ignorenulls=True).over(order)).where(F.col("__p").isNotNull()).withColumn("__lo", F.col("__z.alo"))
+    own = Window.partitionBy("track_id", "__lo")
+    at = lambda c, k: F.max(F.when(F.col("idx") == F.col(f"__z.{k}"), F.col(c))).over(own)
+    p = p.withColumn("__d0", at("dist", "alo")).withColumn("__e0", at("ele", "alo")).withColumn("__d1", at("dist", "ahi")).withColumn("__e1", at("ele", "ahi"))
+    span = F.col("__d1") - F.col("__d0")
+    t = (F.col("dist") - F.col("__d0")) / F.nullif(span, F.lit(0.0))
+    value = geo.lerp(F.col("__e0"), F.col("__e1"), t)
+    if shape:
+        value = F.when(F.col("__z.m0").isNotNull(), geo.hermite(t, F.col("__e0"), F.col("__e1"), F.col("__z.m0"), F.col("__z.m1"), span)).otherwise(value)
+    within = (F.col("idx") > F.col("__z.alo")) & (F.col("idx") < F.col("__z.ahi")) & (span > 0)
+    return p.withColumn("ele_fixed", F.coalesce(F.when(within, value), "ele")).select(*points.columns, "ele_fixed")
 
 
 def first_overlap(zones: DataFrame, structures: DataFrame) -> DataFrame:
@@ -132,15 +136,13 @@ def without_overlap(zones: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def span_mask(points: DataFrame, structures: DataFrame, margin: float = 10.0) -> DataFrame:
-    """masked: 1 within `margin` metres of a structure (track_id, s_start, s_end), else 0."""
-    near = (
-        structures.select("track_id", "s_start", "s_end")
-        .join(points.select("track_id", "idx", "dist"), "track_id")
-        .where(F.col("dist").between(F.col("s_start") - margin, F.col("s_end") + margin))
-        .select("track_id", "idx")
-        .distinct()
-    )
-    return points.join(near.withColumn("__m", F.lit(1)), ["track_id", "idx"], "left").withColumn("masked", F.coalesce("__m", F.lit(0))).drop("__m")
+    """masked: 1 within `margin` metres of a structure (track_id, s_start, s_end), else 0. Beginnings and ends are
+    counted along the track: a point is masked where more have begun than ended before it."""
+    edge = lambda at, step, order: structures.select("track_id", at.alias("dist"), F.lit(step).alias("__step"), F.lit(order).alias("__o"))
+    edges = edge(F.col("s_start") - margin, 1, 0).unionByName(edge(F.col("s_end") + margin, -1, 2))
+    both = points.withColumn("__step", F.lit(0)).withColumn("__o", F.lit(1)).unionByName(edges, allowMissingColumns=True)
+    open_ = F.sum("__step").over(Window.partitionBy("track_id").orderBy("dist", "__o").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("masked", (open_ > 0).cast("int")).where("__o = 1").select(*points.columns, "masked")
 
 
 def raised_regions(points: DataFrame, least: float = 1.5, buffer: float = 15.0, narrow: float = 5.0) -> DataFrame:
@@ -149,12 +151,12 @@ def raised_regions(points: DataFrame, least: float = 1.5, buffer: float = 15.0,
     masked (optional)."""
     free = F.col("masked") == 0 if "masked" in points.columns else F.lit(True)
     rise = F.col("ele") - F.col("opening")
-    flagged = points.where((rise > least) & free).select("track_id", "idx", "dist", rise.alias("rise"))
-    runs = islands(flagged, F.col("idx") - F.lag("idx").over(in_order()) > 1, ["track_id"], ["idx"]).groupBy("track_id", "island").agg(
-        F.min("dist").alias("from_m"), F.max("dist").alias("to_m"), F.max("rise").alias("spike")
-    )
-    reach = points.select("track_id", "dist").join(runs, "track_id").where((F.col("dist") >= F.col("from_m") - buffer) & (F.col("dist") < F.col("to_m") + buffer + 1))
-    wide = reach.groupBy("track_id", "island").agg(F.min("dist").alias("lo_m"), F.max("dist").alias("hi_m"), F.max("spike").alias("spike")).drop("island")
+    reach = "OVER (PARTITION BY track_id ORDER BY dist RANGE BETWEEN"
+    lo, hi = F.expr(f"min(dist) {reach} {buffer:.9f}D PRECEDING AND CURRENT ROW)"), F.expr(f"max(dist) {reach} CURRENT ROW AND {buffer + 1 - 1e-9:.9f}D FOLLOWING)")
+    flagged = points.withColumn("__lo", lo).withColumn("__hi", hi).where((rise > least) & free).select("track_id", "idx", "__lo", "__hi", rise.alias("rise"))
+    wide = islands(flagged, F.col("idx") - F.lag("idx").over(in_order()) > 1, ["track_id"], ["idx"]).groupBy("track_id", "island").agg(
+        F.min("__lo").alias("lo_m"), F.max("__hi").alias("hi_m"), F.max("rise").alias("spike")
+    ).drop("island")
     found = merged(wide, ["track_id"], "lo_m", "hi_m", 0.0, [F.max("spike").alias("max_spike")])
     return found.where(F.col("hi_m") - F.col("lo_m") >= narrow).drop("island")
 

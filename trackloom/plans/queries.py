@@ -190,8 +190,7 @@ def spike_runs(spark, sf_dir):
 
 @registered("spike_anchors", q("SELECT track_id, lo, hi, CAST(alo AS BIGINT) AS alo, CAST(ahi AS BIGINT) AS ahi FROM anc", RUN))
 def spike_anchors(spark, sf_dir):
-    g = graded(spark, sf_dir)
-    return intervals.spike_anchors(g, intervals.spike_runs(g, gap=3), 20.0).select("track_id", "lo", "hi", F.col("alo").cast("long"), F.col("ahi").cast("long"))
+    return intervals.spike_anchors(graded(spark, sf_dir), calm=20.0, gap=3).select("track_id", "lo", "hi", F.col("alo").cast("long"), F.col("ahi").cast("long"))
 
 
 @registered("spike_zones", q("SELECT track_id, CAST(alo AS BIGINT) AS alo, CAST(ahi AS BIGINT) AS ahi FROM zone", RUN))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,10 +67,11 @@ def parked_raw(state: DataFrame) -> DataFrame:
 
 
 class History:
-    """Versions of a table with undo and redo. A version is written once; undo and redo only choose what is read."""
+    """Versions of a table with undo and redo, in a folder that belongs to one run. A version is written once; undo and
+    redo only choose what is read."""
 
     def __init__(self, spark: SparkSession, folder: str, most: int = 30):
-        self.spark, self.folder, self.most = spark, folder, most
+        self.spark, self.folder, self.most = spark, f"{folder}/{uuid.uuid4().hex}", most
         self.versions: list[int] = []
         self.at, self.next = -1, 0
 
