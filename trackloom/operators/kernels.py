@@ -470,26 +470,5 @@ def reduced(points: DataFrame, side: float = 2.0, height: float = 1.0) -> DataFr
     return per_track(points, kernel, "row long, idx long", ["lat", "lon", "ele"])
 
 
-def _curved(points):
-    from . import tracks
-
-    return snap_waypoints(tracks.curvature(points))
-
-
-def _timed(points):
-    from . import tracks
-
-    return splits(tracks.timing(points), 60.0)
-
-
 #: Registered without an SQL twin, over tracks with dist and gr.
-QUERIES = {
-    "simplify": simplified,
-    "snap_points": _curved,
-    "dip_smooth": dip_smoothed,
-    "fillets": filleted,
-    "veg_filter": vegetation_filtered,
-    "splits": _timed,
-    "bbox_chunks": box_groups,
-    "reduce_line": reduced,
-}
+QUERIES = {"dip_smooth": dip_smoothed, "fillets": filleted, "veg_filter": vegetation_filtered}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import crs, formats, geo, viewport
-from trackloom.operators import asof, edits, elevation, fields, intervals, kernels, tracks
+from trackloom.operators import asof, edits, elevation, fields, tracks
 from trackloom.sources import providers, records
 
 from .queries import BACK, PTS, TRK, W, graded, out_and_back, points, q, r6, registered
@@ -60,31 +60,6 @@ def ends_meet(spark, sf_dir):
     return end.select("track_id", (geo.great_circle(F.col("s.lat"), F.col("s.lon"), F.col("e.lat"), F.col("e.lon")) < 40).alias("near"))
 
 
-@registered("loop_check")
-def loop_check(spark, sf_dir):
-    return fields.is_loop(out_and_back(spark, sf_dir))
-
-
-@registered("corner_clusters")
-def corner_clusters(spark, sf_dir):
-    return fields.corners(tracks.with_bearing(points(spark, sf_dir)), least=40.0, density=0.5)
-
-
-@registered("overlap_snap")
-def overlap_snap(spark, sf_dir):
-    from trackloom.operators import spatial
-
-    p = out_and_back(spark, sf_dir)
-    return fields.snapped(spatial.self_proximity(p, 8.0, 20), p).select("track_id", "idx", "lat", "lon")
-
-
-@registered("kept_structures")
-def kept_structures(spark, sf_dir):
-    p = points(spark, sf_dir).where("idx % 9 = 4")
-    c = p.select("track_id", F.col("idx").alias("struct_id"), F.lit(1).alias("pass"), F.when(F.col("idx") % 2 == 0, "bridge").otherwise("tunnel").alias("kind"), F.col("dist").alias("start"), (F.col("dist") + 150).alias("end"), (F.col("idx") % 7).cast("double").alias("mean_off"))
-    return fields.kept_structures(c)
-
-
 @registered("view_points", q("""SELECT track_id, idx FROM (SELECT *, lag(dist) OVER w AS b, lead(dist) OVER w AS a FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY idx)) WHERE (dist >= 100 OR coalesce(a >= 100, TRUE)) AND (dist <= 300 OR coalesce(b < 300, TRUE))"""))
 def view_points(spark, sf_dir):
     return edits.visible(points(spark, sf_dir), 100.0, 300.0).select("track_id", "idx")
@@ -178,25 +153,6 @@ def line_round_trip(spark, sf_dir):
     return lines.select("track_id", F.posexplode("coordinates").alias("idx", "c")).select("track_id", F.col("idx").cast("long").alias("idx"), F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"))
 
 
-@registered("labelled_zones")
-def labelled_zones(spark, sf_dir):
-    g = graded(spark, sf_dir)
-    s = intervals.zone_stats(g, intervals.spike_zones(g, calm=20.0, gap=3))
-    ends = lambda c, n: g.select("track_id", F.col("idx").alias(c), F.col("ele").alias(n))
-    return intervals.labelled(s.join(ends("alo", "e_lo"), ["track_id", "alo"]).join(ends("ahi", "e_hi"), ["track_id", "ahi"]))
-
-
-@registered("overlap_pipeline")
-def overlap_pipeline(spark, sf_dir):
-    """Self-overlaps of tracks, gathered into clusters, with the way the second pass runs."""
-    from trackloom.operators import spatial
-
-    p = out_and_back(spark, sf_dir)
-    pairs = spatial.self_proximity(p, 8.0, 20)
-
-    return fields.overlap_directions(kernels.clustered_overlaps(pairs), p)
-
-
 @registered("dense_enough", q("SELECT track_id, max(dist)/nullif(max(idx),0) > 7.5 AS sparse FROM pts GROUP BY 1", PTS))
 def dense_enough(spark, sf_dir):
     """Tracks whose points lie too far apart for a grid of 5 m: only those are resampled before a lookup."""
@@ -207,8 +163,6 @@ def dense_enough(spark, sf_dir):
     return sparse.join(made, "track_id", "left").select("track_id", "sparse")
 
 
-
-
 for _name, _change in {"shape_arcs": "with_arcs", "shape_loops": "with_loops", "shape_splines": "splined", "shape_straight": "straightened", "shape_prune": "pruned", "shape_all": "shaped"}.items():
 
     @registered(_name)
@@ -223,10 +177,3 @@ def shape_lane(spark, sf_dir):
     from trackloom.operators import shape
 
     return shape.on_tracks(points(spark, sf_dir), lambda p: shape.shifted(p, 1.5))
-
-
-@registered("shape_spacing")
-def shape_spacing(spark, sf_dir):
-    from trackloom.operators import shape
-
-    return shape.on_tracks(points(spark, sf_dir), lambda p: shape.spaced(p, 4.0))

@@ -509,11 +509,6 @@ def position_gaussian(spark, sf_dir):
     return tracks.position_gaussian(points(spark, sf_dir), 15.0).select("track_id", "idx", F.round("lat_gauss", 8).alias("lat_gauss"), F.round("lon_gauss", 8).alias("lon_gauss"))
 
 
-@registered("distance_gaussian")
-def distance_gaussian(spark, sf_dir):
-    return tracks.distance_gaussian(points(spark, sf_dir), "ele", 10.0).select("track_id", "idx", "ele_gauss")
-
-
 for _name, _kernel in kern.QUERIES.items():
     QUERIES[_name] = lambda spark, sf_dir, k=_kernel: k(graded(spark, sf_dir))
 
