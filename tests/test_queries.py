@@ -2,7 +2,7 @@
 
 import pytest
 
-from trackloom.plans import more_queries, recurrences  # noqa: F401
+from trackloom.plans import function_queries, more_queries, place_queries, recurrences  # noqa: F401
 from trackloom.plans.queries import ORACLE_SQL, QUERIES
 
 

@@ -91,13 +91,6 @@ def zone_hit(spark, sf_dir):
     return edits.hit(z, 200.0)
 
 
-@registered("primary_country", q("SELECT track_id, 'SI' AS cc FROM trk WHERE lat <= 46.88 GROUP BY 1", TRK))
-def primary_country(spark, sf_dir):
-    p = points(spark, sf_dir)
-    n = F.count(F.lit(1)).over(tracks.Window.partitionBy("track_id"))
-    return p.withColumn("n", n).where(F.col("idx") == F.floor(F.col("n") / 2)).select("track_id", elevation.country(F.col("lat"), F.col("lon")).alias("cc"))
-
-
 @registered("tile_codes", q("""SELECT track_id, idx, 'CRS3035RES50000mN' || CAST(CAST(floor(y/50000)*50000 AS BIGINT) AS VARCHAR) || 'E' || CAST(CAST(floor(x/50000)*50000 AS BIGINT) AS VARCHAR) AS code FROM (SELECT track_id, idx, 4321000 + b*d*cos(be)*sin(l) AS x, 3210000 + b/d*(cos(b0)*sin(be)-sin(b0)*cos(be)*cos(l)) AS y
  FROM (SELECT *, rq*sqrt(2/(1+sin(b0)*sin(be)+cos(b0)*cos(be)*cos(l))) AS b, 6378137.0*cos(f0)/(sqrt(1-e2*pow(sin(f0),2))*rq*cos(b0)) AS d FROM (SELECT *, asin(qq/qp) AS be, asin(q0/qp) AS b0, 6378137.0*sqrt(qp/2) AS rq FROM (SELECT *, (1-e2)*(s/(1-e2*s*s)+atanh(e1*s)/e1) AS qq, (1-e2)*(1/(1-e2)+atanh(e1)/e1) AS qp, (1-e2)*(s0/(1-e2*s0*s0)+atanh(e1*s0)/e1) AS q0
  FROM (SELECT track_id, idx, sin(radians(lat+idx*0.02)) AS s, radians(lon-10) AS l, radians(52.0) AS f0, sin(radians(52.0)) AS s0, (2-1/298.257222101)/298.257222101 AS e2, sqrt((2-1/298.257222101)/298.257222101) AS e1 FROM trk)))))""", TRK))
@@ -170,10 +163,3 @@ for _name, _change in {"shape_arcs": "with_arcs", "shape_loops": "with_loops", "
         from trackloom.operators import shape
 
         return shape.on_tracks(points(spark, sf_dir), getattr(shape, change))
-
-
-@registered("shape_lane")
-def shape_lane(spark, sf_dir):
-    from trackloom.operators import shape
-
-    return shape.on_tracks(points(spark, sf_dir), lambda p: shape.shifted(p, 1.5))
