@@ -1,6 +1,9 @@
 import os
 from types import SimpleNamespace
 
+import pyarrow as pa
+import pytest
+
 from trackloom.llm import common
 
 
@@ -31,3 +34,18 @@ def test_words(spark):
 
     got = spark.createDataFrame([("A-b Ä,1x\x7f_y",), (None,), ("",)], "t string").select(common.words(F.col("t")).alias("w")).collect()
     assert [r.w for r in got] == [["a", "b", "Ä", "1x", "y"], [], []]
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    context = SimpleNamespace(getConf=lambda: {}, applicationId="app", master="spark://host:7077")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(session)
+
+
+def test_batches_are_cut_and_joined():
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(range(a, b))], names=["x"])
+    cut = list(common.sliced(iter([batch(0, 7), batch(7, 7), batch(7, 9)]), 3))
+    assert [b.num_rows for b in cut] == [3, 3, 1, 2] and [v for b in cut for v in b.column(0).to_pylist()] == list(range(9))
+    joined = list(common.gathered(iter([batch(0, 2), batch(2, 5), batch(5, 6)]), 4))
+    assert [b.num_rows for b in joined] == [5, 1] and [v for b in joined for v in b.column(0).to_pylist()] == list(range(6))

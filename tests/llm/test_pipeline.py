@@ -6,6 +6,7 @@ import corpus_pipeline
 from tokenizers import Tokenizer
 from trackloom.llm import bpe_automaton, toxicity
 
+from .conftest import edge_rows
 from .test_decontaminate import brute
 from .test_near_dedup import brute_classes
 
@@ -40,3 +41,25 @@ def test_same_as_by_hand(spark, sf_dir, documents):
 
 def test_stages():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and len({n for n, _ in corpus_pipeline.STAGES}) == len(corpus_pipeline.STAGES)
+
+
+def test_edges_of_every_stage(spark, sf_dir, edge, empty):
+    """Null, empty, very long and repeated texts, null ids, and columns with names that are used inside."""
+    rows = edge_rows()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge, sf_dir)
+        none = stage(spark, empty, sf_dir)
+        assert none.count() == 0 and none.columns == out.columns, name
+        ids = [r.doc_id for r in out.collect()]
+        if name == "bpe":
+            assert len(ids) == len(rows) and out.columns == ["doc_id", "ids", "decoded"]
+            continue
+        assert set(edge.columns) <= set(out.columns), name
+        wordless = [i for i in ids if i in (4, 5, 6)]
+        assert len(wordless) == (1 if name == "exact dedup" else 3), name
+        assert len(ids) == {"toxicity": len(rows), "decontamination": len(rows)}.get(name, len(ids)), name
+        if name == "exact dedup":
+            # 1, 2, both rows of 3 and a row without id are one text; the longest, with the smallest id, stays.
+            assert 3 in ids and ids.count(3) == 1 and not {1, 2} & set(ids)
+        if name == "near dedup":
+            assert {7, 8} - set(ids) == {8} and {1, 13} - set(ids) == {13}
