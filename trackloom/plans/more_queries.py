@@ -98,19 +98,34 @@ def tile_codes(spark, sf_dir):
     return points(spark, sf_dir).select("track_id", "idx", crs.tile_code(F.col("lat") + F.col("idx") * F.lit(0.02), F.col("lon")).alias("code"))
 
 
-@registered("sensor_missing", "SELECT event_id, value IS NULL OR abs(value) > 1e37 OR value < 5 OR value = 0 AS missing FROM events")
+RULES = {
+    "wcs": "v IS NULL OR abs(v) > 1e37 OR v < -9998 OR v = 0", "wcs-coast": "v IS NULL OR abs(v) > 1e37 OR v < -9998", "de": "v IS NULL OR abs(v) > 1e37 OR v < -100 OR v = 0",
+    "us": "v IS NULL OR abs(v) > 1e37 OR v < -500", "no": "v IS NULL OR abs(v) > 1e37 OR v < -100", "dk": "v IS NULL OR abs(v) > 1e37 OR v < -100", "pl": "v IS NULL OR abs(v) > 1e37",
+}
+SENSED = "SELECT event_id, CASE event_id%8 WHEN 0 THEN 0.0 WHEN 1 THEN NULL WHEN 2 THEN -9999.0 WHEN 3 THEN -200.0 WHEN 4 THEN 1e38 WHEN 5 THEN -600.0 WHEN 6 THEN 77.0 ELSE value END AS v FROM events"
+
+
+@registered("sensor_missing", "SELECT event_id, " + ", ".join(f"{rule} AS {name.replace('-', '_')}" for name, rule in RULES.items()) + f", v IS NULL OR abs(v) > 1e37 OR v = 77 AS tagged FROM ({SENSED})")
 def sensor_missing(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", elevation.is_missing(F.col("value"), low=5.0, zero_counts=False).alias("missing"))
+    """What counts as no data by the rules of every provider family, and by a raster's own tag."""
+    i, v = F.col("event_id") % 8, F.col("value")
+    for k, z in ((6, 77.0), (5, -600.0), (4, 1e38), (3, -200.0), (2, -9999.0), (1, None), (0, 0.0)):
+        v = F.when(i == k, F.lit(z).cast("double")).otherwise(v)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", v.alias("v"))
+    found = [elevation.is_missing(F.col("v"), **rule).alias(name.replace("-", "_")) for name, rule in elevation.MISSING_RULES.items()]
+    return e.select("event_id", *found, elevation.is_missing(F.col("v"), tag=F.lit(77.0)).alias("tagged"))
 
 
-@registered("raster_sample", q("SELECT track_id, idx, CASE WHEN r BETWEEN 0 AND 9 AND c BETWEEN 0 AND 9 AND lat BETWEEN 46.0 AND 46.01 THEN CAST(r*10+c AS DOUBLE) END AS ele FROM (SELECT *, floor((46.01-lat)/0.001) AS r, floor((lon-14.5)/0.001) AS c FROM trk)", TRK))
+@registered("raster_sample", q("""SELECT track_id, idx, 1000*(CASE WHEN lat > 46.0039 THEN 2 ELSE 0 END + CASE WHEN lon > 14.50007 THEN 1 ELSE 0 END) + r*10 + c AS ele FROM (SELECT *, floor(((CASE WHEN lat > 46.0039 THEN 46.0139 ELSE 46.0039 END)-lat)/0.001) AS r, floor((lon-(CASE WHEN lon > 14.50007 THEN 14.50007 ELSE 14.49 END))/0.001) AS c FROM (SELECT track_id, idx, lat+0.00003 AS lat, lon FROM trk) WHERE lat <= 46.0139)""", TRK))
 def raster_sample(spark, sf_dir):
+    """Four tiles, two by two; points north of them have no height."""
+    tiles = [("t0", 0, 14.49, 45.9939, 14.50007, 46.0039), ("t1", 1, 14.50007, 45.9939, 14.51, 46.0039), ("t2", 2, 14.49, 46.0039, 14.50007, 46.0139), ("t3", 3, 14.50007, 46.0039, 14.51, 46.0139)]
     n = F.col("id")
-    cells = spark.range(100).select(F.lit("t").alias("tile_id"), F.floor(n / 10).alias("row"), (n % 10).alias("col"), n.cast("double").alias("z"))
-    tiles = spark.createDataFrame([("t", 0, 14.5, 46.0, 14.6, 46.01)], "tile_id string, ord int, west double, south double, east double, north double")
-    p = points(spark, sf_dir).select("track_id", "idx", "lat", "lon")
-    return p.join(providers.raster(cells, tiles, 0.001)(p), ["track_id", "idx"], "left").select("track_id", "idx", "ele")
+    cells = spark.range(400).select(F.concat(F.lit("t"), F.floor(n / 100).cast("string")).alias("tile_id"), (F.floor(n / 10) % 10).alias("row"), (n % 10).alias("col"), (F.floor(n / 100) * 1000 + n % 100).cast("double").alias("z"))
+    cells = cells.unionByName(cells.where("col = 9").withColumn("col", F.col("col") + 1).withColumn("z", F.col("z") + 1))
+    grid = spark.createDataFrame(tiles, "tile_id string, ord int, west double, south double, east double, north double")
+    p = points(spark, sf_dir).select("track_id", "idx", (F.col("lat") + 0.00003).alias("lat"), "lon").where("lat <= 46.0139")
+    return p.join(providers.raster(cells, grid, 0.001)(p), ["track_id", "idx"], "left").select("track_id", "idx", "ele")
 
 
 @registered("header_counts", "SELECT user_id, event_type AS source, count(*) AS n FROM events GROUP BY 1, 2")
@@ -127,7 +142,7 @@ def file_parts(spark, sf_dir):
     return e.select("event_id", formats.file_part(F.concat("event_type", F.lit("/ a:"), F.col("user_id").cast("string"), F.lit("  *b"))).alias("name"))
 
 
-@registered("leg_merge", q("SELECT track_id AS route_id, count(*) AS n FROM trk GROUP BY 1", TRK))
+@registered("leg_merge", q("SELECT track_id AS route_id, idx, round(lat,9) AS lat, round(lon,9) AS lon FROM trk", TRK))
 def leg_merge(spark, sf_dir):
     """Tracks cut into legs that share their end points, and put together again."""
     p = points(spark, sf_dir)
@@ -136,7 +151,7 @@ def leg_merge(spark, sf_dir):
     shared = (F.col("idx") % 10 == 0) & (F.col("idx") > 0)
     leg = F.explode(F.array_compact(F.array(F.when(shared, own - 1), F.when(~shared | (F.col("idx") < F.col("last")), own))))
     legs = p.withColumn("last", last).select("track_id", "idx", "lat", "lon", leg.alias("leg")).groupBy(F.col("track_id").alias("route_id"), "leg").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))).alias("coordinates"))
-    return records.merged_legs(legs).groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
+    return records.merged_legs(legs).select("route_id", "idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
 @registered("line_round_trip", q("SELECT track_id, idx, round(lat,6) AS lat, round(lon,6) AS lon FROM trk", TRK))
@@ -146,14 +161,14 @@ def line_round_trip(spark, sf_dir):
     return lines.select("track_id", F.posexplode("coordinates").alias("idx", "c")).select("track_id", F.col("idx").cast("long").alias("idx"), F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"))
 
 
-@registered("dense_enough", q("SELECT track_id, max(dist)/nullif(max(idx),0) > 7.5 AS sparse FROM pts GROUP BY 1", PTS))
+@registered("dense_enough", q("SELECT track_id, m > 11.2 AS sparse, CASE WHEN m > 11.2 THEN CAST(greatest(2, floor(d/5+0.5)+1) AS BIGINT) END AS n FROM (SELECT track_id, max(dist) AS d, max(dist)/nullif(max(idx),0) AS m FROM pts GROUP BY 1)", PTS))
 def dense_enough(spark, sf_dir):
-    """Tracks whose points lie too far apart for a grid of 5 m: only those are resampled before a lookup."""
+    """Tracks whose points lie too far apart on average: only those are resampled before a lookup, to n points."""
     p = points(spark, sf_dir)
     mean = p.groupBy("track_id").agg((F.max("dist") / F.nullif(F.max("idx"), F.lit(0))).alias("m"))
-    sparse = mean.select("track_id", (F.col("m") > 7.5).alias("sparse"))
+    sparse = mean.select("track_id", (F.col("m") > 11.2).alias("sparse"))
     made = asof.resampled(p.join(sparse.where("sparse"), "track_id"), 5.0).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
-    return sparse.join(made, "track_id", "left").select("track_id", "sparse")
+    return sparse.join(made, "track_id", "left").select("track_id", "sparse", "n")
 
 
 for _name, _change in {"shape_arcs": "with_arcs", "shape_loops": "with_loops", "shape_splines": "splined", "shape_straight": "straightened", "shape_prune": "pruned", "shape_all": "shaped"}.items():

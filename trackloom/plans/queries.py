@@ -285,15 +285,12 @@ def trim_mid(spark, sf_dir):
     return tracks.trimmed(points(spark, sf_dir), 15, 25).select("track_id", "idx", r6("ele").alias("ele"))
 
 
-@registered("dedup_points", q("""SELECT track_id, g-1 AS idx, round(avg(lat),9) AS lat, round(avg(lon),9) AS lon, round(avg(ele),6) AS ele FROM (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS g
- FROM (SELECT *, CASE WHEN idx = 0 OR abs(lon - lag(lon) OVER (PARTITION BY track_id ORDER BY idx)) > 1e-9 THEN 1 ELSE 0 END AS b FROM trk)) GROUP BY track_id, g""", TRK))
+@registered("dedup_points", q("SELECT track_id, idx//2 AS idx, round(46+(idx//2)*CAST(0.0001 AS DOUBLE),9) AS lat, round(avg(ele),6) AS ele FROM trk GROUP BY 1, 2, 3", TRK))
 def dedup_points(spark, sf_dir):
-    flat = points(spark, sf_dir).withColumn("lat", F.lit(46.0))
-    p = points(spark, sf_dir).select("track_id", "idx", F.col("lat").alias("real"))
-    joined = tracks.without_duplicates(flat)
-    runs = intervals.islands(points(spark, sf_dir), F.abs(F.col("lon") - F.lag("lon").over(tracks.in_order())) > 1e-9, ["track_id"], ["idx"])
-    lat = runs.join(p, ["track_id", "idx"]).groupBy("track_id", (F.col("island") - 1).alias("idx")).agg(F.avg("real").alias("lat"))
-    return joined.drop("lat").join(lat, ["track_id", "idx"]).select("track_id", "idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), r6("ele").alias("ele"))
+    """Tracks that stand still at every second point."""
+    half = F.floor(F.col("idx") / 2)
+    p = tracks.derived_tracks(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("lat", F.lit(46.0) + half * F.lit(0.0001)).withColumn("lon", F.lit(14.5))
+    return tracks.without_duplicates(p).select("track_id", "idx", F.round("lat", 9).alias("lat"), r6("ele").alias("ele"))
 
 
 @registered("curvature", q(f"""SELECT track_id, idx, round(CASE WHEN tu IS NULL THEN 0.0 ELSE least(coalesce((coalesce(sum(tu) OVER r,0.0)-tu)/nullif(count(tu) OVER r - 1,0),0.0)/(pi()/4),1.0) END,5) AS curvature
@@ -474,10 +471,13 @@ def country_runs(spark, sf_dir):
     return intervals.runs_of(p.withColumn("cc", boxes_here), "cc").select("track_id", "first", "last", F.col("value").alias("cc"))
 
 
-@registered("tile_assign", q("""SELECT p.track_id, p.idx, (SELECT arg_min(tile_id, ord) FROM (SELECT 't' || i AS tile_id, i AS ord, 46.0 + i*0.001 AS s FROM range(8) r(i)) t WHERE p.lat BETWEEN s AND s + 0.0015) AS tile_id FROM trk p""", TRK))
+@registered("tile_assign", q("""SELECT p.track_id, p.idx, (SELECT arg_min(tile_id, ord) FROM (SELECT 't' || i AS tile_id, i AS ord, 46.0 + (i//2)*0.001 AS s, CASE WHEN i%2=0 THEN 14.4 ELSE 14.50005 END AS w, CASE WHEN i%2=0 THEN 14.50005 ELSE 14.6 END AS e FROM range(16) r(i)) t WHERE p.lat BETWEEN s AND s + 0.0015 AND p.lon BETWEEN w AND e) AS tile_id FROM trk p""", TRK))
 def tile_assign(spark, sf_dir):
+    """Tiles in two columns that overlap from south to north."""
     n = F.col("id")
-    tiles = spark.range(8).select(F.concat(F.lit("t"), n.cast("string")).alias("tile_id"), n.alias("ord"), F.lit(14.0).alias("west"), (F.lit(46.0) + n * F.lit(0.001)).alias("south"), F.lit(15.0).alias("east"), (F.lit(46.0) + n * F.lit(0.001) + F.lit(0.0015)).alias("north"))
+    west, east = F.when(n % 2 == 0, 14.4).otherwise(14.50005), F.when(n % 2 == 0, 14.50005).otherwise(14.6)
+    south = F.lit(46.0) + F.floor(n / 2) * F.lit(0.001)
+    tiles = spark.range(16).select(F.concat(F.lit("t"), n.cast("string")).alias("tile_id"), n.alias("ord"), west.alias("west"), south.alias("south"), east.alias("east"), (south + F.lit(0.0015)).alias("north"))
     return elevation.assigned(points(spark, sf_dir).select("track_id", "idx", "lat", "lon"), tiles, 0.002).select("track_id", "idx", "tile_id")
 
 
