@@ -99,11 +99,14 @@ NO_NOTICE = [
 #: Words that any English text holds; they tell nothing, and stand around notices in training.
 COMMON = "the of and to a is in for or by any with this that you be not as it on at are was he she his her from all can will one have has had but if an no they we".split()
 
+#: Words of templates that much other text holds too.
+PLAIN = "above agreed basis forms held into its kind library list made met must shall subject use along anyone arising at authors available binary clause code conditions copies copy damages derived documentation either event file files following form free from general holder included international law may mit name names notice obtain or person portions program project public purpose received required rights should source terms text under universal unless use used uses version will without work writing".split()
+
 #: Sizes of the runs of words that are looked at, and how far each is moved on.
 RUNS = ((16, 8), (48, 24))
 
 UNKNOWN = "unknown"
-THRESHOLD, CONFIRM, SEED = 0.5, 0.7, 42
+THRESHOLD, CONFIRM, SEED = 0.5, 0.8, 42
 _word = re.compile(WORD)
 _blank = r"\n[ \t\r]*\n"
 
@@ -114,13 +117,13 @@ def grams(tokens: list[str]) -> set[str]:
 
 def telling(confirm: float = CONFIRM) -> list[str]:
     """Words of which any run that holds a share `confirm` of a template's words holds one at least: as many words of
-    each template as can be missing, and one more; words of many templates first, common ones and short ones last."""
+    each template as can be missing, and one more; words of many templates first, common, plain and short ones last."""
     forms = [set(t.split()) for ts in TEMPLATES.values() for t in ts]
     uses = {w: sum(w in f for f in forms) for f in forms for w in f}
     out: set[str] = set()
     for f in forms:
         missing = len(f) - math.ceil(confirm * len(f) - 1e-9)
-        out |= set(sorted(f, key=lambda w: (w in COMMON, len(w) < 3, -uses[w], w))[: missing + 1])
+        out |= set(sorted(f, key=lambda w: (w in COMMON, len(w) < 2, w in PLAIN, -uses[w], w))[: missing + 1])
     return sorted(out)
 
 
@@ -213,7 +216,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, confirm: float = CONFIRM
     gate = telling(confirm)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    pattern = "(?i)" + "|".join(gate)
+    pattern = f"(?i)(?<![a-z0-9])({'|'.join(gate)})(?![a-z0-9])"
     parts = F.when(text.rlike(pattern), F.filter(F.split(text, _blank), lambda p: p.rlike(pattern))).otherwise(F.array().cast("array<string>"))
     opened = stored(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), parts.alias("parts")), "licence-parts")
 
