@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from trackloom.llm import warc_fixity as op
 from trackloom.llm.queries import ORACLE_SQL, QUERIES
 
@@ -26,3 +28,31 @@ def test_edges(spark):
     one = pages(spark, [(1, "u", "h"), (1, "u", "h")])
     assert [r.fault for r in op.fixity(one, none).collect()] == ["missing", "missing"]
     assert [r.fault for r in op.fixity(one, one).collect()] == [None, None]
+
+
+def test_many_records_in_one_slot(spark):
+    """Pages without number, and copies of one page, share a slot: offsets have no gaps and every change is seen."""
+    rows = [(None, f"u{i}", "x" * (i % 9)) for i in range(300)] + [(5, "same", "copy")] * 200 + [(6, "u", "h"), (1 << 60, "far", "away"), (-7, "below", "zero")]
+    a = pages(spark, rows).withColumn("slot", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("kind", F.lit("y"))
+    got = op.fixity(a, pages(spark, rows[::-1])).collect()
+    assert len(got) == len(rows) and {r.fault for r in got} == {None}
+    files = {}
+    for r in got:
+        files.setdefault(r.warc_file, []).append((r.offset, r.length))
+    for own in files.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+    for other in (rows[1:], [(None, "u0", "y"), *rows[1:]], rows[:300] + rows[301:], [*rows, (5, "same", "copy")]):
+        bad = {r.page_id: r.fault for r in op.fixity(a, pages(spark, other)).where("fault IS NOT NULL").collect()}
+        assert bad == {None if other[0] != rows[0] else 5: "altered"}, bad
+    extra = op.fixity(pages(spark, rows[:1]), pages(spark, [rows[0], (9, None, None)])).collect()
+    assert {(r.page_id, r.fault, r.length is None) for r in extra} == {(None, None, False), (9, "extra", True)}
+    assert op.fixity(pages(spark, []), pages(spark, [(9, None, None)])).count() == 1
+
+
+def test_very_long_page(spark):
+    rows = [(1, "u", "x" * 3_000_000), (2, "u", "y")]
+    got = {r.page_id: r for r in op.fixity(pages(spark, rows), pages(spark, [(1, "u", "x" * 2_999_999 + "z"), rows[1]])).collect()}
+    assert got[1].fault == "altered" and got[1].length > 3_000_000 and got[2].fault is None and got[2].offset == got[1].length
