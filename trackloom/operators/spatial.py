@@ -27,52 +27,110 @@ def segments(points: DataFrame) -> DataFrame:
 
 
 def cell(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
-    """Grid cell of a point, in metres at its own latitude."""
-    return F.floor(lon * METRES_PER_DEGREE * F.cos(F.radians(lat)) / size), F.floor(lat * METRES_PER_DEGREE / size)
+    """Grid cell of a place: degrees in steps that are `size` metres from south to north."""
+    step = size / METRES_PER_DEGREE
+    return F.floor(lon / step), F.floor(lat / step)
 
 
-def around(x: Column, y: Column) -> Column:
-    """The cell and its eight neighbours."""
-    return F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+def around(lat: Column, lon: Column, size: float) -> Column:
+    """The cells of all places within `size` metres: a degree of longitude is shorter the further from the equator, so
+    the further the more cells to both sides."""
+    x, y = cell(lat, lon, size)
+    side = F.ceil(1 / F.cos(F.radians(F.least(F.abs(lat) + size / METRES_PER_DEGREE, F.lit(89.9))))).cast("int")
+    at = lambda j: F.transform(F.sequence(-side, side), lambda i: F.struct((x + i).alias("x"), (y + j).alias("y")))
+    return F.concat(at(-1), at(0), at(1))
 
 
 def self_proximity(points: DataFrame, within: float = 8.0, gap: int = 100) -> DataFrame:
     """track_id, i, j, metres: pairs of points of a track `gap` points apart or more and within `within` metres."""
     x, y = cell(F.col("lat"), F.col("lon"), within)
-    grid = points.select("track_id", "idx", "lat", "lon", x.alias("x"), y.alias("y"))
-    left = grid.select("track_id", F.col("idx").alias("i"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(around(F.col("x"), F.col("y"))).alias("c"))
+    left = points.select("track_id", F.col("idx").alias("i"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(around(F.col("lat"), F.col("lon"), within)).alias("c"))
     left = left.select("track_id", "i", "la", "lo", "c.x", "c.y")
-    right = grid.select("track_id", F.col("idx").alias("j"), F.col("lat").alias("lb"), F.col("lon").alias("lob"), "x", "y")
+    right = points.select("track_id", F.col("idx").alias("j"), F.col("lat").alias("lb"), F.col("lon").alias("lob"), x.alias("x"), y.alias("y"))
     met = left.join(right, ["track_id", "x", "y"]).where(F.col("j") - F.col("i") >= gap)
     m = geo.haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob"))
     return met.withColumn("metres", m).where(F.col("metres") <= within).select("track_id", "i", "j", "metres")
 
 
+def cells_along(reach: float) -> Column:
+    """The cells of 2 * reach in which places within `reach` of a segment (alat, alon, blat, blon) lie: those around
+    places on it that are half a cell apart at most."""
+    step = 2 * reach / METRES_PER_DEGREE
+    n = F.greatest(F.lit(1), 2 * F.ceil(F.greatest(F.abs(F.col("blat") - F.col("alat")), F.abs(F.col("blon") - F.col("alon"))) / step)).cast("int")
+    at = lambda k: around(geo.lerp(F.col("alat"), F.col("blat"), k / n), geo.lerp(F.col("alon"), F.col("blon"), k / n), 2 * reach)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n), at)))
+
+
+def near_segments(places: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
+    """Places (track_id, plat, plon, more) with the segments (track_id, alat, alon, blat, blon, more) of their track
+    within `reach` metres, and m, how far. Both meet in cells of a grid."""
+    x, y = cell(F.col("plat"), F.col("plon"), 2 * reach)
+    put = lines.withColumn("c", F.explode(cells_along(reach))).select("*", "c.x", "c.y").drop("c")
+    met = places.withColumn("x", x).withColumn("y", y).join(put, ["track_id", "x", "y"]).drop("x", "y")
+    return met.withColumn("m", geo.to_segment(*map(F.col, _BOTH))).where(F.col("m") <= reach)
+
+
+#: The columns of a place and a segment.
+_BOTH = ("plat", "plon", "alat", "alon", "blat", "blon")
+
+#: How far is looked for the nearest place, in metres, ring by ring; what has none within the last meets all its track.
+RINGS = (50.0, 1000.0)
+
+
+def _by_rings(places: DataFrame, near, far) -> DataFrame:
+    """Answers by place_id from the first ring that has one: near(places, reach), and at last far(places)."""
+    out = None
+    for reach in RINGS:
+        found = near(places, reach)
+        out = found if out is None else out.unionByName(found)
+        places = places.join(found.select("place_id"), "place_id", "left_anti")
+    return out.unionByName(far(places))
+
+
 def nearest_points(places: DataFrame, points: DataFrame) -> DataFrame:
     """place_id, idx of the nearest point of the place's track, in the plane of degrees; the first of equals."""
     p = places.select("place_id", "track_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    to = points.select("track_id", "idx", "lat", "lon")
     d = (F.col("lat") - F.col("plat")) * (F.col("lat") - F.col("plat")) + (F.col("lon") - F.col("plon")) * (F.col("lon") - F.col("plon"))
-    return p.join(points, "track_id").groupBy("place_id").agg(F.min_by("idx", F.struct(d.alias("d"), "idx")).alias("idx"))
+    best = lambda met: met.groupBy("place_id").agg(F.min_by(F.struct("idx", d.alias("d")), F.struct(d.alias("d"), "idx")).alias("b"))
+
+    def near(left: DataFrame, reach: float) -> DataFrame:
+        # A ring is square in degrees here, as the distance is in degrees: what lies within it beats what doesn't.
+        step = reach / METRES_PER_DEGREE
+        x, y = F.floor(F.col("plon") / step), F.floor(F.col("plat") / step)
+        around_ = F.explode(F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        put = left.withColumn("c", around_).select("*", "c.x", "c.y").drop("c")
+        grid = to.withColumn("x", F.floor(F.col("lon") / step)).withColumn("y", F.floor(F.col("lat") / step))
+        return best(put.join(grid, ["track_id", "x", "y"])).where(F.col("b.d") <= step * step).select("place_id", "b.idx")
+
+    return _by_rings(p, near, lambda left: best(left.join(to, "track_id")).select("place_id", "b.idx"))
 
 
 def to_track(places: DataFrame, points: DataFrame) -> DataFrame:
     """place_id, metres to the nearest place of the track's line, along (metres along the track there; the first of
     equals)."""
     p = places.select("place_id", "track_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    c = [F.col(k) for k in ("plat", "plon", "alat", "alon", "blat", "blon")]
-    _, _, t = geo.nearest_on_segment(*c)
-    met = p.join(segments(points), "track_id").select("place_id", "seg_idx", geo.to_segment(*c).alias("m"), geo.lerp(F.col("adist"), F.col("bdist"), t).alias("along"))
-    best = met.groupBy("place_id").agg(F.min_by(F.struct("m", "along"), F.struct("m", "seg_idx")).alias("b"))
-    return best.select("place_id", F.col("b.m").alias("metres"), F.col("b.along").alias("along"))
+    lines = segments(points)
+
+    def best(met: DataFrame) -> DataFrame:
+        _, _, t = geo.nearest_on_segment(*map(F.col, _BOTH))
+        one = met.select("place_id", "seg_idx", "m", geo.lerp(F.col("adist"), F.col("bdist"), t).alias("along"))
+        least = one.groupBy("place_id").agg(F.min_by(F.struct("m", "along"), F.struct("m", "seg_idx")).alias("b"))
+        return least.select("place_id", F.col("b.m").alias("metres"), F.col("b.along").alias("along"))
+
+    far = lambda left: best(left.join(lines, "track_id").withColumn("m", geo.to_segment(*map(F.col, _BOTH))))
+    return _by_rings(p, lambda left, reach: best(near_segments(left, lines, reach)), far)
 
 
 def structures_near(nodes: DataFrame, points: DataFrame, buffer: float) -> DataFrame:
     """struct_id, median: structures (struct_id, track_id, node, lat, lon) whose upper median distance from the track
-    is `buffer` at most."""
-    placed = to_track(nodes.select(F.struct("struct_id", "node").alias("place_id"), "track_id", "lat", "lon"), points)
-    listed = placed.groupBy("place_id.struct_id").agg(F.sort_array(F.collect_list("metres")).alias("m"))
-    median = F.element_at("m", (F.floor(F.size("m") / 2) + 1).cast("int"))
-    return listed.select("struct_id", median.alias("median")).where(F.col("median") <= buffer)
+    is `buffer` at most. Nodes further off than that count, but how far doesn't matter."""
+    p = nodes.select("struct_id", "node", "track_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    close = near_segments(p, segments(points), buffer).groupBy("struct_id", "node").agg(F.min("m").alias("m"))
+    listed = close.groupBy("struct_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    sizes = nodes.groupBy("struct_id").agg(F.countDistinct("node").alias("n"))
+    median = F.get("m", F.floor(F.col("n") / 2).cast("int"))
+    return listed.join(sizes, "struct_id").select("struct_id", median.alias("median")).where(F.col("median").isNotNull())
 
 
 def structure_spans(nodes: DataFrame, points: DataFrame, reach: float = 30.0, gap: int = 20) -> DataFrame:
@@ -81,8 +139,8 @@ def structure_spans(nodes: DataFrame, points: DataFrame, reach: float = 30.0, ga
     lines = nodes.select("struct_id", "track_id", "node", F.col("lat").alias("alat"), F.col("lon").alias("alon"), F.lead("lat").over(w).alias("blat"), F.lead("lon").over(w).alias("blon")).where(
         F.col("blat").isNotNull()
     )
-    m = geo.to_segment(*[F.col(k) for k in ("lat", "lon", "alat", "alon", "blat", "blon")])
-    near = lines.join(points, "track_id").where(m <= reach).select("struct_id", "track_id", "idx").distinct()
+    p = points.select("track_id", "idx", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    near = near_segments(p, lines, reach).select("struct_id", "track_id", "idx").distinct()
     found = islands(near, F.col("idx") - F.lag("idx").over(Window.partitionBy("struct_id").orderBy("idx")) > gap, ["struct_id"], ["idx"], "pass")
     return found.groupBy("struct_id", "pass").agg(F.min("idx").alias("alo"), F.max("idx").alias("ahi"))
 
@@ -100,10 +158,12 @@ def head_and_tail(points: DataFrame, within: float = 10.0, least: int = 20) -> D
     fifth, 200 points at most); ends of under three points and tracks of under `least` points give none."""
     n = F.count(F.lit(1)).over(Window.partitionBy("track_id"))
     sized = points.withColumn("n", n).where(F.col("n") >= least).withColumn("h", F.least(F.floor(F.col("n") * 0.2), F.lit(200)))
-    head = sized.where(F.col("idx") < F.col("h")).select(F.col("track_id").alias("__t"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"))
-    tail = sized.where(F.col("idx") >= F.col("h"))
-    near = tail.join(head, (tail["track_id"] == head["__t"]) & (geo.haversine(tail["lat"], tail["lon"], head["hlat"], head["hlon"]) <= within), "left_semi").select("track_id", "idx").withColumn("near", F.lit(1))
-    far = tail.join(near, ["track_id", "idx"], "left_anti").groupBy("track_id").agg(F.max("idx").alias("far"))
+    head = sized.where(F.col("idx") < F.col("h")).select(F.col("track_id").alias("__t"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), F.explode(around(F.col("lat"), F.col("lon"), within)).alias("c"))
+    x, y = cell(F.col("lat"), F.col("lon"), within)
+    tail = sized.where(F.col("idx") >= F.col("h")).withColumn("x", x).withColumn("y", y)
+    same = (tail["track_id"] == head["__t"]) & (tail["x"] == head["c.x"]) & (tail["y"] == head["c.y"])
+    near = same & (geo.haversine(tail["lat"], tail["lon"], head["hlat"], head["hlon"]) <= within)
+    far = tail.join(head, near, "left_anti").groupBy("track_id").agg(F.max("idx").alias("far"))
     ends = sized.groupBy("track_id").agg(F.max("n").alias("n"), F.max("h").alias("h")).join(far, "track_id", "left")
     start = F.coalesce(F.col("far") + 1, F.col("h"))
     return ends.where(F.col("n") - start >= 3).select("track_id", start.cast("long").alias("start"))
