@@ -13,9 +13,6 @@ SLOWEST, FASTEST = 1.0, 22.2
 ALONE = 0.32
 IN_GROUP = {"climb": 0.24928, "flat": 0.19392, "descent": 0.20768}
 
-STEPS = 50
-
-
 def terrain(gradient: Column) -> Column:
     return F.when(gradient > 0.02, "climb").when(gradient < -0.02, "descent").otherwise("flat")
 
@@ -27,16 +24,17 @@ def drag_area(gradient: Column, group: bool) -> Column:
 
 
 def speed(watts: float, mass: float, gradient: Column, area: Column) -> Column:
-    """Speed at which drag, rolling and slope take `watts`: halving of the range of speeds, STEPS times, in a fold."""
-    pull = F.lit(ROLLING * mass * GRAVITY) + F.lit(mass * GRAVITY) * gradient
-    start = F.struct(F.lit(SLOWEST).alias("lo"), F.lit(FASTEST).alias("hi"), pull.alias("pull"), (0.5 * AIR * area).alias("air"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        below = s["pull"] * mid + s["air"] * mid * mid * mid < watts
-        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"), s["pull"].alias("pull"), s["air"].alias("air"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: clamp((s["lo"] + s["hi"]) / 2, SLOWEST, FASTEST))
+    """Speed at which drag, rolling and slope take `watts`: the positive root of v^3 + p v = q, within the bounds. One
+    root is positive, whatever the slope. Its hyperbolic and trigonometric forms lose no digits on steep slopes."""
+    air = 0.5 * AIR * area
+    p = (F.lit(ROLLING * mass * GRAVITY) + F.lit(mass * GRAVITY) * gradient) / air
+    q = F.lit(watts) / air
+    size = F.sqrt(F.abs(p) / 3)
+    # How q compares with what the turning points of the cubic have.
+    share = q / F.nullif(2 * size * size * size, F.lit(0.0))
+    up = 2 * size * F.sinh(F.asinh(share) / 3)
+    down = F.when(share >= 1, 2 * size * F.cosh(F.acosh(share) / 3)).otherwise(2 * size * F.cos(F.acos(F.least(share, F.lit(1.0))) / 3))
+    return clamp(F.when(size < 1e-6, F.cbrt(q)).when(p > 0, up).otherwise(down), SLOWEST, FASTEST)
 
 
 def slope_speed(gradient: Column, fastest: float = 17.0, climb_rate: float = 0.53, flat: float = 9.5) -> Column:
