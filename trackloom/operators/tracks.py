@@ -37,8 +37,10 @@ def near(expression: str, radius: float, order: str = "dist") -> Column:
 def derived_tracks(events: DataFrame) -> DataFrame:
     """Tracks made from the events table: a point per event of a user, about 11 m apart, with error events as
     spikes of elevation."""
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return events.select(F.col("user_id").alias("track_id"), "event_id", "event_type", "value", idx.cast("long").alias("idx")).select(
+    idx = F.row_number().over(Window.partitionBy("track_id").orderBy("ts", "event_id")) - 1
+    # Named before it is dealt, so that all later windows see that rows are dealt by track.
+    own = events.select(F.col("user_id").alias("track_id"), "ts", "event_id", "event_type", "value")
+    return own.withColumn("idx", idx.cast("long")).select(
         "track_id",
         "idx",
         (F.lit(46.0) + F.col("idx") * F.lit(0.0001)).alias("lat"),
