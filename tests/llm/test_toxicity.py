@@ -90,3 +90,10 @@ def test_held_out_labels_do_not_teach(spark, sf_dir, documents):
     x, y, share = op.training_sample(documents, labels)
     flipped = labels.selectExpr("doc_id", "quality", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - toxic, toxic) as toxic")
     assert (x, y, share) == op.training_sample(documents, flipped)
+
+
+def test_sample_has_one_text_for_an_id(spark):
+    docs = spark.createDataFrame([(1, "b c"), (1, "a b"), (1, None), (2, "x y"), (2, "x y"), (3, "z" * (op.SAMPLE_CHARS + 1)), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, None), (None, 1)], "doc_id long, toxic int")
+    texts, marks, share = op.training_sample(docs, labels, folds=1 << 40)
+    assert sorted(zip(texts, marks, strict=True)) == [(["a", "b"], 1), (["x", "y"], 0)] and share == 2 / 3

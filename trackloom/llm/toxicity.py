@@ -364,13 +364,15 @@ def curve(logit: np.ndarray, label: np.ndarray, share: float) -> tuple[float, fl
 
 def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = SAMPLE) -> tuple[list[list[str]], list[int], float]:
     """Words and labels of at most `most` documents of each label, from rows outside fold 0, and the share of
-    label 1 among all such labels. Rows without label or id teach nothing."""
+    label 1 among all such labels. Rows without label or id teach nothing, nor do null texts and those of more than
+    SAMPLE_CHARS characters; of rows that share an id one does."""
     usable = labels.where(F.col("toxic").isin(0, 1) & (crc_of(F.col("doc_id")) % folds != 0)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
     order = [F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("doc_id")]
     picked = usable.where("toxic = 1").orderBy(*order).limit(most).unionByName(usable.where("toxic = 0").orderBy(*order).limit(most))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(picked, "doc_id").collect()
+    # One text for an id, however often it is there.
+    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]), reverse=True)
     one: dict[str, str] = {}  # equal words are one object
     texts, marks = [], []
@@ -383,7 +385,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, most: in
 
 def score_documents(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, score, predicted (1 from 0.5 on). Texts without words (null, empty) get the
-    share of label 1 in training, below 0.5. Repeated rows give repeated rows, an empty table none."""
+    share of label 1 in training, below 0.5. Long texts are scored whole, by their strongest window. Repeated rows
+    give repeated rows, an empty table none. Other columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -404,7 +407,8 @@ def trained_network(docs: DataFrame, labels: DataFrame) -> Network:
 
 
 def drop_toxic(docs: DataFrame, network: Network) -> DataFrame:
-    """The documents that are not predicted toxic, with all columns, in one pass and without a shuffle."""
+    """The documents that are not predicted toxic, with all columns, in one pass and without a shuffle. Null and empty
+    texts stay, repeated rows are judged alike; the text column is named text."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
     at = docs.columns.index("text")
 
