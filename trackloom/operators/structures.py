@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from trackloom.functions import geo
 
-from .intervals import inside, interpolated
+from .intervals import inside
+from .sequence import drawn_in_turn
 from .tracks import in_order, tangent_slope, whole_track
 
 
@@ -104,9 +105,9 @@ def corrections(points: DataFrame, located: DataFrame, calm: float = 25.0, **sha
     return found.select("struct_id", "track_id", "kind", "alo", "ahi", kind.alias("type"), F.when(forced, "hermite_convex").otherwise(F.col("interp")).alias("interp"), "m0", "m1")
 
 
-def corrected(points: DataFrame, found: DataFrame) -> DataFrame:
-    """ele_fixed after corrections: lines, or cubics where the interpolation bends. Where two overlap, the later along
-    the track holds from where it begins."""
+def corrected(points: DataFrame, found: DataFrame, order: tuple[str, ...] = ("struct_id",)) -> DataFrame:
+    """ele_fixed after the corrections of each track are drawn in turn, by `order`: lines, or cubics where the
+    interpolation bends. Where corrections overlap, the later reads its ends off the profile that the earlier has left."""
     bends = F.col("interp") != "uniform"
-    zones = found.select("track_id", "alo", "ahi", F.when(bends, F.col("m0")).alias("m0"), F.when(bends, F.col("m1")).alias("m1"))
-    return interpolated(points, zones.dropDuplicates(["track_id", "alo"]))
+    zones = found.select("track_id", "alo", "ahi", *order, F.when(bends, F.col("m0")).alias("m0"), F.when(bends, F.col("m1")).alias("m1"))
+    return drawn_in_turn(points, zones, list(order))

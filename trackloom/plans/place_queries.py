@@ -14,6 +14,8 @@ from .recurrences import vec
 
 CUR = "((2*{t}*{t}*{t}-3*{t}*{t}+1)*e0 + ({t}*{t}*{t}-2*{t}*{t}+{t})*(d1-d0)*m0 + (3*{t}*{t}-2*{t}*{t}*{t})*e1 + ({t}*{t}*{t}-{t}*{t})*(d1-d0)*m1)"
 
+CUT = "CASE WHEN bends THEN " + CUR.format(t="((ds[i]-d0)/(d1-d0))") + " ELSE e0+(ds[i]-d0)/(d1-d0)*(e1-e0) END"
+
 COR = GRD + f""",
 tot AS (SELECT track_id, max(idx) AS last FROM grd GROUP BY 1),
 loc AS (SELECT g.track_id, g.idx AS struct_id, CASE WHEN g.idx%2=0 THEN 'bridge' ELSE 'tunnel' END AS kind, g.idx AS a0, g.idx+4 AS b0, last FROM grd g JOIN tot USING (track_id) WHERE g.idx%9=5 AND g.idx+4 <= last),
@@ -53,6 +55,32 @@ def corrected_profile(spark, sf_dir):
     return structures.corrected(g, first).select("track_id", "idx", r6("ele_fixed").alias("ele_fixed"))
 
 
+LONG = "g.idx+4+g.idx%4*9"
+TURNS = COR.replace("g.idx+4", LONG) + """,
+zs AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY kind, struct_id) AS k, CASE WHEN kind='bridge' AND i0='uniform' AND t0 <> 'tunnel' THEN TRUE ELSE i0 <> 'uniform' END AS bends, CASE WHEN sinks THEN m0 ELSE 0.0 END AS s0, CASE WHEN sinks THEN m1 ELSE 0.0 END AS s1 FROM cor WHERE ahi-alo >= 2 AND d1 > d0),
+prof AS (SELECT track_id, list(ele ORDER BY idx) AS es, list(dist ORDER BY idx) AS ds FROM grd GROUP BY 1),
+app AS (SELECT track_id, CAST(0 AS BIGINT) AS k, es FROM prof UNION ALL SELECT track_id, k, list_transform(es, lambda e, i: CASE WHEN i-1 <= alo OR i-1 >= ahi THEN e ELSE """ + CUT + """ END) FROM
+ (SELECT a.track_id, z.k, a.es, p.ds, z.alo, z.ahi, z.d0, z.d1, z.bends, z.s0 AS m0, z.s1 AS m1, a.es[z.alo+1] AS e0, a.es[z.ahi+1] AS e1 FROM app a JOIN zs z ON z.track_id=a.track_id AND z.k=a.k+1 JOIN prof p ON p.track_id=a.track_id)),
+fin AS (SELECT track_id, arg_max(es, k) AS es FROM app GROUP BY 1)"""
+
+
+def crowded(spark, sf_dir):
+    """Structures of 4 to 31 points: many overlap, nest or share an end with others."""
+    g = graded(spark, sf_dir)
+    last = F.max("idx").over(intervals.Window.partitionBy("track_id"))
+    long = F.col("idx") + 4 + F.col("idx") % 4 * 9
+    z = g.withColumn("last", last).where("idx % 9 = 5").withColumn("ahi", long).where("ahi <= last")
+    return g, z.select(F.col("idx").alias("struct_id"), "track_id", F.when(F.col("idx") % 2 == 0, "bridge").otherwise("tunnel").alias("kind"), F.col("idx").alias("alo"), "ahi")
+
+
+@registered("corrections_in_turn", "WITH RECURSIVE " + TURNS.strip() + """
+SELECT track_id, CAST(i AS BIGINT) AS idx, round(e, 6) AS ele_fixed FROM (SELECT track_id, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS i FROM fin)""")
+def corrections_in_turn(spark, sf_dir):
+    """The profile after bridges and then tunnels are drawn, each on what those before it have left."""
+    g, z = crowded(spark, sf_dir)
+    return structures.corrected(g, structures.corrections(g, z), ("kind", "struct_id")).select("track_id", "idx", r6("ele_fixed").alias("ele_fixed"))
+
+
 @registered("inner_shapes", q(f"""SELECT track_id, alo, ahi, CASE WHEN d1-d0 < 1 THEN 'artifact' WHEN sink >= 1 AND sink > rise THEN 'bridge' WHEN rise >= 1 AND rise > sink THEN 'tunnel' WHEN off >= 0.5 THEN 'artifact' ELSE 'clean' END AS type FROM (SELECT track_id, alo, ahi, max(d0) AS d0, max(d1) AS d1, max((e0+e1)/2-ele) AS sink, max(ele-(e0+e1)/2) AS rise, max(abs(ele-{CUR.format(t='t')})) AS off FROM
  (SELECT z.*, p.ele, (p.dist-d0)/nullif(d1-d0,0.0) AS t FROM (SELECT a.track_id, a.idx AS alo, b.idx AS ahi, a.ele AS e0, b.ele AS e1, a.dist AS d0, b.dist AS d1, a.tg AS m0, b.tg AS m1 FROM tg a JOIN tg b ON b.track_id=a.track_id AND b.idx=a.idx+4 AND a.idx%9=5) z JOIN pts p ON p.track_id=z.track_id AND p.idx > alo AND p.idx < ahi) GROUP BY 1,2,3)""", PTS + """,
 tg AS (SELECT *, coalesce((last_value(ele) OVER w - first_value(ele) OVER w)/nullif(last_value(dist) OVER w - first_value(dist) OVER w,0.0),0.0) AS tg FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING))"""))
