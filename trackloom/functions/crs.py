@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Semi-major axis and inverse flattening of GRS80, which all of these grids use.
@@ -31,6 +31,25 @@ def transverse_mercator(lat: Column, lon: Column, epsg: int) -> tuple[Column, Co
     return east + scale * radius * x, north + scale * radius * y
 
 
+def in_zone(df: DataFrame, lat: str, lon: str, epsg: str) -> DataFrame:
+    """df with easting and northing of its places, each in the zone that the column `epsg` names; null for codes that
+    ZONES does not know. One formula whose constants are looked up, in steps, so that no step is worked out twice."""
+    n = (1 / INVERSE) / (2 - 1 / INVERSE)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    known = F.create_map(*[F.lit(v) for code, z in ZONES.items() for v in (code, [float(c) for c in z])])
+    out = df.withColumn("__z", F.try_element_at(known, F.col(epsg)))
+    out = out.withColumn("__s", F.sin(F.radians(lat))).withColumn("__l", F.radians(F.col(lon) - F.get("__z", F.lit(0))))
+    out = out.withColumn("__t", F.sinh(F.atanh("__s") - E1 * F.atanh(E1 * F.col("__s"))))
+    out = out.withColumn("__xi", F.atan2("__t", F.cos("__l"))).withColumn("__eta", F.atanh(F.sin("__l") / F.sqrt(1 + F.col("__t") * F.col("__t"))))
+    wave = lambda k: 2.0 * (k + 1)
+    x = F.col("__eta") + sum(a * F.cos(wave(k) * F.col("__xi")) * F.sinh(wave(k) * F.col("__eta")) for k, a in enumerate(series))
+    y = F.col("__xi") + sum(a * F.sin(wave(k) * F.col("__xi")) * F.cosh(wave(k) * F.col("__eta")) for k, a in enumerate(series))
+    scale = F.get("__z", F.lit(1)) * radius
+    out = out.withColumn("easting", F.get("__z", F.lit(2)) + scale * x).withColumn("northing", F.get("__z", F.lit(3)) + scale * y)
+    return out.drop("__z", "__s", "__l", "__t", "__xi", "__eta")
+
+
 def equal_area(lat: Column, lon: Column) -> tuple[Column, Column]:
     """(easting, northing) on the equal-area grid of Europe, EPSG 3035."""
     authalic = lambda s: (1 - E2) * (s / (1 - E2 * s * s) + (F if isinstance(s, Column) else math).atanh(E1 * s) / E1)

@@ -82,7 +82,7 @@ def best_record(records: DataFrame, keys: list[str], bonus: Column) -> DataFrame
     """Of the records (keys, pos, title) of each key the newest, dates and bonus counted together; of equals the one of
     the later date, then the first. Surface models are left out."""
     day = date_ordinal(F.col("title"))
-    kept = records.where(~F.coalesce(F.col("title").rlike(r"(?i)\bDSM\b|DOM"), F.lit(False)))
+    kept = records.where(~F.coalesce(F.col("title").rlike("(?i)als dsm"), F.lit(False)))
     return kept.groupBy(*keys).agg(F.max_by(F.struct("pos", "title"), F.struct((day + bonus).alias("score"), day.alias("day"), (-F.col("pos")).alias("early"))).alias("best")).select(*keys, "best.pos", "best.title")
 
 
@@ -98,16 +98,21 @@ def discovery_points(points: DataFrame, cell: float, step: int = 5, most: int =
     return first.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).select("track_id", "idx", "lat", "lon")
 
 
-def road_ways(ways: DataFrame) -> DataFrame:
-    """id, kind of the ways (id, tags, closed) that are bridges or tunnels of roads: not closed, not waterways, not rail
-    unless a cycleway, no passages through buildings; viaducts are bridges."""
+def road_kinds(ways: DataFrame) -> DataFrame:
+    """The ways (tags, closed, more) that are bridges or tunnels of roads, with kind (a way may be both): not closed, not
+    waterways, not rail unless a cycleway, no passages through buildings; viaducts are bridges."""
     has = lambda k: F.col("tags")[k].isNotNull()
     rail = F.coalesce(F.col("tags")["railway"].isin(RAILWAYS), F.lit(False)) & ~F.coalesce(F.col("tags")["highway"] == "cycleway", F.lit(False))
     dry = ~has("waterway") | F.coalesce(F.col("tags")["highway"] == "cycleway", F.lit(False))
     over = (has("bridge") & ~rail & dry) | (F.coalesce(F.col("tags")["man_made"] == "viaduct", F.lit(False)) & ~has("waterway"))
     under = has("tunnel") & (F.col("tags")["tunnel"] != "building_passage") & ~rail & dry
-    open_ = ways.where(~F.col("closed"))
-    return open_.where(over).select("id", F.lit("bridge").alias("kind")).unionByName(open_.where(under).select("id", F.lit("tunnel").alias("kind"))).distinct()
+    kinds = F.array_compact(F.array(F.when(over, "bridge"), F.when(under, "tunnel")))
+    return ways.where(~F.col("closed")).withColumn("kind", F.explode(kinds))
+
+
+def road_ways(ways: DataFrame) -> DataFrame:
+    """id, kind of the ways (id, tags, closed) that are bridges or tunnels of roads."""
+    return road_kinds(ways).select("id", "kind").distinct()
 
 
 def unsupported(countries: DataFrame, supported: DataFrame, neighbours: DataFrame) -> DataFrame:

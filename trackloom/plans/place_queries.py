@@ -148,7 +148,7 @@ def catalogue_fields(spark, sf_dir):
 @registered("best_records", """SELECT user_id, arg_max(event_id, (ord + event_id%3, ord, -event_id)) AS pos FROM (SELECT user_id, event_id, event_type, date_diff('day', DATE '0001-01-01', make_date(2010+event_id%14, 1+event_id%12, 1+event_id%28))+1 AS ord FROM events) WHERE event_type <> 'error' GROUP BY 1""")
 def best_records(spark, sf_dir):
     i = F.col("event_id")
-    title = F.concat(F.when(F.col("event_type") == "error", "DSM ").otherwise("DTM "), F.format_string("%02d.%02d.%d", 1 + i % 28, 1 + i % 12, 2010 + i % 14))
+    title = F.concat(F.when(F.col("event_type") == "error", "ALS DSM ").otherwise("DTM Randomsdorf "), F.format_string("%02d.%02d.%d", 1 + i % 28, 1 + i % 12, 2010 + i % 14))
     r = events(spark, sf_dir).select("user_id", i.alias("pos"), title.alias("title"))
     return catalogues.best_record(r, ["user_id"], F.col("pos") % 3).select("user_id", "pos")
 
