@@ -50,6 +50,49 @@ def in_zone(df: DataFrame, lat: str, lon: str, epsg: str) -> DataFrame:
     return out.drop("__z", "__s", "__l", "__t", "__xi", "__eta")
 
 
+def in_degrees(df: DataFrame, easting: str, northing: str, epsg: str) -> DataFrame:
+    """df with lat and lon of its places, each from the grid that the column `epsg` names: a zone of ZONES, 3035 (equal
+    area), or degrees (4326 and other geographic codes of the same ellipsoids); null for codes that are not known."""
+    n = (1 / INVERSE) / (2 - 1 / INVERSE)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    back = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    lift = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    known = F.create_map(*[F.lit(v) for code, z in ZONES.items() for v in (code, [float(c) for c in z])])
+    wave = lambda k: 2.0 * (k + 1)
+    out = df.withColumn("__z", F.try_element_at(known, F.col(epsg))).withColumn("__x", F.col(easting).cast("double")).withColumn("__y", F.col(northing).cast("double"))
+    scale = F.get("__z", F.lit(1)) * radius
+    out = out.withColumn("__xi", (F.col("__y") - F.get("__z", F.lit(3))) / scale).withColumn("__eta", (F.col("__x") - F.get("__z", F.lit(2))) / scale)
+    xi = F.col("__xi") - sum(b * F.sin(wave(k) * F.col("__xi")) * F.cosh(wave(k) * F.col("__eta")) for k, b in enumerate(back))
+    eta = F.col("__eta") - sum(b * F.cos(wave(k) * F.col("__xi")) * F.sinh(wave(k) * F.col("__eta")) for k, b in enumerate(back))
+    out = out.withColumn("__u", xi).withColumn("__v", eta)
+    out = out.withColumn("__chi", F.asin(F.sin("__u") / F.cosh("__v")))
+    lat = F.degrees(F.col("__chi") + sum(d * F.sin(wave(k) * F.col("__chi")) for k, d in enumerate(lift)))
+    lon = F.get("__z", F.lit(0)) + F.degrees(F.atan2(F.sinh("__v"), F.cos("__u")))
+    elat, elon = equal_area_degrees(F.col("__x"), F.col("__y"))
+    plain = F.col(epsg).isin(4326, 4258, 4269)
+    pick = lambda zone, area, own: F.when(F.col("__z").isNotNull(), zone).when(F.col(epsg) == 3035, area).when(plain, own)
+    out = out.withColumn("lat", pick(lat, elat, F.col("__y"))).withColumn("lon", pick(lon, elon, F.col("__x")))
+    return out.drop("__z", "__x", "__y", "__xi", "__eta", "__u", "__v", "__chi")
+
+
+def equal_area_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a place on the equal-area grid of Europe, EPSG 3035; the latitude by its series in the
+    eccentricity."""
+    authalic = lambda s: (1 - E2) * (s / (1 - E2 * s * s) + math.atanh(E1 * s) / E1)
+    phi0 = math.radians(52)
+    qp, q0 = authalic(1.0), authalic(math.sin(phi0))
+    b0, rq = math.asin(q0 / qp), AXIS * math.sqrt(qp / 2)
+    d = AXIS * math.cos(phi0) / (math.sqrt(1 - E2 * math.sin(phi0) ** 2) * rq * math.cos(b0))
+    u, v = (x - 4_321_000) / d, (y - 3_210_000) * d
+    rho = F.sqrt(u * u + v * v)
+    c = 2 * F.asin(rho / (2 * rq))
+    beta = F.asin(F.cos(c) * math.sin(b0) + F.when(rho > 0, v * F.sin(c) * math.cos(b0) / rho).otherwise(0.0))
+    east = F.atan2(u * F.sin(c), rho * math.cos(b0) * F.cos(c) - v * math.sin(b0) * F.sin(c))
+    series = [E2 / 3 + 31 * E2**2 / 180 + 517 * E2**3 / 5040, 23 * E2**2 / 360 + 251 * E2**3 / 3780, 761 * E2**3 / 45360]
+    lat = beta + sum(a * F.sin(2.0 * (k + 1) * beta) for k, a in enumerate(series))
+    return F.degrees(lat), 10 + F.degrees(F.when(rho > 0, east).otherwise(0.0))
+
+
 def equal_area(lat: Column, lon: Column) -> tuple[Column, Column]:
     """(easting, northing) on the equal-area grid of Europe, EPSG 3035."""
     authalic = lambda s: (1 - E2) * (s / (1 - E2 * s * s) + (F if isinstance(s, Column) else math).atanh(E1 * s) / E1)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from trackloom import scratch
 from trackloom.functions import crs
 from trackloom.operators import regions
-from trackloom.sources import layout
+from trackloom.sources import archives, gpx, layout
 
 from .queries import TRK, points, q, registered
 
@@ -170,3 +170,17 @@ def catalogue_scan(spark, sf_dir):
     files = files.select("user_id", F.when(F.col("user_id") % 2 == 0, F.to_json("tiles")).otherwise(F.to_json(F.struct("tiles"))).alias("value"))
     found = layout.tile_index(layout.catalogue_entries(files, "user_id"), "user_id", "DS")
     return found.select("user_id", "tile_id", F.col("ord").cast("long").alias("ord"), "path", "west", "secuencial")
+
+
+@registered("archive_round_trip", q("SELECT 'r'||track_id AS track, idx, round(lat, 8) AS lat, round(lon, 8) AS lon, CAST(format('{:.3f}', ele) AS DOUBLE) AS ele FROM trk", TRK))
+def archive_round_trip(spark, sf_dir):
+    """All tracks as GPX documents in archives of twenty, and back."""
+    archives.register(spark)
+    p = points(spark, sf_dir).withColumn("track", F.concat(F.lit("r"), "track_id"))
+    docs = gpx.to_gpx(p, "track").select(F.concat("track", F.lit(".gpx")).alias("name"), F.col("gpx").alias("content"), F.lit(0).alias("ord"))
+    out = f"{scratch.folder(spark)}/bundles-{uuid.uuid4().hex}"
+    archives.bundled(docs, 20).write.format("zip_archives").mode("append").save(out)
+    members = spark.read.format("zip_members").option("suffixes", ".gpx").load(out).where("error is null")
+    texts = members.select(F.regexp_replace("name", r"\.gpx$", "").alias("track"), F.col("content").cast("string").alias("gpx"))
+    back = gpx.track_points(gpx.parsed(texts), "track")
+    return back.select("track", "idx", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("ele", 3).alias("ele"))

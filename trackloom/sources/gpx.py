@@ -2,20 +2,63 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archives
+
 _POINT = "ARRAY<STRUCT<_lat: DOUBLE, _lon: DOUBLE, ele: DOUBLE, name: STRING>>"
 SCHEMA = f"trk ARRAY<STRUCT<name: STRING, trkseg: ARRAY<STRUCT<trkpt: {_POINT}>>>>, rte ARRAY<STRUCT<name: STRING, rtept: {_POINT}>>, wpt {_POINT}"
 
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="trackloom" xmlns="http://www.topografix.com/GPX/1/1">\n'
 
 
+def within(path: str):
+    """The path of a file inside the folder that is read: its name if it lies in it, with its folders if deeper, so that
+    files of one name stay apart."""
+    from urllib.parse import quote
+
+    stem = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    root = quote(re.sub(r"^[a-z0-9]+:/+", "/", stem if stem == path else stem.rpartition("/")[0]), safe="/").rstrip("/") + "/"
+    whole, at = F.col("_metadata.file_path"), F.locate(root, F.col("_metadata.file_path"))
+    return F.when(at > 0, F.substr(whole, at + len(root))).otherwise(F.col("_metadata.file_name"))
+
+
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """track_id (the file), name, idx, lat, lon, ele of all track points of GPX files, in document order over tracks
-    and segments. A missing elevation is 0. Files without track points give no rows; malformed ones neither."""
+    """track_id (the file, by its path in the folder), name, idx, lat, lon, ele of all track points of GPX files, in document order over
+    tracks and segments. A missing elevation is 0. Files without track points give no rows; malformed ones neither
+    (`uploads` and `opened` tell which)."""
     files = spark.read.format("xml").option("rowTag", "gpx").option("mode", "DROPMALFORMED").schema(SCHEMA).load(path)
-    return track_points(files.select(F.col("_metadata.file_name").alias("track_id"), "trk"), "track_id")
+    return track_points(files.select(within(path).alias("track_id"), "trk"), "track_id")
+
+
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """track_id, name, gpx, error: the GPX files of a folder and those inside its ZIP archives, whatever the case of
+    their endings; other files are passed over. track_id is the path in the folder (of a member: that of its archive, ! and its
+    own), so files of one name stay apart. An archive that can't be read is one row with an error."""
+    archives.register(spark)
+    plain = spark.read.option("pathGlobFilter", "*.[gG][pP][xX]").option("recursiveFileLookup", True).text(path, wholetext=True)
+    plain = plain.select(within(path).alias("track_id"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("gpx"), F.lit(None).cast("string").alias("error"))
+    inner = spark.read.format("zip_members").option("suffixes", ".gpx").load(path)
+    inner = inner.select(F.concat_ws("!", "archive", "path").alias("track_id"), "name", F.col("content").cast("string").alias("gpx"), "error")
+    return plain.unionByName(inner)
+
+
+def is_queue(files: DataFrame) -> bool:
+    """Two files and more are worked on as a queue, one by hand."""
+    return files.where("error is null").limit(2).count() > 1
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """files (track_id, gpx, error, more) with trk; `error` says why a text gives no track: it is no XML, or it has no
+    track points."""
+    broken = "__corrupt"
+    x = F.from_xml(F.col("gpx"), f"{SCHEMA}, {broken} STRING", {"rowTag": "gpx", "columnNameOfCorruptRecord": broken})
+    points = F.aggregate(F.coalesce("__x.trk", F.array()), F.lit(0), lambda n, t: n + F.aggregate(F.coalesce(t["trkseg"], F.array()), F.lit(0), lambda m, s: m + F.coalesce(F.size(F.coalesce(s["trkpt"], F.array())), F.lit(0))))
+    why = F.when(F.col("gpx").isNull(), "no text").when(F.col(f"__x.{broken}").isNotNull() | F.col("__x").isNull(), "not well-formed").when(points == 0, "no track points")
+    return files.withColumn("__x", x).select(*[c for c in files.columns if c != "error"], F.col("__x.trk").alias("trk"), F.coalesce("error", why).alias("error"))
 
 
 def track_points(files: DataFrame, key: str) -> DataFrame:

@@ -25,7 +25,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, per_batc
     stream, which ends when all files that are there have been worked on."""
     stream = (
         spark.readStream.format("xml").option("rowTag", "gpx").option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", per_batch)
-        .schema(gpx.SCHEMA).load(folder).withColumn("track_id", F.col("_metadata.file_name"))
+        .schema(gpx.SCHEMA).load(folder).withColumn("track_id", gpx.within(folder))
     )
 
     def work(batch: DataFrame, number: int) -> None:
