@@ -172,11 +172,11 @@ def catalogue_scan(spark, sf_dir):
     return found.select("user_id", "tile_id", F.col("ord").cast("long").alias("ord"), "path", "west", "secuencial")
 
 
-@registered("archive_round_trip", q("SELECT 'r'||track_id AS track, idx, round(lat, 8) AS lat, round(lon, 8) AS lon, CAST(format('{:.3f}', ele) AS DOUBLE) AS ele FROM trk", TRK))
+@registered("archive_round_trip", q("SELECT 'r'||track_id AS track, idx, round(lat, 8) AS lat, round(lon, 8) AS lon, floor(ele*8)/8 AS ele FROM trk", TRK))
 def archive_round_trip(spark, sf_dir):
     """All tracks as GPX documents in archives of twenty, and back."""
     archives.register(spark)
-    p = points(spark, sf_dir).withColumn("track", F.concat(F.lit("r"), "track_id"))
+    p = points(spark, sf_dir).withColumn("track", F.concat(F.lit("r"), "track_id")).withColumn("ele", F.floor(F.col("ele") * 8) / 8)
     docs = gpx.to_gpx(p, "track").select(F.concat("track", F.lit(".gpx")).alias("name"), F.col("gpx").alias("content"), F.lit(0).alias("ord"))
     out = f"{scratch.folder(spark)}/bundles-{uuid.uuid4().hex}"
     archives.bundled(docs, 20).write.format("zip_archives").mode("append").save(out)
