@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,7 +11,7 @@ from trackloom.functions import geo
 from .tracks import in_order, whole_track
 
 
-def resampled(points: DataFrame, spacing: float = 10.0) -> DataFrame:
+def resampled(points: DataFrame, spacing: float | Column = 10.0) -> DataFrame:
     """Points at equal distances of about `spacing` metres, both ends included: track_id, k, dist, lat, lon, ele.
 
     Each segment makes the points that lie in it, so nothing is joined."""
@@ -30,6 +30,17 @@ def resampled(points: DataFrame, spacing: float = 10.0) -> DataFrame:
     return mid.unionByName(end)
 
 
+def to_resolution(points: DataFrame, metres: DataFrame, slack: float = 1.5) -> DataFrame:
+    """track_id, idx, lat, lon, ele, dist: tracks whose points lie `slack` times further apart on the mean than the
+    heights there are for them (metres: track_id, metres) are resampled to that spacing; the others stay."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("track_id"))
+    mean = F.max("dist").over(Window.partitionBy("track_id")) / F.nullif(n - 1, F.lit(0))
+    sized = points.select("track_id", "idx", "lat", "lon", "ele", "dist", mean.alias("__mean")).join(metres, "track_id", "left")
+    sized = sized.withColumn("__coarse", F.coalesce(F.col("__mean") > slack * F.col("metres"), F.lit(False)))
+    made = resampled(sized.where("__coarse"), F.col("metres")).select("track_id", F.col("k").alias("idx"), "lat", "lon", "ele", "dist")
+    return sized.where("not __coarse").select(*made.columns).unionByName(made)
+
+
 def densified(points: DataFrame, spacing: float = 5.0) -> DataFrame:
     """Points put between those that are further apart than `spacing`, at equal parts: track_id, idx, part, lat, lon,
     ele. part 0 is the point itself."""

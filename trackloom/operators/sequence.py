@@ -29,11 +29,13 @@ def drawn(z: dict[str, Column] | DataFrame, dist: Column) -> Column:
 
 def _named(zones: DataFrame, order: list[str]) -> DataFrame:
     """track_id, turn, alo, ahi, m0, m1: `turn` says which zone of a track comes before which, and names it. Zones that
-    agree in all of it draw the same, so one is enough."""
+    agree in all of it draw the same, so one is enough. Where turn.raw holds, the record itself is drawn."""
     slope = lambda c: (F.col(c).cast("double") if c in zones.columns else F.lit(None).cast("double")).alias(c)
-    z = zones.select("track_id", F.col("alo").cast("long").alias("alo"), F.col("ahi").cast("long").alias("ahi"), slope("m0"), slope("m1"), *[F.col(c).alias(f"__{c}") for c in order])
-    turn = F.struct(*[f"__{c}" for c in order], "alo", "ahi", "m0", "m1")
-    return z.where("ahi - alo >= 2").select("track_id", turn.alias("turn"), "alo", "ahi", "m0", "m1").dropDuplicates(["track_id", "turn"])
+    also = ["raw"] if "raw" in zones.columns else []
+    z = zones.select("track_id", F.col("alo").cast("long").alias("alo"), F.col("ahi").cast("long").alias("ahi"), slope("m0"), slope("m1"), *also, *[F.col(c).alias(f"__{c}") for c in order])
+    z = z.withColumn("raw", F.coalesce("raw", F.lit(False)) if "raw" in zones.columns else F.lit(False))
+    turn = F.struct(*[f"__{c}" for c in order], "alo", "ahi", "m0", "m1", "raw")
+    return z.where("ahi - alo >= 2 or (raw and ahi >= alo)").select("track_id", turn.alias("turn"), "alo", "ahi", "m0", "m1").dropDuplicates(["track_id", "turn"])
 
 
 def _with_ends(points: DataFrame, zones: DataFrame) -> DataFrame:
@@ -45,18 +47,20 @@ def _with_ends(points: DataFrame, zones: DataFrame) -> DataFrame:
     return both.where("d1 > d0")
 
 
-def _last_before(points: DataFrame, zones: DataFrame) -> DataFrame:
+def _last_before(points: DataFrame, zones: DataFrame, raw: DataFrame) -> DataFrame:
     """All points and both ends of all zones, each with `owner`, the turn of the last zone that draws it (of an end:
-    before the zone's own turn)."""
+    before the zone's own turn); null where there is none, or where that one is `raw`."""
     kind = points.schema["track_id"].dataType
     turn = zones.schema["turn"].dataType
     blank = lambda c, t: F.lit(None).cast(t).alias(c)
     covers = zones.select("track_id", F.explode(F.sequence(F.col("alo") + 1, F.col("ahi") - 1)).alias("idx"), "turn", F.col("turn").alias("by"), blank("side", "int"))
+    kept = raw.select("track_id", F.explode(F.sequence("alo", "ahi")).alias("idx"), "turn", F.col("turn").alias("by"), blank("side", "int"))
     asks = zones.select("track_id", F.explode(F.map_from_arrays(F.array(F.lit(0), F.lit(1)), F.array("alo", "ahi"))).alias("side", "idx"), "turn", blank("by", turn))
     rows = points.select(F.col("track_id").cast(kind), F.col("idx").cast("long").alias("idx"), F.struct(*points.columns).alias("p"))
-    both = covers.unionByName(asks.select(*covers.columns)).unionByName(rows, allowMissingColumns=True)
+    both = covers.unionByName(kept).unionByName(asks.select(*covers.columns)).unionByName(rows, allowMissingColumns=True)
     w = Window.partitionBy("track_id", "idx").orderBy(F.col("turn").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("owner", F.last("by", ignorenulls=True).over(w)).where(F.col("by").isNull())
+    seen = both.withColumn("owner", F.last("by", ignorenulls=True).over(w)).where(F.col("by").isNull())
+    return seen.withColumn("owner", F.when(~F.col("owner.raw"), F.col("owner")))
 
 
 def settled(zones: DataFrame) -> DataFrame:
@@ -85,9 +89,11 @@ def drawn_in_turn(points: DataFrame, zones: DataFrame, order: list[str]) -> Data
     in the order of the columns `order`, then of alo and ahi. Zones may overlap, nest and begin or end alike.
 
     A zone draws the points strictly between alo and ahi by their distance; zones under two steps or without length, and
-    such as end beyond the track, draw nothing. points has dist. Points of a track may repeat an index."""
-    named = stored(_with_ends(points, _named(zones, order)), "zones")
-    seen = _last_before(points, named)
+    such as end beyond the track, draw nothing. Where zones have `raw` and it holds, the record comes back from alo to
+    ahi, both included. points has dist. Points of a track may repeat an index."""
+    turns = _named(zones, order)
+    named = stored(_with_ends(points, turns.where("not turn.raw")), "zones")
+    seen = _last_before(points, named, turns.where("turn.raw"))
     owners = seen.where("side is not null").groupBy("track_id", "turn").agg(*[F.max(F.when(F.col("side") == s, F.col("owner"))).alias(f"o{s}") for s in (0, 1)])
     done = settled(stored(named.join(owners, ["track_id", "turn"]).select("track_id", "turn", "d0", "e0", "d1", "e1", "m0", "m1", "o0", "o1"), "zones-owned"))
     last = done.select("track_id", F.col("turn").alias("owner"), F.struct("d0", "e0", "d1", "e1", "m0", "m1").alias("z"))

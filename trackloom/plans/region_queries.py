@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from trackloom import scratch
 from trackloom.functions import crs
-from trackloom.operators import regions
+from trackloom.operators import edit_log, intervals, regions
 from trackloom.sources import archives, gpx, layout
 
-from .queries import TRK, points, q, registered
+from .queries import GRD, TRK, graded, points, q, r6, registered
 
 #: Where the tracks are moved to: places at which the boxes of states begin, end or overlap, and one outside them all.
 PLACES = [(53.047, 13.2), (52.297, 13.2), (50.247, 9.0), (49.347, 9.0), (46.0, 14.5), (51.297, 11.5)]
@@ -184,3 +184,54 @@ def archive_round_trip(spark, sf_dir):
     texts = members.select(F.regexp_replace("name", r"\.gpx$", "").alias("track"), F.col("content").cast("string").alias("gpx"))
     back = gpx.track_points(gpx.parsed(texts), "track")
     return back.select("track", "idx", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("ele", 3).alias("ele"))
+
+
+EDITS = GRD + """,
+zn AS (SELECT track_id, idx AS zone, idx AS alo, idx+6 AS ahi, idx%4 < 2 AS acc FROM (SELECT *, max(idx) OVER (PARTITION BY track_id) AS last FROM grd) WHERE idx%9=4 AND idx+20 <= last),
+lg AS (SELECT track_id, (zone*37)%997 AS seq, CASE zone%3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'drag' END AS act, zone, 'hi' AS side, zone+13 AS a, CAST(NULL AS BIGINT) AS b FROM zn UNION ALL
+ SELECT track_id, 1000+(zone*37)%997, CASE zone%2 WHEN 0 THEN 'drag' ELSE 'accept' END, zone, 'lo', zone-3, NULL FROM zn UNION ALL
+ SELECT track_id, 2000+(zone*37)%997, CASE zone%5 WHEN 0 THEN 'remove' ELSE 'accept' END, zone, NULL, NULL, NULL FROM zn WHERE zone%5 < 3),
+ln AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k FROM lg WHERE track_id%4 <> 1),
+base AS (SELECT track_id, list(ele ORDER BY idx) AS raw, list(dist ORDER BY idx) AS ds FROM grd GROUP BY 1),
+zl AS (SELECT track_id, list({'zone': zone, 'alo': alo, 'ahi': ahi, 'acc': acc, 'rej': FALSE, 'gone': FALSE} ORDER BY alo) AS zs FROM zn GROUP BY 1),
+ini AS (SELECT b.track_id, coalesce(z.zs, []) AS zs, list_transform(raw, lambda e, i: coalesce(list_extract(list_transform(list_filter(coalesce(z.zs, []), lambda x: x.acc AND i-1 > x.alo AND i-1 < x.ahi), lambda x: raw[x.alo+1]+(ds[i]-ds[x.alo+1])/(ds[x.ahi+1]-ds[x.alo+1])*(raw[x.ahi+1]-raw[x.alo+1])), 1), e)) AS es FROM base b LEFT JOIN zl z ON z.track_id=b.track_id),
+run AS (SELECT track_id, CAST(0 AS BIGINT) AS k, zs, es FROM ini UNION ALL
+ SELECT track_id, k, list_transform(zs, lambda x: CASE WHEN x.zone=zid AND on_ THEN {'zone': x.zone, 'alo': nlo, 'ahi': nhi, 'acc': nacc, 'rej': nrej, 'gone': act='remove'} ELSE x END) AS zs,
+  CASE WHEN draws THEN list_transform(es1, lambda e, i: CASE WHEN i-1 > nlo AND i-1 < nhi THEN es1[nlo+1]+(ds[i]-ds[nlo+1])/(ds[nhi+1]-ds[nlo+1])*(es1[nhi+1]-es1[nlo+1]) ELSE e END) ELSE es1 END AS es FROM (
+ SELECT *, CASE WHEN backs THEN list_transform(es, lambda e, i: CASE WHEN i-1 BETWEEN least(z.alo, nlo) AND greatest(z.ahi, nhi) THEN raw[i] ELSE e END) ELSE es END AS es1 FROM (
+ SELECT *, on_ AND ((act='accept' AND NOT nacc) OR (act='reject' AND nrej) OR act='remove' OR (act='drag' AND nacc)) AS backs, on_ AND nacc AND act IN ('accept', 'drag') AS draws FROM (
+ SELECT *, NOT z.gone AS on_, CASE WHEN act='accept' THEN NOT z.acc WHEN act='reject' THEN z.rej AND z.acc ELSE z.acc END AS nacc, CASE WHEN act='accept' THEN z.rej AND z.acc WHEN act='reject' THEN NOT z.rej ELSE z.rej END AS nrej,
+  CASE WHEN act='drag' AND side='lo' THEN least(a, z.ahi-1) ELSE z.alo END AS nlo, CASE WHEN act='drag' AND side='hi' THEN greatest(a, z.alo+1) ELSE z.ahi END AS nhi FROM (
+ SELECT r.track_id, l.k, r.zs, r.es, b.raw, b.ds, l.act, l.side, l.a, l.zone AS zid, list_filter(r.zs, lambda x: x.zone=l.zone)[1] AS z FROM run r JOIN ln l ON l.track_id=r.track_id AND l.k=r.k+1 JOIN base b ON b.track_id=r.track_id))))),
+fin AS (SELECT track_id, arg_max(es, k) AS es, arg_max(zs, k) AS zs FROM run GROUP BY 1)"""
+
+
+def edited(spark, sf_dir):
+    """Straight zones of six points, and up to three edits of each; the tracks of one in four are left alone."""
+    g = graded(spark, sf_dir)
+    i = F.col("idx")
+    last = F.max("idx").over(intervals.Window.partitionBy("track_id"))
+    z = g.withColumn("last", last).where("idx % 9 = 4 AND idx + 20 <= last").select("track_id", i.alias("zone"), i.alias("alo"), (i + 6).alias("ahi"), F.lit("suspect").alias("type"), F.lit("none").alias("interp"), F.lit(0.0).alias("m0"), F.lit(0.0).alias("m1"), (i % 4 < 2).alias("accepted"), F.lit(False).alias("rejected"))
+    n = F.col("zone")
+    part = lambda k, act, side=None, a=None: z.select("track_id", (k * 1000 + n * 37 % 997).alias("seq"), act.alias("action"), "zone", F.lit(side).cast("string").alias("side"), (a if a is not None else F.lit(None)).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+    log = part(0, F.when(n % 3 == 0, "accept").when(n % 3 == 1, "reject").otherwise("drag"), "hi", n + 13)
+    log = log.unionByName(part(1, F.when(n % 2 == 0, "drag").otherwise("accept"), "lo", n - 3)).unionByName(part(2, F.when(n % 5 == 0, "remove").otherwise("accept")).where("zone % 5 < 3"))
+    return g, z, log.where("track_id % 4 <> 1")
+
+
+@registered("edits_replayed", "WITH RECURSIVE " + EDITS.strip() + """
+SELECT track_id, CAST(i AS BIGINT) AS idx, round(e, 6) AS ele_fixed FROM (SELECT track_id, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS i FROM fin)""")
+def edits_replayed(spark, sf_dir):
+    """The profile after a log of edits, of which only the tracks that it names are worked out anew."""
+    g, z, log = edited(spark, sf_dir)
+    done, _ = edit_log.replayed(g, z, log.limit(0))
+    return edit_log.revised(done, g, z, log).select("track_id", "idx", r6("ele_fixed").alias("ele_fixed"))
+
+
+@registered("zones_after_edits", "WITH RECURSIVE " + EDITS.strip() + """
+SELECT f.track_id, x.zone, x.alo, x.ahi, x.acc AS accepted, x.rej AS rejected, CASE WHEN x.acc THEN 'uniform' ELSE 'none' END AS interp, round(ds[x.ahi+1]-ds[x.alo+1], 6) AS span, round(100*(raw[x.ahi+1]-raw[x.alo+1])/(ds[x.ahi+1]-ds[x.alo+1]), 5) AS grade
+FROM (SELECT track_id, unnest(zs) AS x FROM fin) f JOIN base b ON b.track_id=f.track_id WHERE NOT x.gone""")
+def zones_after_edits(spark, sf_dir):
+    g, z, log = edited(spark, sf_dir)
+    _, left = edit_log.replayed(g, z, log)
+    return left.select("track_id", "zone", "alo", "ahi", "accepted", "rejected", "interp", r6("span").alias("span"), F.round("grade", 5).alias("grade"))
