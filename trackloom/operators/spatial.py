@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions import geo
+from trackloom.scratch import stored
 
 from .intervals import islands
 from .tracks import in_order
@@ -26,25 +27,33 @@ def segments(points: DataFrame) -> DataFrame:
     return out.where(F.col("blat").isNotNull())
 
 
+def _row_scale(y: Column, step: float) -> Column:
+    """How much shorter a degree of longitude is in a row of cells."""
+    return F.cos(F.radians(F.least(F.abs(y * step), F.lit(89.9))))
+
+
 def cell(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
-    """Grid cell of a place: degrees in steps that are `size` metres from south to north."""
+    """Grid cell of a place: rows of `size` metres from south to north, in each of which cells are about as wide."""
     step = size / METRES_PER_DEGREE
-    return F.floor(lon / step), F.floor(lat / step)
+    y = F.floor(lat / step)
+    return F.floor(lon * _row_scale(y, step) / step), y
 
 
-def around(lat: Column, lon: Column, size: float) -> Column:
-    """The cells of all places within `size` metres: a degree of longitude is shorter the further from the equator, so
-    the further the more cells to both sides."""
-    x, y = cell(lat, lon, size)
-    side = F.ceil(1 / F.cos(F.radians(F.least(F.abs(lat) + size / METRES_PER_DEGREE, F.lit(89.9))))).cast("int")
-    at = lambda j: F.transform(F.sequence(-side, side), lambda i: F.struct((x + i).alias("x"), (y + j).alias("y")))
-    return F.concat(at(-1), at(0), at(1))
+def around(lat: Column, lon: Column, within: float, size: float) -> Column:
+    """The cells of `size` of all places within `within` metres: mostly one to four, where cells are twice as large."""
+    step, d = size / METRES_PER_DEGREE, within / METRES_PER_DEGREE
+    side = d / F.cos(F.radians(F.least(F.abs(lat) + d, F.lit(89.9))))
+    rows = F.sequence(F.floor((lat - d) / step), F.floor((lat + d) / step))
+    # Each row of cells with its ends: (y, first x, last x), worked out once.
+    scale = lambda y: _row_scale(y, step) / step
+    ends = F.transform(rows, lambda y: F.struct(y.alias("y"), F.floor((lon - side) * scale(y)).alias("a"), F.floor((lon + side) * scale(y)).alias("b")))
+    return F.flatten(F.transform(ends, lambda r: F.transform(F.sequence(r["a"], r["b"]), lambda x: F.struct(x.alias("x"), r["y"].alias("y")))))
 
 
 def self_proximity(points: DataFrame, within: float = 8.0, gap: int = 100) -> DataFrame:
     """track_id, i, j, metres: pairs of points of a track `gap` points apart or more and within `within` metres."""
-    x, y = cell(F.col("lat"), F.col("lon"), within)
-    left = points.select("track_id", F.col("idx").alias("i"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(around(F.col("lat"), F.col("lon"), within)).alias("c"))
+    x, y = cell(F.col("lat"), F.col("lon"), 2 * within)
+    left = points.select("track_id", F.col("idx").alias("i"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(around(F.col("lat"), F.col("lon"), within, 2 * within)).alias("c"))
     left = left.select("track_id", "i", "la", "lo", "c.x", "c.y")
     right = points.select("track_id", F.col("idx").alias("j"), F.col("lat").alias("lb"), F.col("lon").alias("lob"), x.alias("x"), y.alias("y"))
     met = left.join(right, ["track_id", "x", "y"]).where(F.col("j") - F.col("i") >= gap)
@@ -52,21 +61,23 @@ def self_proximity(points: DataFrame, within: float = 8.0, gap: int = 100) -> Da
     return met.withColumn("metres", m).where(F.col("metres") <= within).select("track_id", "i", "j", "metres")
 
 
-def cells_along(reach: float) -> Column:
-    """The cells of 2 * reach in which places within `reach` of a segment (alat, alon, blat, blon) lie: those around
-    places on it that are half a cell apart at most."""
-    step = 2 * reach / METRES_PER_DEGREE
-    n = F.greatest(F.lit(1), 2 * F.ceil(F.greatest(F.abs(F.col("blat") - F.col("alat")), F.abs(F.col("blon") - F.col("alon"))) / step)).cast("int")
-    at = lambda k: around(geo.lerp(F.col("alat"), F.col("blat"), k / n), geo.lerp(F.col("alon"), F.col("blon"), k / n), 2 * reach)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n), at)))
+def with_cells_along(lines: DataFrame, reach: float) -> DataFrame:
+    """lines (alat, alon, blat, blon, more) with x and y, a row for each cell of 4 * reach in which places within `reach`
+    of the segment lie: those around places on it that are `reach` apart at most. Short segments have two such places."""
+    step = reach / METRES_PER_DEGREE
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("blat") - F.col("alat")), F.abs(F.col("blon") - F.col("alon"))) * math.sqrt(2) / step)).cast("int")
+    on = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
+    places = F.transform(F.sequence(F.lit(0), F.col("__n")), lambda k: F.struct(on("alat", "blat", k / F.col("__n")).alias("lat"), on("alon", "blon", k / F.col("__n")).alias("lon")))
+    cells = F.transform("__on", lambda p: around(p["lat"], p["lon"], 1.5 * reach, 4 * reach))
+    out = lines.withColumn("__n", n).withColumn("__on", places).withColumn("c", F.explode(F.array_distinct(F.flatten(cells))))
+    return out.select(*lines.columns, "c.x", "c.y")
 
 
 def near_segments(places: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
     """Places (track_id, plat, plon, more) with the segments (track_id, alat, alon, blat, blon, more) of their track
     within `reach` metres, and m, how far. Both meet in cells of a grid."""
-    x, y = cell(F.col("plat"), F.col("plon"), 2 * reach)
-    put = lines.withColumn("c", F.explode(cells_along(reach))).select("*", "c.x", "c.y").drop("c")
-    met = places.withColumn("x", x).withColumn("y", y).join(put, ["track_id", "x", "y"]).drop("x", "y")
+    x, y = cell(F.col("plat"), F.col("plon"), 4 * reach)
+    met = places.withColumn("x", x).withColumn("y", y).join(with_cells_along(lines, reach), ["track_id", "x", "y"]).drop("x", "y")
     return met.withColumn("m", geo.to_segment(*map(F.col, _BOTH))).where(F.col("m") <= reach)
 
 
@@ -74,17 +85,22 @@ def near_segments(places: DataFrame, lines: DataFrame, reach: float) -> DataFram
 _BOTH = ("plat", "plon", "alat", "alon", "blat", "blon")
 
 #: How far is looked for the nearest place, in metres, ring by ring; what has none within the last meets all its track.
-RINGS = (50.0, 1000.0)
+RINGS = (50.0, 1000.0, 20_000.0, 400_000.0)
 
 
 def _by_rings(places: DataFrame, near, far) -> DataFrame:
-    """Answers by place_id from the first ring that has one: near(places, reach), and at last far(places)."""
+    """Answers by place_id from the first ring that has one: near(places, reach), and at last far(places). A ring is
+    looked into only while places are left without an answer, and what it finds is written, so none is worked out twice."""
+    left = stored(places, "places")
     out = None
     for reach in RINGS:
-        found = near(places, reach)
+        found = stored(near(left, reach), "found")
         out = found if out is None else out.unionByName(found)
-        places = places.join(found.select("place_id"), "place_id", "left_anti")
-    return out.unionByName(far(places))
+        rest = left.join(found.select("place_id"), "place_id", "left_anti")
+        if rest.isEmpty():
+            return out
+        left = stored(rest, "places")
+    return out.unionByName(far(left))
 
 
 def nearest_points(places: DataFrame, points: DataFrame) -> DataFrame:
@@ -97,10 +113,9 @@ def nearest_points(places: DataFrame, points: DataFrame) -> DataFrame:
     def near(left: DataFrame, reach: float) -> DataFrame:
         # A ring is square in degrees here, as the distance is in degrees: what lies within it beats what doesn't.
         step = reach / METRES_PER_DEGREE
-        x, y = F.floor(F.col("plon") / step), F.floor(F.col("plat") / step)
-        around_ = F.explode(F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        put = left.withColumn("c", around_).select("*", "c.x", "c.y").drop("c")
-        grid = to.withColumn("x", F.floor(F.col("lon") / step)).withColumn("y", F.floor(F.col("lat") / step))
+        at = lambda c: F.sequence(F.floor((F.col(c) - step) / (2 * step)), F.floor((F.col(c) + step) / (2 * step)))
+        put = left.withColumn("x", F.explode(at("plon"))).withColumn("y", F.explode(at("plat")))
+        grid = to.withColumn("x", F.floor(F.col("lon") / (2 * step))).withColumn("y", F.floor(F.col("lat") / (2 * step)))
         return best(put.join(grid, ["track_id", "x", "y"])).where(F.col("b.d") <= step * step).select("place_id", "b.idx")
 
     return _by_rings(p, near, lambda left: best(left.join(to, "track_id")).select("place_id", "b.idx"))
@@ -158,8 +173,8 @@ def head_and_tail(points: DataFrame, within: float = 10.0, least: int = 20) -> D
     fifth, 200 points at most); ends of under three points and tracks of under `least` points give none."""
     n = F.count(F.lit(1)).over(Window.partitionBy("track_id"))
     sized = points.withColumn("n", n).where(F.col("n") >= least).withColumn("h", F.least(F.floor(F.col("n") * 0.2), F.lit(200)))
-    head = sized.where(F.col("idx") < F.col("h")).select(F.col("track_id").alias("__t"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), F.explode(around(F.col("lat"), F.col("lon"), within)).alias("c"))
-    x, y = cell(F.col("lat"), F.col("lon"), within)
+    head = sized.where(F.col("idx") < F.col("h")).select(F.col("track_id").alias("__t"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), F.explode(around(F.col("lat"), F.col("lon"), within, 2 * within)).alias("c"))
+    x, y = cell(F.col("lat"), F.col("lon"), 2 * within)
     tail = sized.where(F.col("idx") >= F.col("h")).withColumn("x", x).withColumn("y", y)
     same = (tail["track_id"] == head["__t"]) & (tail["x"] == head["c.x"]) & (tail["y"] == head["c.y"])
     near = same & (geo.haversine(tail["lat"], tail["lon"], head["hlat"], head["hlon"]) <= within)

@@ -109,9 +109,8 @@ def queue_states(spark, sf_dir):
     """A queue of files whose rows are replaced, parked and removed."""
     e = events(spark, sf_dir).select(F.col("event_id").alias("id"), F.lit("pending").alias("status"), F.col("value").alias("size"), F.when(F.col("event_id") % 4 == 0, "WCS").alias("source"))
     done = e.where("id % 7 = 0").withColumn("status", F.lit("done")).withColumn("size", F.lit(1.0))
-    ids = [r["id"] for r in e.where("id % 10 = 3").select("id").collect()]
-    state = queue.advanced(queue.upsert(queue.smallest_first(e.unionByName(done.limit(0))), done), ids, "parked")
-    kept = queue.removed(state, [r["id"] for r in e.where("id % 13 = 5").select("id").collect()])
+    state = queue.advanced(queue.upsert(queue.smallest_first(e.unionByName(done.limit(0))), done), e.where("id % 10 = 3"), "parked")
+    kept = queue.removed(state, e.where("id % 13 = 5"))
     raw = queue.parked_raw(kept).select("id", F.lit(True).alias("raw"))
     return kept.join(raw, "id", "left").select("id", "status", "size", F.coalesce("raw", F.lit(False)).alias("raw"))
 

@@ -44,12 +44,17 @@ def upsert(state: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     return state.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def advanced(state: DataFrame, ids: list, status: str, key: str = "id") -> DataFrame:
-    """The entries named move to a status; those that are done stay so."""
+def advanced(state: DataFrame, ids: DataFrame | list, status: str, key: str = "id") -> DataFrame:
+    """The entries named (a list by hand, or a table with the key) move to a status; those that are done stay so."""
+    if isinstance(ids, DataFrame):
+        seen = state.join(ids.select(key).distinct().withColumn("__named", F.lit(True)), key, "left")
+        return seen.withColumn("status", F.when(F.col("__named") & (F.col("status") != "done"), status).otherwise(F.col("status"))).select(*state.columns)
     return state.withColumn("status", F.when(F.col(key).isin(ids) & (F.col("status") != "done"), status).otherwise(F.col("status")))
 
 
-def removed(state: DataFrame, ids: list, key: str = "id") -> DataFrame:
+def removed(state: DataFrame, ids: DataFrame | list, key: str = "id") -> DataFrame:
+    if isinstance(ids, DataFrame):
+        return state.join(ids.select(key), key, "left_anti")
     return state.where(~F.col(key).isin(ids))
 
 
