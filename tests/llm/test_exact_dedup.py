@@ -46,3 +46,12 @@ def test_hot_group(spark):
 def test_fan_in_is_checked(empty):
     with pytest.raises(ValueError):
         op.exact_groups(empty, fan_in=3)
+
+
+def test_filter_keeps_the_longest_of_one_id(spark):
+    """Rows of one id whose texts differ in white space alone: the longest stays, whatever the partitions."""
+    rows = [(3, "a b"), (3, "a  b   "), (3, "ab"), (4, "a b"), (5, "x"), (5, "x"), (None, "y "), (None, "y")]
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", op.F.lit(1)).repartition(n)
+        out = op.drop_exact_copies(df)
+        assert out.columns == df.columns and sorted(map(str, map(tuple, out.collect()))) == ["(3, 'a  b   ', 1)", "(5, 'x', 1)", "(None, 'y ', 1)"]

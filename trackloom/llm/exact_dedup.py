@@ -82,12 +82,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all columns of docs.
 
-    Rows are found again by id and digest; where id and text repeat, one of the rows stays.
+    Rows are found again by id and digest. Where several rows share both, the one with the most code points stays (of
+    equally long texts that of the greater 64-bit hash; of rows that repeat id and text one).
     """
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__kept_sha"))
     tagged = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     same = tagged[id_col].eqNullSafe(kept["__kept"]) & (tagged["__sha"] == kept["__kept_sha"])
-    return tagged.join(kept, same, "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+    best = F.max_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.char_length(F.coalesce(F.col(text_col), F.lit(""))), F.xxhash64(text_col)))
+    one = tagged.join(kept, same, "left_semi").groupBy(F.col(id_col).alias("__id"), "__sha").agg(best.alias("__row"))
+    return one.select("__row.*")
 
 
 def op6_exact_dedup(spark, sf_dir):
