@@ -59,3 +59,20 @@ def test_crowded_keys(spark):
     spread = op._spread(df, 50)
     assert spread.count() == 600 and spread.select("key").distinct().count() == 600
     check(op.interleaved_shards(df.drop("key")).collect())
+
+
+def test_equal_fractions_do_not_share_a_bucket(spark):
+    """A million rows, half of them of the fraction 1/2: no bucket holds twice the mean."""
+    df = spark.range(1_000_000).selectExpr("id as doc_id", "cast(id % 1000 as string) as size", "id as text_crc32", "if(id % 2 = 0, 'hot', concat('s', id)) as source", "md5(cast(id as string)) as key", "if(id % 2 = 0, id / 1e6, 0.5D) as fraction")
+    sizes = [r["count"] for r in op.ranges(df, 1_000_000).groupBy("range").count().collect()]
+    assert sum(sizes) == 1_000_000 and len(sizes) >= 40 and max(sizes) <= 2 * 1_000_000 / len(sizes)
+
+
+def test_sources_of_one_row_are_spread(spark):
+    """Every shard holds a large source and many of one row each in proportion."""
+    n = 60_000
+    df = spark.range(n).selectExpr("id as doc_id", "'t' as text", "if(id % 3 = 0, 'hot', concat('s', id)) as source")
+    rows = op.interleaved_shards(df).collect()
+    check(rows)
+    hot = Counter(r["shard"] for r in rows if r["doc_id"] % 3 == 0)
+    assert len(hot) == 16 and max(hot.values()) < 1.1 * n / 48 and min(hot.values()) > 0.9 * n / 48

@@ -1,13 +1,16 @@
 """Shards that each match the mixture of sources: proportional stratified interleaving. DataFrame functions only.
 
 Rows are shuffled by a seeded hash and ranked within their source; the fractional rank (rank + 1/2) / rows of
-the source spreads every source evenly over 0 to 1. In the order of fractional ranks the rows are cut into
-shards whose counts differ by one at most, so each shard holds every source in proportion.
-
-Both rankings are made without a window over a whole source or over the whole table. The sort key is uniform
-over its range (a hash, then a fractional rank), so equal steps of it make buckets of nearly equal size. A row's
-rank is the number of rows in the buckets before its own, from a table of one row a bucket, and its rank within
-the bucket. A source that holds a third of all rows is thereby spread over all buckets.
+the source spreads every source evenly over 0 to 1. Sources of fewer rows than there are shards have, in place of
+the half, a number that a seeded hash gives them, or all sources of one row would come to lie in the middle. In the
+order of fractional ranks the rows are cut into shards whose counts differ by one at most, so each shard holds every
+source in proportion.
+
+Both rankings are made without a window over a whole source or over the whole table, but in buckets that rise with
+the order. A row's rank is the number of rows in the buckets before its own, from a table of one row a bucket, and
+its rank within the bucket. Within a source the buckets are equal steps of the seeded hash; over the table they are
+Spark's ranges of the whole sort key, as fractions of sources of one size coincide. A source that holds a third of
+all rows is thereby spread over all buckets.
 """
 
 from __future__ import annotations
@@ -65,13 +68,15 @@ def interleaved_shards(
     step = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
     order = [F.col("key"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     ranked = _ranked(slim, ["source"], step, order, "rank")
+    # Where a small source begins between 0 and its first step: 32 bits of a hash.
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), ranked["source"])), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     share = ranked.join(F.broadcast(per_source) if per_source_is_small(per_source) else per_source, ranked["source"].eqNullSafe(per_source["source"])).select(
-        ranked["doc_id"], ranked["source"], "size", "text_crc32", "key", ((F.col("rank") + 0.5) / F.col("n_source")).alias("fraction")
+        ranked["doc_id"], ranked["source"], "size", "text_crc32", "key", ((F.col("rank") + F.when(F.col("n_source") < shards, start).otherwise(0.5)) / F.col("n_source")).alias("fraction")
     )
     placed = _ranked(
-        share.withColumn("all", F.lit(0)),
+        ranges(share, total).withColumn("all", F.lit(0)),
         ["all"],
-        F.least((F.col("fraction") * buckets).cast("long"), F.lit(buckets - 1).cast("long")),
+        F.col("range"),
         [F.col("fraction"), F.col("source"), F.col("key"), F.col("doc_id"), F.col("text_crc32"), F.col("size")],
         "place",
     )
@@ -88,6 +93,14 @@ def interleaved_shards(
     )
 
 
+def ranges(share: DataFrame, total: int) -> DataFrame:
+    """share with range: the number of the part of the order (fraction, source, key, doc_id) that a row lies in. Parts
+    are Spark's own ranges, even by a sample of the keys, and are written, so that all that follows sees the same."""
+    parts = max(int(share.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST, total // BUCKET_ROWS))
+    dealt = share.repartitionByRange(parts, "fraction", "source", "key", "doc_id")
+    return stored(dealt.withColumn("range", F.spark_partition_id().cast("long")), "shard-ranges")
+
+
 def _spread(rows: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
     """Rows with keys of their own where more than `most` share one: such rows are copies of each other in all that is
     looked at, so any order among them gives the same result, and no bucket need hold them all."""
@@ -110,7 +123,7 @@ WITH poly AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_pr
 sized AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
 crc AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS crc FROM sized, poly),
 keyed AS (SELECT *, md5('42:' || doc_id || ':' || crc) AS key FROM crc),
-ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, crc, size) - 1 + CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS fraction FROM keyed),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, crc, size) - 1 + CASE WHEN count(*) OVER (PARTITION BY source) < 16 THEN CAST(CAST('0x' || substr(md5(concat_ws(':', '42', source)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 ELSE CAST(0.5 AS DOUBLE) END) / count(*) OVER (PARTITION BY source) AS fraction FROM keyed),
 placed AS (SELECT *, row_number() OVER (ORDER BY fraction, source, key, doc_id, crc, size) - 1 AS place, count(*) OVER () AS n FROM ranked)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 16 // n AS INTEGER) AS shard, CAST(place - ((place * 16 // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed
 """
