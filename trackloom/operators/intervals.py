@@ -121,18 +121,30 @@ def interpolated(points: DataFrame, zones: DataFrame) -> DataFrame:
     return p.withColumn("ele_fixed", F.coalesce(F.when(within, value), "ele")).select(*points.columns, "ele_fixed")
 
 
-def first_overlap(zones: DataFrame, structures: DataFrame) -> DataFrame:
+#: Metres of the stretches of a track in which zones and structures are brought together.
+STRETCH = 500.0
+
+
+def first_overlap(zones: DataFrame, structures: DataFrame, stretch: float = STRETCH) -> DataFrame:
     """Kind of the first structure (by ord) that overlaps each zone; null if none does. zones: track_id, zone, start,
-    end; structures: track_id, ord, kind, s_start, s_end."""
-    met = zones.join(structures, "track_id", "left").where(F.col("s_start").isNull() | ((F.col("start") < F.col("s_end")) & (F.col("end") > F.col("s_start"))))
+    end; structures: track_id, ord, kind, s_start, s_end. Both lie in all stretches of the track that they reach into,
+    and meet in these, so a zone meets what is near it and not all structures of its track."""
+    along = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / stretch), F.floor(F.greatest(a, b) / stretch)))
+    met = zones.withColumn("__s", along("start", "end")).join(structures.withColumn("__s", along("s_start", "s_end")), ["track_id", "__s"])
+    met = met.where((F.col("start") < F.col("s_end")) & (F.col("end") > F.col("s_start")))
     best = met.groupBy("track_id", "zone").agg(F.min_by("kind", "ord").alias("kind"))
     return zones.select("track_id", "zone").join(best, ["track_id", "zone"], "left")
 
 
 def without_overlap(zones: DataFrame, others: DataFrame) -> DataFrame:
-    """Zones (track_id, alo, ahi) that overlap none of the others (track_id, alo, ahi)."""
-    o = others.select(F.col("track_id").alias("__t"), F.col("alo").alias("__lo"), F.col("ahi").alias("__hi"))
-    return zones.join(o, (zones["track_id"] == o["__t"]) & (zones["ahi"] > o["__lo"]) & (zones["alo"] < o["__hi"]), "left_anti")
+    """Zones (track_id, alo, ahi) that overlap none of the others (track_id, alo, ahi). Others are put before the ends of
+    zones by their beginnings: a zone is free if the furthest end of those that begin before it ends is not beyond its
+    beginning. One pass along the track, nothing is joined."""
+    mine = zones.select("track_id", F.col("ahi").cast("double").alias("__at"), F.lit(0).alias("__o"), F.struct(*zones.columns).alias("__z"), F.lit(None).cast("double").alias("__hi"))
+    theirs = others.select("track_id", F.col("alo").cast("double").alias("__at"), F.lit(1).alias("__o"), F.lit(None).cast(mine.schema["__z"].dataType).alias("__z"), F.col("ahi").cast("double").alias("__hi"))
+    w = Window.partitionBy("track_id").orderBy("__at", "__o").rowsBetween(Window.unboundedPreceding, -1)
+    seen = mine.unionByName(theirs).withColumn("__far", F.max("__hi").over(w)).where(F.col("__z").isNotNull())
+    return seen.where(~F.coalesce(F.col("__far") > F.col("__z.alo"), F.lit(False))).select("__z.*")
 
 
 def span_mask(points: DataFrame, structures: DataFrame, margin: float = 10.0) -> DataFrame:

@@ -162,10 +162,10 @@ def structure_spans(nodes: DataFrame, points: DataFrame, reach: float = 30.0, ga
 
 def aligned(lines: DataFrame, points: DataFrame, most: float = 20.0) -> DataFrame:
     """struct_id of lines (struct_id, track_id, alo, ahi, bearing) one of whose segments runs with the track between
-    alo and ahi within `most` degrees, either way."""
-    t = points.where(F.col("bearing").isNotNull()).select(F.col("track_id").alias("__t"), F.col("idx").alias("__i"), F.col("bearing").alias("__b"))
-    near = (lines["track_id"] == t["__t"]) & t["__i"].between(lines["alo"], lines["ahi"]) & (geo.bearing_difference(lines["bearing"], t["__b"]) <= most)
-    return lines.join(t, near, "left_semi").select("struct_id").distinct()
+    alo and ahi within `most` degrees, either way. A line names its points, and the join is on them."""
+    named = lines.where("alo <= ahi").select("struct_id", "track_id", F.col("bearing").alias("__own"), F.explode(F.sequence(F.col("alo").cast("long"), F.col("ahi").cast("long"))).alias("idx"))
+    met = named.join(points.where(F.col("bearing").isNotNull()).select("track_id", "idx", "bearing"), ["track_id", "idx"])
+    return met.where(geo.bearing_difference(F.col("__own"), F.col("bearing")) <= most).select("struct_id").distinct()
 
 
 def head_and_tail(points: DataFrame, within: float = 10.0, least: int = 20) -> DataFrame:

@@ -143,6 +143,8 @@ def write_table(df: DataFrame, path: str, separator: str = ",", extra: dict | No
 
 
 def split_points(points: DataFrame, splits: DataFrame) -> DataFrame:
-    """Points of each split (track_id, split, start_idx, end_idx), both ends included, numbered anew."""
-    met = splits.join(points, "track_id").where(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
-    return met.select("track_id", "split", (F.col("idx") - F.col("start_idx")).alias("idx"), "lat", "lon", "ele")
+    """Points of each split (track_id, split, start_idx, end_idx), both ends included, numbered anew. A split names its
+    points, and the join is on them."""
+    named = splits.where("start_idx <= end_idx").select("track_id", "split", "start_idx", F.explode(F.sequence(F.col("start_idx").cast("long"), F.col("end_idx").cast("long"))).alias("__i"))
+    met = named.join(points.withColumnRenamed("idx", "__i"), ["track_id", "__i"])
+    return met.select("track_id", "split", (F.col("__i") - F.col("start_idx")).alias("idx"), "lat", "lon", "ele")
