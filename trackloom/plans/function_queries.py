@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import crs, formats, geo, viewport
-from trackloom.operators import edits, fields, kernels, tracks
+from trackloom.operators import edits, fields, kernels, lines, tracks
 from trackloom.sources import gpx
 from trackloom.streaming import queue
 
@@ -156,9 +156,7 @@ lf AS (SELECT *, least(1.5/greatest(CASE WHEN px IS NULL OR nx IS NULL THEN 1.0
 
 @registered("shape_lane", q(f"SELECT track_id, idx, round(mlat + degrees((y+uy*reach)/{K}),8) AS lat, round(mlon + degrees((x+ux*reach)/({K}*cos(radians(mlat)))),8) AS lon FROM lf", LANE))
 def shape_lane(spark, sf_dir):
-    from trackloom.operators import shape
-
-    return shape.on_tracks(points(spark, sf_dir), lambda p: shape.shifted(p, 1.5)).select("track_id", "idx", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+    return lines.lane_shifted(points(spark, sf_dir), 1.5).select("track_id", "idx", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
 
 @registered("gpx_kernels", q("""SELECT 'ride-' || track_id || '.gpx' AS track_id, count(*) AS n, round(max(dist),3) AS length FROM pts GROUP BY 1"""))

@@ -171,7 +171,7 @@ def dense_enough(spark, sf_dir):
     return sparse.join(made, "track_id", "left").select("track_id", "sparse", "n")
 
 
-for _name, _change in {"shape_arcs": "with_arcs", "shape_loops": "with_loops", "shape_splines": "splined", "shape_straight": "straightened", "shape_prune": "pruned", "shape_all": "shaped"}.items():
+for _name, _change in {"shape_arcs": "with_arcs", "shape_loops": "with_loops", "shape_straight": "straightened", "shape_prune": "pruned", "shape_all": "shaped"}.items():
 
     @registered(_name)
     def _shape(spark, sf_dir, change=_change):

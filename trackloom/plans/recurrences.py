@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import fields, intervals, kernels, shape, spatial, tracks
+from trackloom.operators import fields, intervals, kernels, lines, spatial, tracks
 
 from .more_queries import gc
 from .queries import BACK, GRD, PTS, RUN, TIM, TRK, bear, graded, hav, out_and_back, points, q, r6, registered
@@ -157,7 +157,25 @@ def simplify(spark, sf_dir):
  (SELECT *, CASE WHEN nlat IS NULL THEN 1.0 ELSE greatest(1.0, floor(sqrt(pow(radians(nlon-lon)*r*cos(radians(mean)),2)+pow(radians(nlat-lat)*r,2))/4.0+0.5)) END AS parts FROM (SELECT track_id, idx, lat, lon, ele, coalesce(lead(lat) OVER w, NULL) AS nlat, lead(lon) OVER w AS nlon, lead(ele) OVER w AS nele, avg(lat) OVER (PARTITION BY track_id) AS mean, 20037392.0/pi() AS r FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY idx)))) WHERE nlat IS NOT NULL
  UNION ALL SELECT track_id, CAST(NULL AS BIGINT), round(arg_max(lat, idx),8), round(arg_max(lon, idx),8), round(arg_max(ele, idx),6) FROM trk GROUP BY 1""", TRK))
 def shape_spacing(spark, sf_dir):
-    p = shape.on_tracks(points(spark, sf_dir), lambda p: shape.spaced(p, 4.0))
+    p = lines.evenly_spaced(points(spark, sf_dir), 4.0)
     last = F.max("idx").over(tracks.Window.partitionBy("track_id"))
     # The last point's number depends on all before it: it is left out here as it is in the SQL.
     return p.select("track_id", F.when(F.col("idx") < last, F.col("idx")).alias("idx"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), r6("ele").alias("ele"))
+
+
+SPLINE = TRK + """,
+me AS (SELECT *, avg(lat) OVER w AS mlat, avg(lon) OVER w AS mlon, radians(1)*20037392.0/pi() AS ky FROM trk WINDOW w AS (PARTITION BY track_id)),
+pl AS (SELECT *, (lon-mlon)*ky*cos(radians(mlat)) AS x, (lat-mlat)*ky AS y FROM me),
+tn AS (SELECT *, abs(coalesce(atan2((x-lag(x) OVER w)*(lead(y) OVER w-y)-(y-lag(y) OVER w)*(lead(x) OVER w-x), (x-lag(x) OVER w)*(lead(x) OVER w-x)+(y-lag(y) OVER w)*(lead(y) OVER w-y)), 0.0)) AS k FROM pl WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+cn AS (SELECT *, lag(x) OVER w AS ax, lead(x) OVER w AS cx, lead(x, 2) OVER w AS dx, lag(y) OVER w AS ay, lead(y) OVER w AS cy, lead(y, 2) OVER w AS dy, lag(ele) OVER w AS ae, lead(ele) OVER w AS ce, lead(ele, 2) OVER w AS de, lead(k) OVER w AS k2 FROM tn WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+np AS (SELECT *, CASE WHEN ax IS NOT NULL AND dx IS NOT NULL AND ((k > radians(10) AND k <= radians(60)) OR (k2 > radians(10) AND k2 <= radians(60))) THEN CAST(greatest(1, ceil((k+k2)/radians(5))) AS BIGINT) ELSE 1 END AS n FROM cn),
+ex AS (SELECT *, j/CAST(n AS DOUBLE) AS t FROM (SELECT *, unnest(range(n)) AS j FROM np))"""
+#: Added before rounding: many values end in a half of the last place, and doubles fall on either side of it.
+OFF = 1.3e-9
+CURVE = "CASE WHEN j = 0 THEN {b} ELSE 0.5*(2*{b}+({c}-{a})*t+(2*{a}-5*{b}+4*{c}-{d})*t*t+(3*{b}-{a}-3*{c}+{d})*t*t*t) END"
+
+
+@registered("shape_splines", q(f"""SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY idx, j) - 1 AS idx, round(mlat + {CURVE.format(a='ay', b='y', c='cy', d='dy')}/ky + {OFF}, 8) AS lat, round(mlon + {CURVE.format(a='ax', b='x', c='cx', d='dx')}/(ky*cos(radians(mlat))) + {OFF}, 8) AS lon, round({CURVE.format(a='ae', b='ele', c='ce', d='de')} + {OFF}, 6) AS ele FROM ex""", SPLINE))
+def shape_splines(spark, sf_dir):
+    p = lines.splined(points(spark, sf_dir))
+    return p.select("track_id", "idx", *[F.round(F.col(c) + F.lit(OFF), n).alias(c) for c, n in (("lat", 8), ("lon", 8), ("ele", 6))])
