@@ -37,3 +37,16 @@ def test_lines_and_splits_name_their_points(spark):
     cut = spark.createDataFrame([("a", 0, 0, 10), ("a", 1, 10, 39), ("b", 0, 5, 5), ("b", 1, 6, 5)], "track_id string, split long, start_idx long, end_idx long")
     got = sorted((r["track_id"], r["split"], r["idx"], r["lat"]) for r in records.split_points(p, cut).collect())
     assert got == [("a", 0, i, 46.0 + i) for i in range(11)] + [("a", 1, i, 56.0 + i) for i in range(30)] + [("b", 0, 0, 51.0)]
+
+
+def test_places_in_order(spark):
+    from trackloom.operators import matching
+
+    out = [(46.0 + i * 1e-4, 14.5) for i in range(300)]
+    line = out + out[::-1]
+    p = spark.createDataFrame([("a", i, y, x) for i, (y, x) in enumerate(line)] + [("b", 0, 46.0, 14.5)], "track_id string, idx long, lat double, lon double")
+    spots = [("a", 0, *line[5]), ("a", 1, *line[5]), ("a", 2, *line[150]), ("a", 3, *line[290]), ("a", 4, *line[200]), ("b", 0, 47.0, 14.0), ("b", 1, 46.0, 14.5), ("none", 0, 46.0, 14.5)]
+    got = matching.matched(spark.createDataFrame(spots, "track_id string, ord int, lat double, lon double"), p)
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 5), ("a", 1, 6), ("a", 2, 150), ("a", 3, 290), ("a", 4, 399), ("b", 0, 0), ("b", 1, 0)]
+    cut = sorted(map(tuple, matching.between(got).collect()))
+    assert cut == [("a", 0, 5, 6), ("a", 1, 6, 150), ("a", 2, 150, 290), ("a", 3, 290, 399)]

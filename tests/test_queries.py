@@ -2,7 +2,7 @@
 
 import pytest
 
-from trackloom.plans import function_queries, more_queries, place_queries, recurrences, region_queries  # noqa: F401
+from trackloom.plans import function_queries, more_queries, place_queries, recurrences, region_queries, state_queries  # noqa: F401
 from trackloom.plans.queries import ORACLE_SQL, QUERIES
 
 
