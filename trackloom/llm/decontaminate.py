@@ -150,30 +150,34 @@ def contamination(
 
 
 def near_matches(
-    docs: DataFrame, bench: DataFrame, within: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+    docs: DataFrame, bench: DataFrame, within: int = WINDOW - 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
-    """Proximity: doc_id, phrase, start of every place where the two rarest terms of a window stand within
-    `within` words of each other, in either order. Exact for that question; a screen for edited passages."""
+    """Proximity: doc_id, phrase, start of every place where the two rarest terms of a window stand within `within`
+    words of each other, in either order; of a window of one term, every place where that stands. Exact for that
+    question; a screen for edited passages. With the default no exact occurrence of a window is missed. Null and empty
+    texts match nothing; rows that repeat an id or a text each give their places; empty tables give none."""
     terms, wanted, _ = query_tables(bench, item_col)
     index = build_index(docs, terms, id_col, text_col)
     ids = index.where(F.col("pos") == LENGTH_AT).select("row", "doc_id")
     postings = index.where(F.col("pos") > LENGTH_AT).select("term", "row", "pos")
     counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # A window one of whose terms has no posting still has the two that are rarest among those that have: none has both.
+    ranked = wanted.select("phrase", "term").distinct().join(counts, "term", "left")
     two = (
-        wanted.select("phrase", "term")
-        .distinct()
-        .join(counts, "term")
-        .withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy("n", "term")))
+        ranked.withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "term")))
         .where("r <= 2")
         .groupBy("phrase")
         .agg(F.max(F.when(F.col("r") == 1, F.col("term"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("term"))).alias("b"))
     )
+    two = stored(two, "rarest-two")
+    alone = postings.join(two.where("b is null"), postings["term"] == two["a"]).select("row", "phrase", F.col("pos").alias("start"))
     # Positions are put in bins of the distance, so that the join is on equal bins and not on a range.
-    first = postings.join(two, postings["term"] == two["a"]).select("phrase", "row", F.col("pos").alias("at"), "b")
+    pairs = two.where("b is not null")
+    first = postings.join(pairs, postings["term"] == pairs["a"]).select("phrase", "row", F.col("pos").alias("at"), "b")
     first = first.withColumn("bin", F.explode(F.array(*[F.floor(F.col("at") / within) + k for k in (-1, 0, 1)])))
     second = postings.select(F.col("term").alias("b"), "row", F.col("pos").alias("other"), F.floor(F.col("pos") / within).alias("bin"))
     met = first.join(second, ["b", "row", "bin"]).where(F.abs(F.col("at") - F.col("other")) <= within)
-    return met.select("row", "phrase", F.least("at", "other").alias("start")).distinct().join(ids, "row").select("doc_id", "phrase", "start")
+    return met.select("row", "phrase", F.least("at", "other").alias("start")).unionByName(alone).distinct().join(ids, "row").select("doc_id", "phrase", "start")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, most: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
