@@ -86,6 +86,36 @@ def best_record(records: DataFrame, keys: list[str], bonus: Column) -> DataFrame
     return kept.groupBy(*keys).agg(F.max_by(F.struct("pos", "title"), F.struct((day + bonus).alias("score"), day.alias("day"), (-F.col("pos")).alias("early"))).alias("best")).select(*keys, "best.pos", "best.title")
 
 
+#: What the address or description of a raster holds at least one of.
+RASTER_WORDS = (".tif", ".tiff", ".zip", "geotiff", "geo tiff", "dtm", "dgm", "terrain")
+
+
+def best_resource(resources: DataFrame, keys: list[str], hosts: list[str], expected: Column | None = None, keywords: list[str] | None = None) -> DataFrame:
+    """Of the resources (keys, pos, url, format, name, description) of each record the most promising: keys, pos, url.
+
+    Only addresses on `hosts` and their subdomains count, that are rasters by their words and hold one of `keywords` (if
+    any are given). Points are given for the expected code, for endings and formats, for names of terrain models, and
+    taken off for services; of equals the first in order."""
+    text = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    url = F.trim(F.coalesce("url", F.lit("")))
+    hay = F.concat_ws(" ", F.lower(url), text("format"), text("name"), text("description"))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    any_of = lambda c, parts: F.exists(F.array(*[F.lit(p.lower()) for p in parts]), lambda w: F.contains(c, w))
+    allowed = F.exists(F.array(*map(F.lit, hosts)), lambda h: (host == h) | F.endswith(host, F.concat(F.lit("."), h))) if hosts else F.lit(False)
+    good = allowed & any_of(hay, RASTER_WORDS)
+    if keywords:
+        good = good & any_of(hay, keywords)
+    low, kind = F.lower(url), text("format")
+    when = lambda test, points: F.when(test, points).otherwise(0)
+    score = when(low.contains(".tif"), 8) + when(low.contains(".zip"), 6) + when(kind.contains("geotiff") | (kind == "tiff"), 5) + when(kind == "zip", 4)
+    score = score + when(any_of(hay, ["dtm", "dgm"]), 3) - when(any_of(hay, ["wms", "wfs", "service"]), 6)
+    if expected is not None:
+        code = F.lower(F.coalesce(expected, F.lit("")))
+        score = score + when((code != "") & F.contains(hay, code), 20)
+    best = F.max_by(F.struct("pos", url.alias("url")), F.struct(score.alias("score"), (-F.col("pos")).alias("early")))
+    return resources.where(good).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.pos", "b.url")
+
+
 def discovery_points(points: DataFrame, cell: float, step: int = 5, most: int = 200) -> DataFrame:
     """Points to ask a catalogue about, of those it has no tile for (track_id, idx, lat, lon): every step-th and both ends
     of each track, one in a cell of `cell` degrees, `most` of a track (a limit of the service that is asked)."""
