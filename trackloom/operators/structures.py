@@ -10,7 +10,7 @@ from trackloom.functions import geo
 
 from .intervals import inside
 from .sequence import drawn_in_turn
-from .tracks import in_order, tangent_slope, whole_track
+from .tracks import tangent_slope, whole_track
 
 
 def _ends(points: DataFrame, zones: DataFrame, margin: int) -> DataFrame:
@@ -85,19 +85,34 @@ def inner_shapes(points: DataFrame, zones: DataFrame, window: int = 8, deviation
     return zones.join(each.select("track_id", "alo", "ahi", "type", "interp", slope("m0"), slope("m1")), ["track_id", "alo", "ahi"])
 
 
+def widened(points: DataFrame, located: DataFrame, calm: float = 25.0) -> DataFrame:
+    """Located structures (struct_id, track_id, kind, alo, ahi) from the nearest point before alo with a gradient below
+    `calm` to the one after such a point from ahi on; the end stays where there is none. Both ends are put between the
+    points of their track, which is gone along once. Structures that reach beyond their track go."""
+    named = located.where("alo < ahi").select("struct_id", "track_id", "kind", F.col("alo").cast("long").alias("alo"), F.col("ahi").cast("long").alias("ahi")).distinct()
+    z = F.struct("struct_id", "kind", "alo", "ahi").alias("z")
+    marks = named.select("track_id", z, F.explode(F.array("alo", "ahi")).alias("idx"))
+    rows = points.select("track_id", F.lit(None).cast(marks.schema["z"].dataType).alias("z"), F.col("idx").cast("long").alias("idx"), F.when(F.abs("gr") < calm, F.col("idx").cast("long")).alias("q"))
+    both = rows.unionByName(marks.withColumn("q", F.lit(None).cast("long")))
+    w = Window.partitionBy("track_id").orderBy("idx", F.col("z").isNull())
+    here = F.when(F.col("z").isNull(), F.col("idx"))
+    seen = both.select(
+        "track_id", "z", "idx", F.last("q", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("q", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.min(here).over(whole_track()).alias("first"), F.max(here).over(whole_track()).alias("last"),
+    ).where(F.col("z").isNotNull())
+    lo, hi = F.col("idx") == F.col("z.alo"), F.col("idx") == F.col("z.ahi")
+    each = seen.groupBy("track_id", "z").agg(F.max(F.when(lo, F.col("before"))).alias("before"), F.max(F.when(hi, F.least(F.col("after") + 1, "last"))).alias("after"), F.max("first").alias("first"), F.max("last").alias("last"))
+    fits = (F.col("z.alo") >= F.col("first")) & (F.col("z.ahi") <= F.col("last"))
+    out = each.where(fits).select("z.struct_id", "track_id", "z.kind", F.coalesce("before", "z.alo").alias("alo"), F.coalesce("after", "z.ahi").alias("ahi"))
+    return out.where("alo < ahi")
+
+
 def corrections(points: DataFrame, located: DataFrame, calm: float = 25.0, **shape) -> DataFrame:
     """struct_id, track_id, kind, alo, ahi, type, interp, m0, m1 of located structures (struct_id, track_id, kind, alo,
     ahi), widened to the nearest points with a gradient below `calm` before alo and from ahi on. A bridge is looked for
     at any dip and a tunnel at any rise; a bridge that has no bend of its own gets the cubic of its roads all the same.
     points has dist and gr."""
-    quiet = F.when(F.abs("gr") < calm, F.col("idx"))
-    before = F.last("__q", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("__q", ignorenulls=True).over(in_order().rowsBetween(0, Window.unboundedFollowing)) + 1
-    n = F.last("idx").over(whole_track())
-    seen = points.withColumn("__q", quiet).select("track_id", "idx", before.alias("before"), F.least(after, n).alias("after"))
-    lo, hi = seen.select("track_id", F.col("idx").alias("alo"), "before"), seen.select("track_id", F.col("idx").alias("ahi"), "after")
-    z = located.where("alo < ahi").join(lo, ["track_id", "alo"]).join(hi, ["track_id", "ahi"])
-    z = z.select("struct_id", "track_id", "kind", F.coalesce("before", "alo").alias("alo"), F.coalesce("after", "ahi").alias("ahi")).where("alo < ahi")
+    z = widened(points, located, calm)
     z = z.withColumn("dip", F.when(F.col("kind") == "bridge", 0.0).otherwise(1.0)).withColumn("spike", F.when(F.col("kind") == "tunnel", 0.0).otherwise(1.0))
     found = shapes(points, z, dip=F.col("dip"), spike=F.col("spike"), **shape)
     forced = (F.col("kind") == "bridge") & (F.col("interp") == "uniform") & (F.col("type") != "tunnel")
