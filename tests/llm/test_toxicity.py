@@ -97,3 +97,49 @@ def test_sample_has_one_text_for_an_id(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, None), (None, 1)], "doc_id long, toxic int")
     texts, marks, share = op.training_sample(docs, labels, folds=1 << 40)
     assert sorted(zip(texts, marks, strict=True)) == [(["a", "b"], 1), (["x", "y"], 0)] and share == 2 / 3
+
+
+def plain_probability(net, words):
+    """A text's probability by loops over its windows and their words, from the formulas of the network."""
+    h, p = op.HIDDEN, net.p
+    if not words:
+        return net.blank
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    row = {w: net.inputs(op.word_features([w]))[0].astype(np.float64) for w in set(words)}
+    best, first = -np.inf, 0
+    while True:
+        window = words[first : first + op.LENGTH]
+        states = np.zeros((len(window), 2 * h))
+        for way, order, at in (("f", range(len(window)), 0), ("b", range(len(window) - 1, -1, -1), h)):
+            s = np.zeros(h)
+            for t in order:
+                x, y = row[window[t]] @ p[f"W{way}"] + p[f"c{way}"], s @ p[f"U{way}"]
+                z, r = logistic(x[:h] + y[:h]), logistic(x[h : 2 * h] + y[h : 2 * h])
+                s = z * s + (1 - z) * np.tanh(x[2 * h :] + r * y[2 * h :])
+                states[t, at : at + h] = s
+        e = np.array([np.tanh(v @ p["A"] + p["ca"]) @ p["u"] for v in states])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        best = max(best, float((a @ states) @ p["o"] + p["co"][0]))
+        if first + op.LENGTH >= len(words):
+            return logistic(net.scale * best + net.shift)
+        first += op.STRIDE
+
+
+def test_query_against_plain_loops(spark, sf_dir, documents):
+    """Every score of the query, worked out again window by window, word by word."""
+    net = op.trained_network(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r.doc_id: r.score for r in QUERIES["op2_toxicity"](spark, sf_dir).collect()}
+    rows = documents.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert abs(got[r.doc_id] - plain_probability(net, op.words_of(r.text))) < 1e-4, r.doc_id
+
+
+def test_held_out_labels_are_told(spark):
+    """Of the held-out labels of the larger table, toxic documents score higher than others, and few others are flagged."""
+    folder = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [(label[r.doc_id], r.score) for r in QUERIES["op2_toxicity"](spark, folder).where("held_out").collect() if label.get(r.doc_id) is not None]
+    bad, good = [s for y, s in rows if y == 1], [s for y, s in rows if y == 0]
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert len(bad) >= 3 and auc > 0.8 and np.mean([g >= 0.5 for g in good]) < 0.05
