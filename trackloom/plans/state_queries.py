@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackloom import scratch
 from trackloom.functions import geo
 from trackloom.operators import matching
-from trackloom.sources import layout, records
+from trackloom.sources import gpx, layout, providers, records
 from trackloom.streaming import queue
 
 from .function_queries import events
@@ -98,3 +98,31 @@ def first_pending(spark, sf_dir):
     status = F.when(F.col("event_type") == "error", "failed").when(i % 3 == 0, "done").otherwise("pending")
     state = events(spark, sf_dir).select(i.alias("id"), (i % 977 * 100000 + i).alias("seq"), status.alias("status"))
     return queue.first_pending(state).select("id", "seq", F.lit(queue.has_pending(state)).alias("pending"))
+
+
+@registered("provider_replay", q("""SELECT track_id, idx, CASE WHEN (idx+m)%3 = 0 AND idx%6 <> 0 THEN 200.0::DOUBLE+idx WHEN idx%2 = 0 THEN 300.0::DOUBLE+idx END AS ele, CASE WHEN (idx+m)%3 = 0 AND idx%6 <> 0 THEN 'FINE' WHEN idx%2 = 0 THEN 'COARSE' END AS source FROM (SELECT track_id, idx, CAST(round((lon-14.5)/0.00002) AS BIGINT) AS m FROM trk)""", TRK))
+def provider_replay(spark, sf_dir):
+    """Heights from recorded answers of two providers, of which the second is asked only for what the first has no
+    answer for, or none that can be true."""
+    p = points(spark, sf_dir).select("track_id", "idx", "lat", "lon")
+    m = F.round((F.col("lon") - 14.5) / 0.00002).cast("long")
+    spots = p.select("lat", "lon", "idx", m.alias("m")).distinct()
+    fine = spots.where("(idx + m) % 3 = 0").select("lat", "lon", F.when(F.col("idx") % 6 == 0, 99999.0).otherwise(200.0 + F.col("idx")).alias("ele"))
+    coarse = spots.where("idx % 2 = 0").select("lat", "lon", (300.0 + F.col("idx")).alias("ele"))
+    out = providers.with_elevation(p, [("FINE", providers.replay(fine)), ("COARSE", providers.replay(coarse))])
+    return out.select("track_id", "idx", "ele", "source")
+
+
+@registered("response_scan", """WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_id%4 ORDER BY event_id) AS n FROM events),
+k AS (SELECT user_id, event_id, CASE event_id%4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS kind, CASE WHEN event_id%4 < 2 THEN event_id%4 ELSE 0 END AS seg FROM e)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY kind, seg, event_id) - 1 AS idx, event_id/1000.0::DOUBLE AS lat, 14.5::DOUBLE AS lon, CASE WHEN event_id%5 > 0 THEN event_id/4.0::DOUBLE END AS ele FROM k""")
+def response_scan(spark, sf_dir):
+    """Points of service answers in any of their forms: two segments of a track, then a route, then waypoints; heights may
+    be missing."""
+    i = F.col("event_id")
+    ele = F.when(i % 5 > 0, F.concat(F.lit("<ele>"), i / 4.0, F.lit("</ele>"))).otherwise("")
+    point = lambda tag: F.concat(F.lit(f'<{tag} lat="'), i / 1000.0, F.lit('" lon="14.5">'), ele, F.lit(f"</{tag}>"))
+    listed = lambda k, tag: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(i % 4 == k, F.struct(i.alias("i"), point(tag).alias("t"))))), lambda x: x["t"]), "")
+    parts = [F.lit(gpx.HEAD + "<trk><trkseg>"), listed(0, "trkpt"), F.lit("</trkseg><trkseg>"), listed(1, "trkpt"), F.lit("</trkseg></trk><rte>"), listed(2, "rtept"), F.lit("</rte>"), listed(3, "wpt"), F.lit("</gpx>")]
+    texts = events(spark, sf_dir).groupBy("user_id").agg(F.concat(*parts).alias("gpx"))
+    return gpx.all_points(gpx.parsed(texts), "user_id").select("user_id", "idx", "lat", "lon", "ele")
