@@ -61,7 +61,7 @@ def needed_cells(points: DataFrame, size: float, margin: float = 0.0) -> DataFra
 def pruned(table: DataFrame, cells: DataFrame) -> DataFrame:
     """The rows of a table laid out by cell that lie in `cells`. Up to MOST_CELLS cells are broadcast, and only their
     folders are read."""
-    few = scratch.stored(cells.select("cell").coalesce(1), "needed-cells")
+    few = scratch.stored(cells.select("cell"), "needed-cells")
     if few.count() > MOST_CELLS:
         return table.join(few, "cell", "left_semi")
     # The range holds for all cells on earth; a condition makes Spark take the cells as worth pruning by.
