@@ -91,7 +91,7 @@ def drawn_in_turn(points: DataFrame, zones: DataFrame, order: list[str]) -> Data
     A zone draws the points strictly between alo and ahi by their distance; zones under two steps or without length, and
     such as end beyond the track, draw nothing. Where zones have `raw` and it holds, the record comes back from alo to
     ahi, both included. points has dist. Points of a track may repeat an index."""
-    turns = _named(zones, order)
+    turns = stored(_named(zones, order), "zones-named")
     named = stored(_with_ends(points, turns.where("not turn.raw")), "zones")
     seen = _last_before(points, named, turns.where("turn.raw"))
     owners = seen.where("side is not null").groupBy("track_id", "turn").agg(*[F.max(F.when(F.col("side") == s, F.col("owner"))).alias(f"o{s}") for s in (0, 1)])
