@@ -109,3 +109,17 @@ def test_all_slips_of_a_long_track_go():
         lon = 14 + np.tile([0, 0, 0, 0, 1, 2, 2, 2, 2, 2], 50) * aside
         out = polish.without_zigzags(np.stack([lat, lon, lat], 1))
         assert (np.diff(out[:, 0]) > -1e-12).all() and len(out) >= 350
+
+
+def test_simplify_takes_the_first_of_areas_that_differ_by_rounding():
+    """A line that is the same from both ends: its first and last inner triangle are equal but for the last digits."""
+    heights, seen = np.array([0, 0.1, 3, 9, 3, 0.1, 0.0]), 0
+    for south in range(40):
+        lat = 46.0 + south * 0.0137 + np.arange(7) * 0.0001
+        x = lat * (k.R * math.pi / 180)
+        rise = lambda a, b, c: abs((x[b] - x[a]) * (heights[c] - heights[a]) - (heights[b] - heights[a]) * (x[c] - x[a])) / 2
+        first, last = rise(0, 1, 2), rise(4, 5, 6)
+        if last < first and round(first, 9) == round(last, 9):
+            seen += 1
+            assert list(np.flatnonzero(~k.smallest_triangles(lat, np.full(7, 14.5), heights, least_radius=0))) == [1]
+    assert seen
