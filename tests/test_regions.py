@@ -108,6 +108,34 @@ def test_a_way_in_several_cells_is_met_once(spark):
     assert [(r["track_id"], r["id"], r["kind"]) for r in got] == [("x", 1, "bridge"), ("x", 3, "bridge"), ("x", 3, "tunnel")]
 
 
+def shuffled_rows(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_of_tracks_and_ways_are_not_dealt_again(spark):
+    """100 tracks that meet 400 ways each in several cells: 40,000 pairs of some 2,000 rows."""
+    at = F.col("id") / 1000
+    node = lambda a, b: F.struct(a.alias("lat"), b.alias("lon"))
+    ways = spark.range(400).select("id", F.create_map(F.lit("bridge"), F.lit("yes")).alias("tags"), F.array(node(at, at), node(at + 0.7, at + 0.4)).alias("nodes"))
+    boxes = spark.range(100).select(F.col("id").alias("track_id"), (at + 0.3).alias("south"), (at + 0.2).alias("west"), (at + 1).alias("north"), (at + 1).alias("east"))
+    laid = scratch.stored(layout.ways_by_cell(ways, 0.5), "ways", "cell")
+    before = shuffled_rows(spark)
+    got = layout.structures_around(boxes, laid, 0.5).select("track_id", "id").collect()
+    assert len(got) == len(set(got)) == 40_000
+    assert shuffled_rows(spark) - before < 20_000
+
+
+def test_a_way_that_comes_with_several_boxes_is_met_once(spark, monkeypatch):
+    monkeypatch.setattr(layout, "PIECE", 2)
+    node = "array<struct<lat:double,lon:double>>"
+    ways = spark.createDataFrame([(i, {"bridge": "yes"}, [(0.1 + k, 0.1 + k), (0.3 + k, 0.3 + k)]) for i in range(9) for k in ((0, 0, 1) if i % 2 else (0, 0))], f"id long, tags map<string,string>, nodes {node}")
+    laid = scratch.stored(layout.ways_by_cell(ways, 0.5), "ways", "cell")
+    boxes = spark.createDataFrame([("x", 0.0, 0.0, 2.0, 2.0), ("y", 1.0, 1.0, 2.0, 2.0), ("z", 0.2, 0.2, 0.2, 0.2), ("z", 0.0, 0.0, 9.0, 9.0)], "track_id string, south double, west double, north double, east double")
+    got = sorted((r["track_id"], r["id"]) for r in layout.structures_around(boxes, laid, 0.5).collect())
+    assert got == [("x", i) for i in range(9)] + [("y", i) for i in (1, 3, 5, 7)] + [("z", i) for i in range(9)]
+
+
 def test_catalogue_files(spark):
     texts = [(1, '{"tiles":[{"id":"a b","bbox":[1,2,3,4],"path":"../x"},{"id":"a b","bbox":[5,2,6,4]},{"bbox":[1,2,3,4]},{"bbox":"no"},{"id":"z"}]}'), (2, "[]"), (3, "broken"), (4, None), (5, '[{"name":"n","bbox":[0,0,1,1],"sec":" 7 ","codSerie":"mdt"}]')]
     rows = layout.catalogue_entries(spark.createDataFrame(texts, "k long, value string"), "k")
