@@ -30,3 +30,14 @@ def test_trim_mid_as_its_sql_on_short_tracks(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = con.execute(f"SELECT track_id, idx, ele FROM ({ORACLE_SQL['trim_mid']}) ORDER BY 1, 2").fetchall()
     assert [tuple(r) for r in QUERIES["trim_mid"](spark, str(tmp_path)).orderBy("track_id", "idx").collect()] == want
+
+
+def test_points_are_not_joined_into_few_tasks(spark, sf_dir):
+    """However few bytes they take, points lie in as many tasks as the session names, for span_mask too."""
+    from trackloom.operators import intervals
+    from trackloom.plans import queries
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = queries.points(spark, sf_dir)
+    assert p.rdd.getNumPartitions() == n
+    assert intervals.span_mask(p, queries.spans(spark, sf_dir)).rdd.getNumPartitions() >= n
