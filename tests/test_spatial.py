@@ -66,3 +66,15 @@ def test_structures_with_long_legs(spark, ride):
     got = sorted((r.struct_id, r.alo, r.ahi) for r in spatial.structure_spans(df, p, 30.0, 3).collect())
     assert got == [(1, int(x[0]), int(x[-1])) for x in runs]
     assert {r.struct_id for r in spatial.structures_near(df, p, 5.0).collect()} == {1}
+
+
+def test_points_that_ask_for_one_key_are_cut_into_pieces(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import elevation
+
+    monkeypatch.setattr(elevation, "PIECE", 5)
+    p = spark.range(60).select(F.lit("a").alias("track_id"), F.col("id").alias("idx"), F.when(F.col("id") < 40, 1).when(F.col("id") < 50, 2).alias("k"))
+    z = spark.createDataFrame([(1, 10.0), (3, 30.0)], "k int, z double")
+    got = sorted((r["idx"], r["z"]) for r in elevation.dealt_join(p, z, ["k"], "left").collect())
+    assert got == [(i, 10.0 if i < 40 else None) for i in range(60)]

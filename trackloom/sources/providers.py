@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom import scratch
 from trackloom.operators import elevation
 
 Lookup = Callable[[DataFrame], DataFrame]
@@ -42,9 +43,9 @@ def raster(cells: DataFrame, tiles: DataFrame, size: float, cell: float = 0.01)
     """A provider from a table of raster cells (tile_id, row, col, z) and tiles (tile_id, ord, west, south, east, north)."""
 
     def lookup(points: DataFrame) -> DataFrame:
-        placed = elevation.assigned(points.select("track_id", "idx", "lat", "lon"), tiles, cell).where(F.col("tile_id").isNotNull())
-        placed = placed.drop("west", "north").join(tiles.select("tile_id", "west", "north"), "tile_id")
-        return elevation.sampled(placed, cells, size).select("track_id", "idx", "ele")
+        asked = scratch.stored(points.select("track_id", "idx", "lat", "lon"), "asked")
+        placed = elevation.assigned(asked, tiles, cell, ("west", "north")).where(F.col("tile_id").isNotNull())
+        return elevation.sampled(scratch.stored(placed, "placed"), cells, size).select("track_id", "idx", "ele")
 
     return lookup
 
