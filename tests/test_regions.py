@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from trackloom import scratch
 from trackloom.functions import crs
 from trackloom.operators import catalogues, regions
+from trackloom.plans import state_queries  # noqa: F401  registers its queries
+from trackloom.plans.queries import QUERIES
 from trackloom.sources import layout
 
 
@@ -143,6 +145,24 @@ def test_catalogue_files(spark):
     assert got == [(1, "a_b", 0, "a_b.tif", "", 5.0, 2.0, 6.0, 4.0, "", ""), (1, "DS_1", 2, "DS_1.tif", "", 1.0, 2.0, 3.0, 4.0, "", ""), (5, "n", 0, "MDT_7.tif", "", 0.0, 0.0, 1.0, 1.0, "7", "MDT")]
 
 
+def test_catalogues_share_files(spark, tmp_path):
+    """Before, each catalogue had a folder and a file of its own."""
+    i = F.col("id")
+    spark.range(900).select(i.alias("event_id"), F.when(i % 300 > 0, i % 300).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["catalogue_round_trip"](spark, str(tmp_path))
+    want = {(n % 300 or None, f"tile_{n}", n / 8, n / 8 + 1, f"tile_{n}.tif") for n in range(900)}
+    assert found.count() == 900 and {tuple(r) for r in found.collect()} == want
+    assert len(found.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_catalogues_read_back_as_written(spark, tmp_path):
+    rows = [("x\ny {}", [("ü\n1", [1.0, 2.0, 3.0, 4.0])]), (None, [("z", [0.0, 0.0, 1.0, 1.0])]), ("none", [])]
+    layout.write_catalogues(spark.createDataFrame(rows, "k string, tiles array<struct<id: string, bbox: array<double>>>"), f"{tmp_path}/c")
+    back = layout.read_catalogues(spark, f"{tmp_path}/c", "k", "string")
+    assert {r["k"] for r in back.collect()} == {k for k, _ in rows}
+    assert {(r["k"], r["id"], r["bbox"][2]) for r in layout.catalogue_entries(back, "k").collect()} == {("x\ny {}", "ü\n1", 3.0), (None, "z", 1.0)}
+
+
 def test_surface_models_are_left_out_by_their_name_only(spark):
     rows = spark.createDataFrame([(1, 0, "ALS DSM 01.02.2020"), (1, 1, "DTM Domzale 01.02.2010"), (1, 2, None)], "k long, pos long, title string")
     assert catalogues.best_record(rows, ["k"], F.lit(0)).first()["pos"] == 1

@@ -59,10 +59,10 @@ def catalogue_round_trip(spark, sf_dir):
     """Tile indexes written as JSON, one a user, and scanned again."""
     i = F.col("event_id")
     tile = F.struct(i.alias("at"), F.concat(F.lit("tile_"), i).alias("id"), F.array(i / 8.0, F.lit(0.0), i / 8.0 + 1, F.lit(1.0)).alias("bbox"))
-    made = events(spark, sf_dir).groupBy(F.col("user_id").alias("catalogue")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(tile)).alias("tiles"))).alias("value"))
+    made = events(spark, sf_dir).groupBy(F.col("user_id").alias("catalogue")).agg(F.array_sort(F.collect_list(tile)).alias("tiles"))
     out = f"{scratch.folder(spark)}/catalogues-{uuid.uuid4().hex}"
-    made.write.partitionBy("catalogue").text(out)
-    files = spark.read.schema("value string, catalogue long").text(out)
+    layout.write_catalogues(made, out)
+    files = layout.read_catalogues(spark, out, "catalogue")
     found = layout.tile_index(layout.catalogue_entries(files, "catalogue"), "catalogue", "DS")
     return found.select("catalogue", "tile_id", "west", "east", "path")
 
