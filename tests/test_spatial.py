@@ -1,5 +1,6 @@
 """Joins of places against all pairs, far from the equator and the first meridian too."""
 
+import math
 import random
 
 import numpy as np
@@ -78,3 +79,49 @@ def test_points_that_ask_for_one_key_are_cut_into_pieces(spark, monkeypatch):
     z = spark.createDataFrame([(1, 10.0), (3, 30.0)], "k int, z double")
     got = sorted((r["idx"], r["z"]) for r in elevation.dealt_join(p, z, ["k"], "left").collect())
     assert got == [(i, 10.0 if i < 40 else None) for i in range(60)]
+
+
+def overlapping_tiles(spark):
+    """Tiles of 0.01 degrees, a north half that overlaps the south one, two of one rank, one without any, and their cells."""
+    tiles = [("s", 1, 46.0, 14.0, 46.01, 14.01), ("n", 0, 46.005, 14.0, 46.015, 14.01), ("b", 2, 46.02, 14.0, 46.03, 14.01), ("a", 2, 46.02, 14.0, 46.03, 14.01), ("x", None, 46.04, 14.0, 46.05, 14.01)]
+    cells = [(t, r, c, 100.0 * i + 10 * r + c) for i, t in enumerate("snbax") for r in range(11) for c in range(11) if (r + c) % 3]
+    return spark.createDataFrame(tiles, "tile_id string, ord int, south double, west double, north double, east double"), spark.createDataFrame(cells, "tile_id string, row long, col long, z double"), tiles, cells
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_raster_answers_for_every_point(spark, monkeypatch, few):
+    from trackloom.operators import elevation
+    from trackloom.sources import providers
+
+    monkeypatch.setattr(elevation, "FEW_ROWS", few)
+    monkeypatch.setattr(elevation, "PIECE", 5)
+    grid, cells, tiles, known = overlapping_tiles(spark)
+    points = [("t", i, 46.0 + i % 60 * 0.00093, 14.0 + i % 7 * 0.0013) for i in range(300)] + [("edge", 0, 46.005, 14.01), ("none", 0, None, 14.0), ("none", 1, 46.0, None), ("none", 2, float("nan"), 14.0), (None, 5, 46.002, 14.002)]
+    z, ranked = {k[:3]: k[3] for k in known}, sorted((t for t in tiles if t[1] is not None), key=lambda t: (t[1], t[0]))
+
+    def want(lat, lon):
+        t = next((t for t in ranked if lat is not None and lon is not None and t[2] <= lat <= t[4] and t[3] <= lon <= t[5]), None)
+        return t and z.get((t[0], math.floor((t[4] - lat) / 0.001), math.floor((lon - t[3]) / 0.001)))
+
+    got = providers.raster(cells, grid, 0.001)(spark.createDataFrame(points, "track_id string, idx long, lat double, lon double")).collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r["track_id"], r["idx"], r["ele"]) for r in got), key=key) == sorted(((t, i, want(a, o)) for t, i, a, o in points), key=key)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_packed_points_are_not_broadcast(spark, monkeypatch, tmp_path, few):
+    """A file of points in order is so small that Spark would take them for few rows."""
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import elevation
+    from trackloom.sources import providers
+
+    monkeypatch.setattr(elevation, "FEW_ROWS", few)
+    grid, cells, _, _ = overlapping_tiles(spark)
+    spark.range(20_000).select(F.lit("t").alias("track_id"), F.col("id").alias("idx"), (46.0 + F.col("id") * 1e-6).alias("lat"), F.lit(14.0).alias("lon")).write.parquet(f"{tmp_path}/p")
+    points = spark.read.parquet(f"{tmp_path}/p")
+    raster = providers.raster(cells, grid, 0.001)
+    met = elevation.dealt_join(points.withColumn("col", F.floor(F.col("lon") - 14.0)), cells, ["col"])
+    for found in (raster(points), raster(points).where("ele is not null"), met):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.scratch import stored
+
 from .tracks import dealt
 
 #: Country, lowest and highest latitude, lowest and highest longitude; the first box that holds a point
@@ -55,41 +57,59 @@ MISSING_RULES = {
 }
 
 
-#: Points that ask for one key in one task.
-PIECE = 20_000
+#: Points that ask for one key in one task, and keys that are cut into pieces at most: the limit rises with the points.
+PIECE, MOST_CUT = 20_000, 10_000
+
+#: Rows of tiles or cells that are broadcast at most.
+FEW_ROWS = 100_000
 
 
 def dealt_join(points: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """points (track_id, idx, more) with the rows of a table that share their keys. Keys that many points ask for are cut
-    into pieces, to each of which the table's rows go, so that no task gets all points of a place. The keys in question are
-    few: one in PIECE points at most."""
-    hot = F.broadcast(points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("__n")).where("__n > 1"))
+    into pieces, to each of which the table's rows go, so that no task gets all points of a place. Both sides are merged,
+    whatever Spark thinks of their size: points in order pack so well that it would take millions of them for few."""
+    count = F.count(F.lit(1))
+    asked = points.groupBy(*keys).agg(count.alias("__n")).crossJoin(F.broadcast(points.agg(count.alias("__all"))))
+    most = F.greatest(F.lit(PIECE), F.col("__all") / MOST_CUT)
+    hot = F.broadcast(asked.select(*keys, F.ceil(F.col("__n") / most).alias("__n")).where("__n > 1"))
     n, at = F.coalesce("__n", F.lit(1)), F.xxhash64("track_id", "idx")
     # Points without a key meet nothing and may lie anywhere.
     lost = F.array_contains(F.array(*[F.col(k).isNull() for k in keys]), True)
     own = points.join(hot, keys, "left").withColumn("__piece", F.when(lost, at).otherwise(F.pmod(at, n))).drop("__n")
     theirs = table.join(hot, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("__n")
-    return dealt(own, *keys, "__piece").join(theirs, [*keys, "__piece"], how).drop("__piece")
+    return dealt(own, *keys, "__piece").hint("merge").join(theirs, [*keys, "__piece"], how).drop("__piece")
+
+
+def looked_up(points: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """points with the row of a table that has their keys, nulls if none has. A table made of n rows, FEW_ROWS at most, is
+    broadcast, so that points stay where they are; else points are kept as a table, as they are counted by keys and then
+    dealt by them. Points are never broadcast."""
+    if n <= FEW_ROWS:
+        return points.join(F.broadcast(table), keys, "left")
+    return dealt_join(stored(points, "asked"), table, keys, "left")
 
 
 def assigned(points: DataFrame, tiles: DataFrame, cell: float, fields: tuple[str, ...] = ()) -> DataFrame:
-    """tile_id (and `fields`) of the first tile (by ord) that holds each point, edges included; null if none does. points:
-    track_id, idx, lat, lon; tiles: tile_id, ord, west, south, east, north. Tiles are put in all cells of `cell` degrees
-    that they touch, so that the join is on equal cells."""
+    """tile_id (and `fields`) of the first tile (by ord, then tile_id) that holds each point, edges included; null if none
+    does. points: track_id, idx, lat, lon; tiles: tile_id, ord, west, south, east, north. Tiles are put in all cells of
+    `cell` degrees that they touch, so that the join is on equal cells; the tiles of a cell are one row, in order, so cells
+    should not be much wider than tiles."""
     side = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    rows = tiles.withColumn("cy", side("south", "north")).withColumn("cx", side("west", "east"))
-    placed = points.select("track_id", "idx", "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    met = dealt_join(placed, rows, ["cy", "cx"]).where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
-    met = dealt(met.select("track_id", "idx", "ord", F.struct("tile_id", *fields).alias("__t")), "track_id", "idx")
-    best = met.groupBy("track_id", "idx").agg(F.min_by("__t", "ord").alias("__t"))
-    return points.join(best, ["track_id", "idx"], "left").select(*points.columns, *[F.col(f"__t.{c}").alias(c) for c in ("tile_id", *fields)])
+    tile = F.struct(*dict.fromkeys(("ord", "tile_id", "south", "west", "north", "east", *fields)))
+    rows = tiles.where(F.col("ord").isNotNull()).withColumn("__cy", side("south", "north")).withColumn("__cx", side("west", "east"))
+    lists = rows.groupBy("__cy", "__cx").agg(F.sort_array(F.collect_list(tile)).alias("__tiles"))
+    placed = points.withColumn("__cy", F.floor(F.col("lat") / cell)).withColumn("__cx", F.floor(F.col("lon") / cell))
+    holds = lambda t: F.col("lat").between(t["south"], t["north"]) & F.col("lon").between(t["west"], t["east"])
+    first = looked_up(placed, lists, ["__cy", "__cx"], rows.count()).select(*points.columns, F.get(F.filter("__tiles", holds), F.lit(0)).alias("__t"))
+    return first.select(*points.columns, *[F.col(f"__t.{c}").alias(c) for c in ("tile_id", *fields)])
 
 
 def sampled(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """ele of the raster cell that each point lies in. cells: tile_id, row, col, z with rows counted from the north
     edge; points carry tile_id, west and north of their tile."""
     at = points.withColumn("row", F.floor((F.col("north") - F.col("lat")) / size)).withColumn("col", F.floor((F.col("lon") - F.col("west")) / size))
-    return dealt_join(at, cells, ["tile_id", "row", "col"], "left").withColumn("ele", sane(F.col("z"))).drop("z", "row", "col")
+    found = looked_up(at, cells.select("tile_id", "row", "col", "z"), ["tile_id", "row", "col"], cells.count())
+    return found.withColumn("ele", sane(F.col("z"))).drop("z", "row", "col")
 
 
 def chained(points: DataFrame, keys: list[str], providers: list[tuple[str, DataFrame]]) -> DataFrame:

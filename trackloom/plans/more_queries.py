@@ -125,7 +125,7 @@ def raster_sample(spark, sf_dir):
     cells = cells.unionByName(cells.where("col = 9").withColumn("col", F.col("col") + 1).withColumn("z", F.col("z") + 1))
     grid = spark.createDataFrame(tiles, "tile_id string, ord int, west double, south double, east double, north double")
     p = points(spark, sf_dir).select("track_id", "idx", (F.col("lat") + 0.00003).alias("lat"), "lon").where("lat <= 46.0139")
-    return p.join(providers.raster(cells, grid, 0.001)(p), ["track_id", "idx"], "left").select("track_id", "idx", "ele")
+    return providers.raster(cells, grid, 0.001)(p)
 
 
 @registered("header_counts", "SELECT user_id, event_type AS source, count(*) AS n FROM events GROUP BY 1, 2")

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom import scratch
 from trackloom.operators import elevation
 
 Lookup = Callable[[DataFrame], DataFrame]
@@ -40,12 +39,12 @@ PROVIDERS = [
 
 
 def raster(cells: DataFrame, tiles: DataFrame, size: float, cell: float = 0.01) -> Lookup:
-    """A provider from a table of raster cells (tile_id, row, col, z) and tiles (tile_id, ord, west, south, east, north)."""
+    """A provider from a table of raster cells (tile_id, row, col, z) and tiles (tile_id, ord, west, south, east, north).
+    It answers for every point, with null where it has no height, so what it is asked need not be joined again."""
 
     def lookup(points: DataFrame) -> DataFrame:
-        asked = scratch.stored(points.select("track_id", "idx", "lat", "lon"), "asked")
-        placed = elevation.assigned(asked, tiles, cell, ("west", "north")).where(F.col("tile_id").isNotNull())
-        return elevation.sampled(scratch.stored(placed, "placed"), cells, size).select("track_id", "idx", "ele")
+        placed = elevation.assigned(points.select("track_id", "idx", "lat", "lon"), tiles, cell, ("west", "north"))
+        return elevation.sampled(placed, cells, size).select("track_id", "idx", "ele")
 
     return lookup
 
