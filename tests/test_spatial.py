@@ -125,3 +125,19 @@ def test_packed_points_are_not_broadcast(spark, monkeypatch, tmp_path, few):
     for found in (raster(points), raster(points).where("ele is not null"), met):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_kept_tables_of_many_rows_are_merged(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trackloom import scratch
+
+    monkeypatch.setattr(scratch, "MANY_ROWS", 1000)
+    kept = {n: scratch.stored(spark.range(n), f"kept-{n}") for n in (1000, 1001)}
+    few, plan = spark.range(3000).withColumn("x", F.rand()), lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few.join(kept[1000], "id"))
+    for how in ("inner", "left", "left_anti"):
+        found = few.join(kept[1001].where("id > 5").select("id"), "id", how)
+        assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    assert "BuildRight" in plan(kept[1001].join(F.broadcast(few), "id"))
+    assert few.join(kept[1001], "id").count() == 1001
